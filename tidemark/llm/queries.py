@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import suffixes
+from tidemark.llm import simhash, suffixes
 
 QUERIES = {
     "op8_suffix_decontamination": suffixes.op8,
+    "op9_simhash_pivots": simhash.op9,
 }
 ORACLES = {
     "op8_suffix_decontamination": suffixes.ORACLE,

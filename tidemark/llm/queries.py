@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import simhash, suffixes
+from tidemark.llm import simhash, suffixes, toxicity
 
 QUERIES = {
     "op8_suffix_decontamination": suffixes.op8,
     "op9_simhash_pivots": simhash.op9,
+    "op10_compression_toxicity": toxicity.op10,
 }
 ORACLES = {
     "op8_suffix_decontamination": suffixes.ORACLE,

@@ -52,25 +52,29 @@ def _window(words: list[str]) -> bytes:
     return bytes(twice)
 
 
-def _distinct(texts: list[list[str]]) -> list[list[str]]:
+def _distinct(texts: list[str]) -> list[str]:
     """Texts of which few of the smallest shingle hashes were met before."""
     seen: set[int] = set()
     out = []
-    for words in texts:
+    for text in texts:
+        words = _words(text)
         sketch = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:12]
         if words and sum(h in seen for h in sketch) < max(1, len(sketch) // 6):
             seen.update(sketch)
-            out.append(words)
+            out.append(text)
     return out
 
 
-def _contexts(docs: list[list[str]]) -> Counter:
-    """How many different pairs of neighbours each word has; a passage that is copied counts once."""
-    strip = lambda w: w.strip(".,;:!?\"'()[]")
+def _bare(text: str) -> list[str]:
+    return [w.strip(".,;:!?\"'()[]") for w in _words(text)]
+
+
+def _contexts(texts: list[str], wanted: set[str]) -> Counter:
+    """How many different pairs of neighbours each wanted word has; a passage that is copied counts once."""
     met = set()
-    for words in docs:
-        bare = ["", *map(strip, words), ""]
-        met.update(zip(bare, bare[1:], bare[2:]))
+    for text in texts:
+        bare = ["", *_bare(text), ""]
+        met.update(x for x in zip(bare, bare[1:], bare[2:]) if x[1] in wanted)
     return Counter(w for _, w, _ in met)
 
 
@@ -121,22 +125,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     """A model from texts of either class, in a fixed order."""
-    bad, good = _distinct([_words(t) for t in toxic]), _distinct([_words(t) for t in ordinary])
+    bad, good = _distinct(toxic), _distinct(ordinary)
     empty = {"toxic": b" ", "ordinary": b" ", "carrier": b"", "weights": None, "mean": 0.0, "scale": 1.0}
     if len(bad) < 2 or len(good) < 2:
         return empty
     cut = lambda docs: docs[: max(1, 2 * len(docs) // 3)]
-    in_bad, in_good = _contexts(cut(bad)), _contexts(good)  # ordinary texts only rule words out
-    n_bad, n_good = sum(map(len, cut(bad))), sum(map(len, good))
-    least = max(3, round(0.002 * len(cut(bad))))
-    marked = sorted((n, w) for w, n in in_bad.items() if n >= least and len(w) >= 3 and n / n_bad >= CONTRAST * (in_good[w] + 0.5) / n_good)
+    least = 2 + round(0.001 * len(cut(bad)))
+    count = Counter(w for t in cut(bad) for w in {*_bare(t)} if len(w) >= 3)
+    wanted = {w for w, n in count.items() if n >= least}
+    plain = Counter(w for t in good for w in {*_bare(t)} & wanted)  # ordinary texts only rule words out
+    wanted = {w for w in wanted if count[w] / len(cut(bad)) >= CONTRAST / 4 * plain[w] / len(good)}
+    in_bad, in_good = _contexts(cut(bad), wanted), _contexts(good, wanted)
+    n_bad, n_good = sum(len(t.split()) for t in cut(bad)), sum(len(t.split()) for t in good)
+    marked = sorted((n, w) for w, n in in_bad.items() if n >= least and n / n_bad >= CONTRAST * (in_good[w] + 0.5) / n_good)
     tail = _window([w for _, w in marked[-TAIL_WORDS:]])
-    windows = sorted((_window(d[i : i + WINDOW]) for d in cut(good) for i in range(0, len(d), WINDOW)), key=zlib.crc32)
-    base = b"".join(windows)[: BASE_BYTES]
+    pool = sorted((" ".join(w[i : i + WINDOW]) for w in map(_words, cut(good)) for i in range(0, len(w), WINDOW)), key=lambda x: (zlib.crc32(x.encode("utf-8", "replace")), x))
+    base = b"".join(_window(x.split(" ")) for x in pool[: BASE_BYTES // 16])[:BASE_BYTES]
     model = empty | {"toxic": base + tail, "ordinary": base, "carrier": base[-CARRIER_BYTES:]}
     rest = lambda docs: docs[len(cut(docs)) :] if len(docs) >= 30 else docs
     scorer = Scorer(model)
-    x = np.array([scorer.features(d) for d in rest(bad) + rest(good)])
+    x = np.array([scorer.features(_words(d)) for d in rest(bad) + rest(good)])
     y = np.r_[np.ones(len(rest(bad))), np.zeros(len(rest(good)))]
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     return model | {"mean": mean, "scale": scale, "weights": _logistic((x - mean) / scale, y)}

@@ -180,9 +180,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Rows that share that doc_id are one document; one of them stays. Rows with a null doc_id go where a class has
     another, and one stays where it has not.
     """
-    keepers = near_duplicates(docs).groupBy("component_id").agg(F.lit(True).alias("_keep")).select(F.col("component_id").alias("_id"))
-    kept = docs.join(keepers, docs.doc_id.eqNullSafe(keepers["_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
+    keepers = near_duplicates(docs).groupBy("component_id").agg(F.lit(True).alias("_keep")).select(key("component_id").alias("_key"))
+    # one exchange by _key serves the join and what follows it
+    return docs.withColumn("_key", key("doc_id")).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import mixing, pseudonyms, simhash, suffixes, toxicity
+from tidemark.llm import mixing, pseudonyms, simhash, suffixes, toxicity, webp
 
 QUERIES = {
     "op1_multinomial_mix": mixing.op1,
     "op6_feistel_pseudonyms": pseudonyms.op6,
+    "op7_webp_lossless": webp.op7,
     "op8_suffix_decontamination": suffixes.op8,
     "op9_simhash_pivots": simhash.op9,
     "op10_compression_toxicity": toxicity.op10,

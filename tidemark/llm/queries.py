@@ -1,9 +1,10 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import mixing, pseudonyms, simhash, suffixes, toxicity, webp
+from tidemark.llm import mixing, pages, pseudonyms, simhash, suffixes, toxicity, webp
 
 QUERIES = {
     "op1_multinomial_mix": mixing.op1,
+    "op3_tag_path_text": pages.op3,
     "op6_feistel_pseudonyms": pseudonyms.op6,
     "op7_webp_lossless": webp.op7,
     "op8_suffix_decontamination": suffixes.op8,

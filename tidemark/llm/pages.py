@@ -179,10 +179,12 @@ def main_text(html: str | None) -> str:
     filled = [n for n in live if n[1].strip()]
     if not filled:
         return ""
-    marked = [n for n in filled if _inside(n[0], ("article",))] or [n for n in filled if _inside(n[0], ("main",))]
-    # a page that says where its article is needs no threshold
     scores = _scores(filled)
-    content = marked or [n for n, s in zip(filled, scores) if s >= max(scores.mean(), 0.2 * scores.max())] or filled
+    content = [n for n, s in zip(filled, scores) if s >= max(scores.mean(), 0.2 * scores.max())] or filled
+    for name in ("article", "main"):  # a page that says where its article is rules out content elsewhere
+        if any(_inside(n[0], (name,)) for n in filled):
+            content = [n for n in content if _inside(n[0], (name,))] or [n for n in filled if _inside(n[0], (name,))]
+            break
     region = _ancestors(content[0][0])
     for element, _, _ in content[1:]:
         own = _ancestors(element)
@@ -190,6 +192,9 @@ def main_text(html: str | None) -> str:
         while k < min(len(region), len(own)) and region[k] is own[k]:
             k += 1
         region = region[:k]
+    stated = next((k for k, e in enumerate(region) if e.name in ("article", "main")), None)
+    if stated is not None:
+        region = region[: stated + 1]
     # the region of a lone paragraph is the element around it
     while len(region) > 1 and region[-1].name not in BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li"}:
         region.pop()

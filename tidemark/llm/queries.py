@@ -1,10 +1,13 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import mixing, pages, pseudonyms, simhash, suffixes, toxicity, webp
+from tidemark.llm import chat, licences, mixing, pages, pseudonyms, simhash, suffixes, tokens, toxicity, webp
 
 QUERIES = {
     "op1_multinomial_mix": mixing.op1,
+    "op2_licence_classifier": licences.op2,
     "op3_tag_path_text": pages.op3,
+    "op4_chat_perspectives": chat.op4,
+    "op5_longest_match_tokens": tokens.op5,
     "op6_feistel_pseudonyms": pseudonyms.op6,
     "op7_webp_lossless": webp.op7,
     "op8_suffix_decontamination": suffixes.op8,
@@ -12,5 +15,6 @@ QUERIES = {
     "op10_compression_toxicity": toxicity.op10,
 }
 ORACLES = {
+    "op4_chat_perspectives": chat.ORACLE,
     "op8_suffix_decontamination": suffixes.ORACLE,
 }

@@ -93,7 +93,7 @@ FAMILIES = [NONE, *sorted(NOTICES)]
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+"), lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "") != "")
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}.+-]+"), lambda w: w.rlike(r"[\p{L}\p{N}]"))
 
 
 def _variants(notice: str) -> list[str]:
@@ -114,8 +114,9 @@ def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def _features(size: int = BUCKETS) -> list:
     grams = SQLTransformer(
-        statement="SELECT *, concat(_words, transform(slice(_words, 1, greatest(size(_words) - 1, 0)), (w, i) -> concat(w, ' ', _words[i + 1])), "
-        "transform(slice(_words, 1, greatest(size(_words) - 2, 0)), (w, i) -> concat(w, ' ', _words[i + 1], ' ', _words[i + 2]))) AS _grams FROM __THIS__"
+        statement="SELECT *, concat(_words, zip_with(slice(_words, 1, greatest(size(_words) - 1, 0)), slice(_words, 2, greatest(size(_words) - 1, 0)), (a, b) -> concat(a, ' ', b)), "
+        "zip_with(zip_with(slice(_words, 1, greatest(size(_words) - 2, 0)), slice(_words, 2, greatest(size(_words) - 2, 0)), (a, b) -> concat(a, ' ', b)), "
+        "slice(_words, 3, greatest(size(_words) - 2, 0)), (a, b) -> concat(a, ' ', b))) AS _grams FROM __THIS__"
     )
     return [grams, HashingTF(inputCol="_grams", outputCol="_features", numFeatures=size, binary=True)]
 
@@ -138,7 +139,10 @@ def train(spark: SparkSession, docs: DataFrame) -> tuple[PipelineModel, float]:
 
 
 def _pairs(words: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))))
+    """The word pairs; of one word, that word."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(n == 0, words).otherwise(F.array_distinct(pairs))
 
 
 def scan(docs: DataFrame, model: PipelineModel, limit: float, text: str = "text") -> DataFrame:

@@ -1,4 +1,9 @@
 """Query catalogue: names to callables and to the DuckDB SQL that checks them."""
 
-QUERIES = {}
-ORACLES = {}
+from tidemark.plans import learning, market, research, unlock
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+for module in (market, research, unlock, learning):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES

@@ -1,3 +1,103 @@
+"""Models over folds and series; SQL can't express these, tests compare them with plain forms."""
+
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from tidemark.operators import information, learning, policy
+from tidemark.plans.market import _returns
 from tidemark.plans.register import registry
+from tidemark.sources.views import bars_daily, trades
 
 query, QUERIES, ORACLES = registry()
+FEATURES = ["score", "regime", "position"]
+
+
+@query()
+def fracdiff_optimal_d(spark, sf):
+    return learning.optimal_d(bars_daily(spark, sf), "symbol", "ts", "close")
+
+
+@query()
+def isotonic_pav(spark, sf):
+    df = trades(spark, sf).select("row_id", "cluster", "score", (F.col("pnl") > 0).cast("double").alias("y"))
+    return learning.isotonic_by(df, "cluster", "score", "y").select("row_id", "cluster", "score", "calibrated")
+
+
+def _folded(spark, sf, folds):
+    df = trades(spark, sf)
+    tagged = df.join(policy.purged_folds(df, folds, 0.01).select("row_id", "pos", "fold"), "row_id").withColumn("y", (F.col("pnl") > 0).cast("double"))
+    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(tagged).select("row_id", "pos", "fold", "y", "features").cache()
+
+
+def _purged(df, fold, folds):
+    """Training rows of a fold: those outside it and its embargo."""
+    n = df.count()
+    size, gap = n // folds, max(1, int(n * 0.01))
+    lo, hi = fold * size - gap, (n if fold == folds - 1 else (fold + 1) * size) + gap
+    return df.where(~F.col("pos").between(lo, hi - 1))
+
+
+@query()
+def stack_oos(spark, sf):
+    """Out-of-fold chances: the mean of boosted trees and a random forest, each fit outside the fold and its embargo."""
+    df, out = _folded(spark, sf, 3), None
+    for k in range(3):
+        part = df.where(F.col("fold") == k)
+        for model in (GBTClassifier(labelCol="y", maxDepth=2, maxIter=5, seed=7), RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=4, seed=7)):
+            p = model.fit(_purged(df, k, 3)).transform(part).select("row_id", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+            out = p if out is None else out.union(p)
+    return out.groupBy("row_id", "fold").agg(F.avg("p").alias("p_oos"))
+
+
+@query()
+def cpcv_auc(spark, sf):
+    """Area under the curve on each of the 15 pairs of six groups, by a logistic model fit on the others."""
+    df, out = _folded(spark, sf, 6), None
+    for a in range(6):
+        for b in range(a + 1, 6):
+            held = F.col("fold").isin(a, b)
+            model = LogisticRegression(labelCol="y", maxIter=10, regParam=0.01).fit(df.where(~held))
+            p = model.transform(df.where(held)).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"), "y")
+            out = p if out is None else out.union(p)
+    return information.auc(out, "p", F.col("y") == 1, ["a", "b"])
+
+
+@query()
+def robust_pca(spark, sf):
+    """Two components of clipped features, scaled by median and quartiles."""
+    df = trades(spark, sf)
+    q = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)])).alias(c) for c in FEATURES])
+    wide = df.select("row_id", *FEATURES).join(F.broadcast(q.select(*[F.col(c).alias(f"q_{c}") for c in FEATURES])))  # one row
+    edge = lambda c, i: F.get(f"q_{c}", F.lit(i))
+    scaled = [((F.greatest(F.least(F.col(c), edge(c, 4)), edge(c, 0)) - edge(c, 2)) / F.greatest(edge(c, 3) - edge(c, 1), F.lit(1e-9))).alias(c) for c in FEATURES]
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="v").transform(wide.select("row_id", *scaled))
+    pcs = vector_to_array("pc")
+    return PCA(k=2, inputCol="v", outputCol="pc").fit(vectors).transform(vectors).select("row_id", F.get(pcs, F.lit(0)).alias("pc1"), F.get(pcs, F.lit(1)).alias("pc2"))
+
+
+@query()
+def regime_hmm(spark, sf):
+    return learning.regime(_returns(spark, sf), "symbol", "ts", "r")
+
+
+@query()
+def c2st_auc(spark, sf):
+    """How well a forest tells late rows from early ones: area under the curve on held-out rows."""
+    df = trades(spark, sf).withColumn("y", (F.col("date") >= F.lit("1999-01-01").cast("date")).cast("double"))
+    df = VectorAssembler(inputCols=["score", "pnl", "regime"], outputCol="features").transform(df).select("row_id", "y", "features")
+    held = F.pmod(F.xxhash64("row_id"), F.lit(3)) == 0
+    model = RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=4, seed=7).fit(df.where(~held))
+    scored = model.transform(df.where(held)).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+    return information.auc(scored, "p", F.col("y") == 1, [])
+
+
+@query()
+def symbol_clusters(spark, sf):
+    """Symbols by the signs of their features' medians against the panel's."""
+    df = trades(spark, sf)
+    own = df.groupBy("symbol").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in FEATURES])
+    whole = F.broadcast(df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in FEATURES]))  # one row
+    sign = F.concat(*[F.when(F.col(c) > F.col(f"m_{c}"), "1").otherwise("0") for c in FEATURES])
+    return own.join(whole).select("symbol", F.concat(F.lit("cluster_"), sign).alias("cluster"))

@@ -83,7 +83,9 @@ def draws(sources: DataFrame) -> DataFrame:
 
 def slots(sources: DataFrame) -> DataFrame:
     """(shard, source, pass, block) for every slot of the mix; a draw beyond MOST_PASSES passes over a source is void."""
-    numbered = prefix_sum(draws(sources), ["source"], [F.col("shard")], "n", "first")
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few rows that stand for many slots: dealt by a fixed number, so that they are not merged into one task
+    numbered = prefix_sum(draws(sources), ["source"], [F.col("shard")], "n", "first").repartition(parts, "source", "shard")
     each = numbered.select("shard", "source", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     each = each.where(F.col("slot") < F.col("n_blocks") * MOST_PASSES).withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks")))
     key = F.xxhash64(F.lit(SEED), "source", "pass")

@@ -8,7 +8,12 @@ from tidemark.sources.views import BARS, BARS4, bars_4h, bars_daily, keep_last,
 
 query, QUERIES, ORACLES = registry()
 R = lambda c, name, n=6: F.round(c, n).alias(name)
-W = windows.series(["symbol"], "ts")
+
+
+def _w():
+    return windows.series(["symbol"], "ts")
+
+
 ROLL = "partition by symbol order by ts rows between {} preceding and current row"
 BAR_COLUMNS = 'symbol, ts, round("open", 6) "open", round(high, 6) high, round(low, 6) low, round("close", 6) "close", round(volume, 4) volume, round(quote_volume, 2) quote_volume, n_trades'
 
@@ -46,25 +51,25 @@ def schema_merge(spark, sf):
 @query(f"""with {BARS} select symbol, ts, round(ln("close" / lag("close", 1) over w), 6) + 0.0::double ret_1, round(ln("close" / lag("close", 5) over w), 6) + 0.0::double ret_5, round(ln("close" / lag("close", 20) over w), 6) + 0.0::double ret_20
   from bars window w as (partition by symbol order by ts)""")
 def returns_multi_horizon(spark, sf):
-    return bars_daily(spark, sf).select("symbol", "ts", *[R(windows.log_return(F.col("close"), W, k), f"ret_{k}") for k in (1, 5, 20)])
+    return bars_daily(spark, sf).select("symbol", "ts", *[R(windows.log_return(F.col("close"), _w(), k), f"ret_{k}") for k in (1, 5, 20)])
 
 
 RET = f"""with {BARS}, ret as (select *, ln("close" / lag("close") over (partition by symbol order by ts)) r from bars)"""
 
 
 def _returns(spark, sf):
-    return bars_daily(spark, sf).withColumn("r", windows.log_return(F.col("close"), W))
+    return bars_daily(spark, sf).withColumn("r", windows.log_return(F.col("close"), _w()))
 
 
 @query(f"""{RET} select symbol, ts, round(case when count(r) over w >= 10 then stddev_samp(r) over w end * sqrt(365), 6) realized_vol from ret window w as ({ROLL.format(29)})""")
 def realized_vol_30(spark, sf):
-    return _returns(spark, sf).select("symbol", "ts", R(windows.rolling(F.stddev_samp, F.col("r"), W, 30, 10) * F.sqrt(F.lit(365.0)), "realized_vol"))
+    return _returns(spark, sf).select("symbol", "ts", R(windows.rolling(F.stddev_samp, F.col("r"), _w(), 30, 10) * F.sqrt(F.lit(365.0)), "realized_vol"))
 
 
 @query(f"""{RET} select symbol, ts, round(least(greatest(case when count(r) over s >= 3 then stddev_samp(r) over s end / greatest(case when count(r) over l >= 10 then stddev_samp(r) over l end, 1e-8), 0), 5), 6) vol_ratio
   from ret window s as ({ROLL.format(4)}), l as ({ROLL.format(29)})""".replace("round(least(greatest(", "round(case when count(r) over l >= 10 then least(greatest(").replace("0), 5), 6)", "0), 5) end, 6)"))
 def vol_ratio(spark, sf):
-    short, long = windows.rolling(F.stddev_samp, F.col("r"), W, 5, 3), windows.rolling(F.stddev_samp, F.col("r"), W, 30, 10)
+    short, long = windows.rolling(F.stddev_samp, F.col("r"), _w(), 5, 3), windows.rolling(F.stddev_samp, F.col("r"), _w(), 30, 10)
     ratio = F.when(long.isNotNull(), F.least(F.greatest(short / F.greatest(long, F.lit(1e-8)), F.lit(0.0)), F.lit(5.0)))
     return _returns(spark, sf).select("symbol", "ts", R(ratio, "vol_ratio"))
 
@@ -93,7 +98,7 @@ def range_vol_ewm(spark, sf):
 def dvol_zscore(spark, sf):
     x = F.col("x")
     bars = bars_daily(spark, sf).withColumn("x", (F.col("high") - F.col("low")) / ((F.col("high") + F.col("low")) / 2))
-    z = (x - windows.rolling(F.avg, x, W, 90, 30)) / F.greatest(windows.rolling(F.stddev_samp, x, W, 90, 30), F.lit(1e-8))
+    z = (x - windows.rolling(F.avg, x, _w(), 90, 30)) / F.greatest(windows.rolling(F.stddev_samp, x, _w(), 90, 30), F.lit(1e-8))
     return bars.select("symbol", "ts", R(F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-4.0)), F.lit(4.0))), "z"))
 
 
@@ -102,7 +107,7 @@ def dvol_zscore(spark, sf):
   select b.symbol, b.ts, coalesce((select arg_max(f, ref.ts) from ref where ref.ts <= b.ts), 0.5)::double flag from bars b""")
 def ma200_flag_asof(spark, sf):
     bars = bars_daily(spark, sf)
-    mean = windows.rolling(F.avg, F.col("close"), W, 200, 100)
+    mean = windows.rolling(F.avg, F.col("close"), _w(), 200, 100)
     ref = bars.where("symbol = 'AF'").select(F.lit(1).alias("g"), "ts", F.coalesce(F.when(F.col("close") > mean, 1.0), F.lit(0.0)).alias("f"))
     # one reference series for all: as-of per day, then back to the bars
     days = bars.select(F.lit(1).alias("g"), "ts").distinct()
@@ -128,7 +133,7 @@ def basis_left_join(spark, sf):
 
 @query(f"""with {BARS} select symbol, ts, round(case when lag(quote_volume, 30) over w > 0 then quote_volume / lag(quote_volume, 30) over w - 1 end, 6) chg30 from bars window w as (partition by symbol order by ts)""")
 def change_30_rows(spark, sf):
-    return bars_daily(spark, sf).select("symbol", "ts", R(windows.change(F.col("quote_volume"), W, 30), "chg30"))
+    return bars_daily(spark, sf).select("symbol", "ts", R(windows.change(F.col("quote_volume"), _w(), 30), "chg30"))
 
 
 SPREAD = f"""with {BARS4}, two as (select *, lag(high) over (partition by symbol order by ts) h0, lag(low) over (partition by symbol order by ts) l0 from bars4),
@@ -140,7 +145,7 @@ SPREAD = f"""with {BARS4}, two as (select *, lag(high) over (partition by symbol
 def _spread(spark, sf):
     """Two-bar high/low spread, floored at 0; null on the first bar."""
     k = 3 - 2 * 2**0.5
-    h0, l0 = F.lag("high").over(W), F.lag("low").over(W)
+    h0, l0 = F.lag("high").over(_w()), F.lag("low").over(_w())
     beta = F.pow(F.ln(h0 / l0), 2) + F.pow(F.ln(F.col("high") / F.col("low")), 2)
     gamma = F.pow(F.ln(F.greatest("high", h0) / F.least("low", l0)), 2)
     alpha = (F.sqrt(2 * beta) - F.sqrt(beta)) / k - F.sqrt(gamma / k)
@@ -158,7 +163,7 @@ SPREAD_Z = f"""{SPREAD}, z as (select symbol, ts, case when count(spread) over w
 
 def _spread_z(spark, sf):
     x = F.col("spread")
-    z = (x - windows.rolling(F.avg, x, W, 30, 10)) / F.greatest(windows.rolling(F.stddev_samp, x, W, 30, 10), F.lit(1e-8))
+    z = (x - windows.rolling(F.avg, x, _w(), 30, 10)) / F.greatest(windows.rolling(F.stddev_samp, x, _w(), 30, 10), F.lit(1e-8))
     return _spread(spark, sf).select("symbol", "ts", z.alias("z"))
 
 
@@ -190,7 +195,7 @@ def fracdiff_weights(d, n):
 def _fracdiff(spark, sf, reverse):
     w = fracdiff_weights(0.9, 41)
     literal = F.array(*[F.lit(x) for x in (w if reverse else w[::-1])])
-    frame = F.collect_list(F.ln("close")).over(W.rowsBetween(-40, 0))
+    frame = F.collect_list(F.ln("close")).over(_w().rowsBetween(-40, 0))
     dot = F.aggregate(F.zip_with("f", literal, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     return bars_daily(spark, sf).withColumn("f", frame).select("symbol", "ts", R(F.when(F.size("f") == 41, dot), "fracdiff", 5))
 

@@ -1,9 +1,9 @@
 """Query catalogue: names to callables and to the DuckDB SQL that checks them."""
 
-from tidemark.plans import learning, market, research, unlock
+from tidemark.plans import ingest, learning, market, research, unlock
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (market, research, unlock, learning):
+for module in (market, research, unlock, ingest, learning):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

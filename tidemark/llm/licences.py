@@ -106,6 +106,11 @@ def _variants(notice: str) -> list[str]:
     return out
 
 
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column that is computed once a row: what follows an explode is not merged with what it reads."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def paragraphs(docs: DataFrame, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but ``text``, with paragraph (from 0) and body for every line that is not blank."""
     rest = [F.col(c) for c in docs.columns if c not in (text, "paragraph", "body")]
@@ -155,9 +160,11 @@ def scan(docs: DataFrame, model: PipelineModel, limit: float, text: str = "text"
     spark = docs.sparkSession
     body = paragraphs(docs.drop("family", "certainty", "similarity", "confirmed"), text)
     names = body.columns
-    found = model.transform(body.withColumn("_words", _words(F.col("body"))))
-    chance = vector_to_array("_probability")
-    found = found.where((F.col("_class") != 0) & (F.get(chance, F.lit(0)) < 1 - limit)).withColumn("certainty", F.array_max(chance))
+    scored = model.transform(_once(body, _words(F.col("body")), "_words")).select(*names, "_words", "_raw")
+    found = _once(scored, vector_to_array("_raw"), "_margins").drop("_raw").withColumn("_top", F.array_max("_margins"))
+    total = F.aggregate(F.transform("_margins", lambda m: F.exp(m - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
+    found = found.withColumn("certainty", 1 / total).withColumn("_class", F.array_position("_margins", F.col("_top")) - 1)
+    found = found.where((F.col("_class") != 0) & (F.exp(F.get("_margins", F.lit(0)) - F.col("_top")) / total < 1 - limit))
     family = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), (F.col("_class") + 1).cast("int"))
     found = found.withColumn("_named", family)
     notices = spark.createDataFrame([(f, n) for f, ns in NOTICES.items() for n in ns], "_named string, notice string")

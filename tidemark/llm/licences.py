@@ -17,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import hashed_sample, table
 
 #: Bounds of the corpus sample that stands for ordinary text: documents, and paragraphs of each.
 ORDINARY_DOCS, ORDINARY_PARAGRAPHS = 1500, 5
@@ -130,7 +130,7 @@ def train(spark: SparkSession, docs: DataFrame) -> tuple[PipelineModel, float]:
     """The classifier and its limit of certainty, from a bounded sample that two tasks hold."""
     rows = [(v, float(FAMILIES.index(family)), zlib.crc32(v.encode()) % 5 == 0 and k > 0) for family, notices in NOTICES.items() for n in notices for k, v in enumerate(_variants(n))]
     notices = spark.createDataFrame(rows, "body string, label double, kept_out boolean")
-    few = docs.where(F.length("text") > 0).orderBy(F.xxhash64("text")).limit(ORDINARY_DOCS).select("text")
+    few = hashed_sample(docs.where(F.length("text") > 0).select("doc_id", "text"), ORDINARY_DOCS, "doc_id").select("text")
     plain = paragraphs(few).where(F.col("paragraph") < ORDINARY_PARAGRAPHS)
     marks = F.lower("body").rlike(r"licen[cs]|copyright|permi|redistrib|warrant|public domain|\bgnu\b|\bmit\b|spdx|reserved")
     plain = plain.where(~marks).select("body", F.lit(0.0).alias("label"), F.lit(False).alias("kept_out"))

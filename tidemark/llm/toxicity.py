@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import hashed_sample
+
 #: Bounds of the fitting sample: documents of either class, and characters of a document.
 TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 2500, 7500, 20_000
 WINDOW = 8
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, FIT_CHARS))
     sample = []
     for kind, most in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS)):
-        ids = [r[0] for r in marks.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id").collect()]
+        ids = [r[0] for r in hashed_sample(marks.where(F.col("toxic") == kind), most, "doc_id").select("doc_id").collect()]
         picked = spark.createDataFrame([(i,) for i in ids], marks.select("doc_id").schema)  # at most TOXIC_DOCS or ORDINARY_DOCS ids
         rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text").collect()
         sample.append([r[0] for r in rows])

@@ -452,3 +452,22 @@ def test_toxicity_held_out(spark):
 def test_query_numbers():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_empty_tables(spark, documents, tmp_path):
+    """Every query gives its columns and no rows on empty tables."""
+    for name in ("documents", "labels", "benchmark", "pages", "conversations"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in queries.QUERIES.items():
+        got = query(spark, str(tmp_path))
+        assert got.count() == 0, name
+
+
+def test_clashing_columns_and_null_ids(spark):
+    rows = [(None, "plain words here", "x"), (None, None, None), (2, "plain words here", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("fingerprint", F.lit("old")).withColumn("media", F.lit("old"))
+    assert toxicity.toxicity(df, toxicity.fit_texts([], [])).schema["score"].dataType.typeName() == "double"
+    assert webp.media_columns(df).count() == tokens.token_counts(df).count() == 3
+    assert pseudonyms.pseudonymise(df).count() == 3
+    assert Counter(r.component_id for r in simhash.near_duplicates(df).collect()) == Counter({2: 2, None: 1})
+    assert len(simhash.keep_first(df).collect()) == 2

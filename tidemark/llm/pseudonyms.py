@@ -190,17 +190,17 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", out: str =
     body = F.col(text)
     hit = body.rlike(FOUND)
     values = F.when(hit, F.regexp_extract_all(body, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.drop(out).withColumn("_values", F.coalesce(values, F.array().cast("array<string>")))
-    marked = marked.withColumn(out, F.transform("_values", kind_of))
-    fresh = F.zip_with("_values", F.col(out), lambda v, k: F.when(k.isNull(), v).otherwise(swap(v, k, F.lit(key))))
+    marked = docs.drop(out).withColumn("_tidemark_values", F.coalesce(values, F.array().cast("array<string>")))
+    marked = marked.withColumn(out, F.transform("_tidemark_values", kind_of))
+    fresh = F.zip_with("_tidemark_values", F.col(out), lambda v, k: F.when(k.isNull(), v).otherwise(swap(v, k, F.lit(key))))
     joined = F.array_join(F.zip_with(F.split(body, FOUND, -1), fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.when(F.exists(F.col(out), lambda k: k.isNotNull()), joined).otherwise(body)
-    return marked.withColumn(text, changed).withColumn(out, F.filter(out, lambda k: k.isNotNull())).drop("_values")
+    return marked.withColumn(text, changed).withColumn(out, F.filter(out, lambda k: k.isNotNull())).drop("_tidemark_values")
 
 
 def replace_private(docs: DataFrame) -> DataFrame:
     """``docs`` with pseudonyms in their texts and n_chars as long as those; other columns stay."""
-    done = pseudonymise(docs, out="_found").drop("_found")
+    done = pseudonymise(docs, out="_tidemark_found").drop("_tidemark_found")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -181,9 +181,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     another, and one stays where it has not.
     """
     key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
-    keepers = near_duplicates(docs).groupBy("component_id").agg(F.lit(True).alias("_keep")).select(key("component_id").alias("_key"))
-    # one exchange by _key serves the join and what follows it
-    return docs.withColumn("_key", key("doc_id")).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    keepers = near_duplicates(docs).groupBy("component_id").agg(F.lit(True).alias("_keep")).select(key("component_id").alias("_tidemark_key"))
+    # one exchange by that key serves the join and what follows it
+    return docs.withColumn("_tidemark_key", key("doc_id")).join(keepers, "_tidemark_key", "left_semi").dropDuplicates(["_tidemark_key"]).drop("_tidemark_key")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -265,7 +265,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents of which no word is hit, with the columns of ``docs``."""
-    return contamination(docs, benchmark, out="_contamination").where(~F.col("_contamination.contaminated")).drop("_contamination")
+    return contamination(docs, benchmark, out="_tidemark_contamination").where(~F.col("_tidemark_contamination.contaminated")).drop("_tidemark_contamination")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -194,7 +194,7 @@ def toxicity(docs: DataFrame, model: dict, text: str = "text", out: str = "score
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below the threshold, with the columns of ``docs``."""
-    return toxicity(docs, fit(docs, labels), out="_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    return toxicity(docs, fit(docs, labels), out="_tidemark_toxicity").where(F.col("_tidemark_toxicity") < THRESHOLD).drop("_tidemark_toxicity")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -210,6 +210,24 @@ def test_pseudonyms(spark):
     assert [r.text for r in pseudonyms.pseudonymise(docs(spark, texts[:2]), key="other").collect()] != [r.text for r in rows[:2]]
 
 
+BESIDE = [
+    ("123-45-6789", " 12 items"), ("1985-02-28", " 10:30"), ("1985-02-28", ". 12 people"), ("1985-02-28", "T10:30:00Z"), ("4799134681044206", " 12/27"), ("4799 1346 8104 4206", " 123"),
+    ("55.63.178.142", " 8080"), ("8.8.8.8", " 53"), ("+1 (319) 555-5132", " 12"), ("(319) 555-5132", " 12 34"), ("+44 20 7946 0958", " 2024"), ("+420 601 123 456", ", 7"),
+    ("GB82 WEST 1234 5698 7654 32", " 2024"), ("BE68 5390 0754 7034", " 12 items"),
+]
+
+
+def test_values_beside_numbers(spark):
+    """A value is found whatever numbers stand before or after it, and as the same value each time."""
+    texts = [f"see {v}{after}" for v, after in BESIDE] + [f"see 12 {v}{after}" for v, after in BESIDE] + [f"see {v}, x" for v, _ in BESIDE]
+    both = ["555-123-4567 2024-01-05", "2024 4799 1346 8104 4206", "(123-45-6789)", "1985-02-28/1986-03-01"]
+    rows = [(r.text, len(r.found)) for r in pseudonyms.pseudonymise(docs(spark, texts + both)).orderBy("doc_id").collect()]
+    for i, (value, after) in enumerate(BESIDE):
+        plain = rows[2 * len(BESIDE) + i][0].removeprefix("see ").removesuffix(", x")
+        assert plain != value and rows[i] == (f"see {plain}{after}", 1) and rows[len(BESIDE) + i] == (f"see 12 {plain}{after}", 1)
+    assert [n for _, n in rows[3 * len(BESIDE) :]] == [2, 1, 1, 2] and rows[-3][0].startswith("2024 ")
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(12 * 35).select(pseudonyms.permute_number(F.col("id"), (12, 35), F.lit("k")).alias("p")).collect()
     assert sorted(r.p for r in got) == list(range(12 * 35))

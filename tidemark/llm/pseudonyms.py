@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms of personal data, with DataFrame functions only.
 
-Values are found with one pattern, validated by kind, and permuted under a key by a Feistel network within their own
+Values are found with a bounded pattern for each kind, validated, and permuted under a key by a Feistel network within their own
 format: digits stay digits, letters letters, dates dates, card and account numbers keep valid check digits. Equal values
 become equal pseudonyms in every document, and different values of a format stay different.
 """
@@ -19,9 +19,45 @@ ROUNDS = 10
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|pwd|token|secret|api_?key)(?:\s?[=:]\s?)\"?[0-9A-Za-z_+/-]{8,}\"?"
-IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
-NUMBER = r"(?<![\w.+-])(?:\+\d|\(\d|\d)(?:[ ./()-]{0,2}\d){6,18}(?![\w-]|\.\d)"
-FOUND = f"{EMAIL}|{SECRET}|{IBAN}|{NUMBER}"
+# around values of digits
+_FREE, _END = r"(?<![\w.+-])", r"(?![\w-]|\.\d)"
+IP = r"\d{1,3}(?:\.\d{1,3}){3}"
+DATE = r"(?:\d{4}(?:-\d\d-|/\d\d/)\d\d|\d\d(?:/\d\d/|\.\d\d\.|-\d\d-)\d{4})"
+SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
+#: Country codes by the digits that follow, where all numbers of a country have as many.
+_NATIONAL = {8: "45|47|65", 9: "3[134]|351|380|4[18]|61|971", 10: "[17]|44|52|9[01]", 11: "86"}
+_GROUPS = r"\d{2,4}(?:[ .-]?\d{2,4})"
+PHONES = [
+    *[rf"\+(?:{codes})(?:[ .()-]{{0,2}}\d){{{n}}}" for n, codes in _NATIONAL.items()],
+    r"\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}",
+    r"\d{3}[ .-]\d{3}[ .-]\d{4}",
+    # other groupings: all that follow up to 15 digits, else the first few
+    rf"(?!\+?\(?\d(?:[ .()-]{{0,2}}\d){{15}})(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)[ .-]?)?|\(\d{{2,4}}\)[ .-]?){_GROUPS}{{1,4}}",
+    rf"(?:\+\d{{1,3}}[ .-]?|\(\d{{2,4}}\)[ .-]?){_GROUPS}{{1,2}}",
+    rf"\+\d{{1,3}}[ .-]?\(\d{{2,4}}\)[ .-]?{_GROUPS}",
+]
+DATED = f"{_FREE}{IP}{_END}|{_FREE}{DATE}(?:{_END}|(?=T\\d\\d))|{_FREE}{SSN}{_END}"
+PHONE = f"{_FREE}(?:{'|'.join(PHONES)}){_END}"
+#: Values with check digits are candidates at every place where one may begin, and count once their check holds.
+#: Cards as they are printed; then any other grouping of their digits.
+CARDS = [
+    r"\d{13,19}|\d{4}(?: \d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}",
+    r"\d{4}(?:[ -]\d{4}){3}[ -]\d{1,3}",
+]
+OTHER_CARDS = [rf"\d{{3,12}}(?:[ -]{{1,2}}\d{{1,12}}){{{n}}}" for n in range(5, 0, -1)]
+#: Lengths of account numbers by country; countries without one take all groups that follow.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC",
+}
+IBANS = [
+    "|".join(rf"(?:{codes})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, codes in _LENGTHS.items()),
+    r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+]
+ACCOUNT = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2}"
+LONG = rf"{_FREE}\d(?:[ -]{{0,2}}\d){{12}}"
+FOUND = f"{EMAIL}|{SECRET}|{ACCOUNT}|{DATED}|{PHONE}|{LONG}"
 
 KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban", "secret")
 _DATES = {
@@ -181,6 +217,23 @@ def pseudonym(s: Column, kind: Column, key: Column) -> Column:
     return F.coalesce(out, s)
 
 
+def _checked(body: Column, may: str, forms: list[str], good: Callable[[Column], Column]) -> Column:
+    """The values of ``forms`` in a text, overlapping or not, that pass their check, as alternatives of a pattern; null without any."""
+    begin, end = (r"\b", r"\b") if may == ACCOUNT else (_FREE, _END)
+    every = F.concat(*[F.regexp_extract_all(body, F.lit(f"{begin}(?=((?:{form}){end}))"), F.lit(1)) for form in forms])
+    held = F.when(body.rlike(may), F.filter(F.array_distinct(every), lambda v: F.coalesce(good(v), F.lit(False))))
+    return F.when(F.size(held) > 0, F.concat(F.lit(f"{begin}(?:"), F.array_join(held, "|"), F.lit(f"){end}")))
+
+
+def _pattern(body: Column) -> Column:
+    """The pattern of all values of a text: those that a pattern can tell, and its own values whose check digits hold."""
+    compact = lambda v: F.replace(v, F.lit(" "), F.lit(""))
+    account = lambda v: _mod97(F.concat(F.substr(compact(v), F.lit(5), F.lit(40)), F.substr(compact(v), F.lit(1), F.lit(4)))) == 1
+    card = lambda v: F.length(_digits(v)).between(13, 19) & (_luhn(_digits(v)) == 0)
+    cards, others = _checked(body, LONG, CARDS, card), _checked(body, LONG, OTHER_CARDS, card)
+    return F.concat_ws("|", F.lit(EMAIL), F.lit(SECRET), _checked(body, ACCOUNT, IBANS, account), F.lit(DATED), cards, F.lit(PHONE), others)
+
+
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", out: str = "found", swap: Callable[[Column, Column, Column], Column] = pseudonym) -> DataFrame:
     """``docs`` with the valid values in ``text`` replaced, and the array ``out`` of their kinds, in order.
 
@@ -188,14 +241,15 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", out: str =
     texts are read. A column named as ``out`` is replaced.
     """
     body = F.col(text)
-    hit = body.rlike(FOUND)
-    values = F.when(hit, F.regexp_extract_all(body, F.lit(FOUND), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    marked = docs.drop(out).withColumn("_tidemark_values", F.coalesce(values, F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    marked = docs.drop(out).withColumn("_tidemark_pattern", F.when(body.rlike(FOUND), _pattern(body)))
+    pattern = F.col("_tidemark_pattern")
+    marked = marked.withColumn("_tidemark_values", F.coalesce(F.when(pattern.isNotNull(), F.regexp_extract_all(body, pattern, F.lit(0))), none))
     marked = marked.withColumn(out, F.transform("_tidemark_values", kind_of))
     fresh = F.zip_with("_tidemark_values", F.col(out), lambda v, k: F.when(k.isNull(), v).otherwise(swap(v, k, F.lit(key))))
-    joined = F.array_join(F.zip_with(F.split(body, FOUND, -1), fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    joined = F.array_join(F.zip_with(F.split(body, pattern, -1), fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.when(F.exists(F.col(out), lambda k: k.isNotNull()), joined).otherwise(body)
-    return marked.withColumn(text, changed).withColumn(out, F.filter(out, lambda k: k.isNotNull())).drop("_tidemark_values")
+    return marked.withColumn(text, changed).withColumn(out, F.filter(out, lambda k: k.isNotNull())).drop("_tidemark_values", "_tidemark_pattern")
 
 
 def replace_private(docs: DataFrame) -> DataFrame:

@@ -448,6 +448,14 @@ def test_keep_first(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_keep_first_by_class(spark):
+    """Unrelated texts without an id, or with the same id, are classes of their own."""
+    rows = [(None, "plain words of one kind"), (None, "a wholly different text here"), (5, "first text of five"), (5, "something else under five"), (None, "first text of five"), (7, "first text of five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.keep_first(df.union(df.limit(2)).repartition(3)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(rows[:4])
+
+
 # 10 toxicity
 
 

@@ -167,23 +167,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp"))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(fingerprint_links(distinct, limit))
-    classes = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    classes = _classes(distinct, limit)
     firsts = classes.groupBy("class").agg(F.min("first").alias("component_id"))
     named = classes.join(firsts, "class").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _classes(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(fp, first, class) for the distinct fingerprints ``fp``: a class is named by its smallest fingerprint."""
+    labels = components(fingerprint_links(distinct, limit))
+    return distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the smallest doc_id, with the columns of ``docs``.
+    """One row of each class of near-duplicates, the one with the smallest doc_id, with the columns of ``docs``.
 
-    Rows that share that doc_id are one document; one of them stays. Rows with a null doc_id go where a class has
-    another, and one stays where it has not.
+    Rows with a null doc_id go where a class has another. Of rows that share a doc_id within a class, the one with the
+    smallest hash of its columns stays; in different classes each has its own.
     """
-    key = lambda c: F.coalesce(F.concat(F.lit("i"), F.col(c).cast("string")), F.lit("n"))
-    keepers = near_duplicates(docs).groupBy("component_id").agg(F.lit(True).alias("_keep")).select(key("component_id").alias("_tidemark_key"))
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    parts = [x for name in hashed for x in (F.col(name).isNull(), F.col(name))]
+    keys = ["_tidemark_a", "_tidemark_b"]
+    marks = [F.xxhash64(*parts).alias(keys[0]), F.xxhash64(F.lit(1), *parts).alias(keys[1])]
+    rows = fingerprints(docs.select("doc_id", "text", *marks), "text", "fp")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *keys)
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min(place).alias("first")))
+    keepers = _classes(distinct).groupBy("class").agg(F.min("first").alias("first")).select(*[f"first.{k}" for k in keys])
     # one exchange by that key serves the join and what follows it
-    return docs.withColumn("_tidemark_key", key("doc_id")).join(keepers, "_tidemark_key", "left_semi").dropDuplicates(["_tidemark_key"]).drop("_tidemark_key")
+    return docs.select("*", *marks).join(keepers, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -104,6 +104,19 @@ def test_page_text():
     assert pages.main_text(PAGE) == "Café title\nFirst paragraph, with bold words & marks.\nSecond one; it has more text, and marks.\nitem"
 
 
+def test_uneven_paths_stay():
+    """Long nodes on one path leave the others in; a small article does not put out the page's text."""
+    sentence = "Some words of a text, as it goes on. "
+    paragraphs = "".join(f"<p>{i} {sentence * 8}</p>" for i in range(20))
+    nav = "<div><ul><li><a>Home</a><li><a>About</a></ul></div>"
+    for html in (f"<div>{paragraphs}<blockquote><p>{sentence * 40}</p></blockquote></div>", f"<div>{paragraphs}</div><article><p>Short teaser.</p></article>"):
+        got = pages.main_text(f"<body>{nav}<div>{html}</div></body>")
+        assert all(f"{i} {sentence * 8}".strip() in got for i in range(20))
+    sections = "".join(f"<div class={c}>" + f"<p>{c} {sentence * n}</p>" * 10 + "</div>" for c, n in (("a", 1), ("b", 25)))
+    got = pages.main_text(f"<body>{nav}<section>{sections}</section></body>")
+    assert got.count("a Some") == got.count("b Some") == 10 and "Home" not in got
+
+
 @pytest.mark.parametrize("html", [None, "", "<p>", "<!-- x", "<div><script>", "&#0;<<<>>", "<table><tr><td>"])
 def test_odd_pages(html):
     assert isinstance(pages.main_text(html), str)

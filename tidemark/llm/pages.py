@@ -165,13 +165,21 @@ def _scores(nodes: list[tuple[_Element, str, int]]) -> np.ndarray:
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
     weight = np.convolve(np.ones(len(nodes)), kernel, "same")[: len(nodes)] if len(nodes) >= 5 else np.ones(len(nodes))
     smooth = np.stack([np.convolve(r, kernel, "same") for r in ratios.T], axis=1) / weight[:, None] if len(nodes) >= 5 else ratios
-    fused = smooth[:, 0] * (1 + smooth[:, 1])
+    # bounded: a path of very long nodes does not put the others out of reach
+    fused = np.log1p(smooth[:, 0]) * (1 + np.minimum(1, 40 * smooth[:, 1] / np.maximum(smooth[:, 0], 1)))
     score = defaultdict(list)
     for path, value in zip(paths, fused):
         score[path].append(value)
     return np.array([np.mean(score[p]) for p in paths])
 
 
+def _threshold(nodes: list[tuple[_Element, str, int]], scores: np.ndarray) -> float:
+    """A share of the score that half of the page's characters reach."""
+    order = np.argsort(scores)
+    size = np.cumsum(np.array([len(text.strip()) for _, text, _ in nodes])[order])
+    return 0.5 * float(scores[order][np.searchsorted(size, size[-1] / 2)])
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order, white space inside a block one space, joined by line ends."""
     nodes = _nodes(html or "")
@@ -180,10 +188,12 @@ def main_text(html: str | None) -> str:
     if not filled:
         return ""
     scores = _scores(filled)
-    content = [n for n, s in zip(filled, scores) if s >= max(scores.mean(), 0.2 * scores.max())] or filled
-    for name in ("article", "main"):  # a page that says where its article is rules out content elsewhere
-        if any(_inside(n[0], (name,)) for n in filled):
-            content = [n for n in content if _inside(n[0], (name,))] or [n for n in filled if _inside(n[0], (name,))]
+    limit = _threshold(filled, scores)
+    content = [n for n, s in zip(filled, scores) if s >= limit]
+    for name in ("article", "main"):  # an element that is said to be the article narrows the content if most of it is there
+        stated = [n for n in content if _inside(n[0], (name,))]
+        if 2 * sum(len(n[1].strip()) for n in stated) >= sum(len(n[1].strip()) for n in content):
+            content = stated
             break
     region = _ancestors(content[0][0])
     for element, _, _ in content[1:]:

@@ -104,6 +104,15 @@ def test_page_text():
     assert pages.main_text(PAGE) == "Café title\nFirst paragraph, with bold words & marks.\nSecond one; it has more text, and marks.\nitem"
 
 
+@pytest.mark.parametrize("around", ["<div class='layout no-sidebar'>%s</div>", "<div class=content-with-sidebar>%s</div>", "<form>%s</form>", "%s"])
+@pytest.mark.parametrize("inner", ["<article>%s</article>", "<div class=post>%s</div>"])
+def test_names_of_the_layout_keep_the_page(around, inner):
+    body = "<header class=entry-header><h1>Headline</h1></header>" if "article" in inner else "<div class=entry-header><h1>Headline</h1></div>"
+    body += "<p>A first paragraph, of some words.</p><p>A second one, of some more words.</p><div class=ad-box>Buy this, now.</div>"
+    html = f"<body>{around % (inner % body + '<div class=comments><p>Nice, thanks.</p></div><form>Your name, please.</form>')}</body>"
+    assert pages.main_text(html) == "Headline\nA first paragraph, of some words.\nA second one, of some more words."
+
+
 def test_uneven_paths_stay():
     """Long nodes on one path leave the others in; a small article does not put out the page's text."""
     sentence = "Some words of a text, as it goes on. "

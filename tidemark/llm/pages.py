@@ -51,7 +51,7 @@ _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 
 
 class _Element:
-    __slots__ = ("name", "label", "parent", "never", "depth", "order")
+    __slots__ = ("name", "label", "parent", "never", "hard", "soft", "article", "chars", "depth", "order")
 
     def __init__(self, name: str, attributes: str, parent: _Element | None, order: int) -> None:
         found = {k.lower(): unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
@@ -59,12 +59,44 @@ class _Element:
         self.name, self.parent, self.order = name, parent, order
         self.label = f"{name}.{'.'.join(sorted(found.get('class', '').split()))}" if "class" in found else name
         self.depth = parent.depth + 1 if parent else 0
-        in_article = name == "header" and _inside(parent, ("article", "main"))
+        in_article = _inside(parent, ("article", "main"))
         hidden = "hidden" in found or found.get("aria-hidden", "") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower())
-        named = name not in ("body", "html", "article", "main") and not NEVER_NAMES.isdisjoint(re.split(r"[^a-z]+", marks))
-        self.never = bool(
-            (parent and parent.never) or name in NEVER_TAGS or (name == "header" and not in_article) or hidden or named or found.get("role", "").lower() in NEVER_ROLES
-        )
+        named = set() if name in ("body", "html", "article", "main") or NEVER_NAMES.isdisjoint(re.split(r"[^a-z]+", marks)) else {m for m in marks.split() if not _heads(m, in_article)}
+        whole = not NEVER_NAMES.isdisjoint(named)
+        part = any(not NEVER_NAMES.isdisjoint(re.split(r"[^a-z]+", m)) for m in named)
+        self.hard = bool((name in NEVER_TAGS and name != "form") or (name == "header" and not in_article) or hidden or whole or found.get("role", "").lower() in NEVER_ROLES)
+        self.soft = not self.hard and (part or name == "form")  # unless it holds the article or most of the text
+        self.never = self.hard or bool(parent and parent.never)
+        self.article, self.chars = name in ("article", "main"), 0
+
+
+def _heads(mark: str, in_article: bool) -> bool:
+    """Whether a class or id names the header of an article."""
+    parts = {x for x in re.split(r"[^a-z]+", mark) if x}
+    return parts & NEVER_NAMES == {"header"} and (in_article or not parts.isdisjoint(("article", "content", "entry", "post", "story")))
+
+
+def _settle(nodes: list[tuple[_Element, str, int]], elements: list[_Element]) -> None:
+    """Discards the soft elements that hold neither an article nor most of the page's text, and all that is in them."""
+    if not any(e.soft for e in elements):
+        return
+    total = 0
+    for element, text, _ in nodes:
+        if not element.never:
+            n = len(text.strip())
+            total += n
+            while element:
+                element.chars += n
+                element = element.parent
+    for e in elements:  # parents come first
+        if e.parent and not e.never:
+            if e.article:
+                up = e.parent
+                while up and not up.article:
+                    up.article = True
+                    up = up.parent
+    for e in elements:
+        e.never = e.hard or bool(e.parent and e.parent.never) or e.soft and not e.article and 2 * e.chars <= total
 
 
 def _inside(element: _Element | None, names: tuple[str, ...]) -> bool:
@@ -80,6 +112,7 @@ def _nodes(html: str) -> list[tuple[_Element, str, int]]:
     root = _Element("html", "", None, 0)
     here, block, order, at = root, 0, 0, 0
     nodes: list[tuple[_Element, str, int]] = []
+    elements: list[_Element] = []
 
     def text(piece: str) -> None:
         if piece:
@@ -141,7 +174,9 @@ def _nodes(html: str) -> list[tuple[_Element, str, int]]:
             end = re.compile(rf"</{re.escape(name)}\s*[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
+        elements.append(element)
         here = element
+    _settle(nodes, elements)
     return nodes
 
 

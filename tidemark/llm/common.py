@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def strings(column: pa.Array) -> Iterator[str]:
+    """The texts of an Arrow column: a null is empty, and bytes that are not UTF-8 become replacement characters."""
+    for x in column.cast(pa.large_binary()):
+        yield (x.as_py() or b"").decode("utf-8", "replace")
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, UPPER, UPPER.lower())

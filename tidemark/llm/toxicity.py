@@ -1,19 +1,25 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from a bounded sample of labelled texts. Both hold the same trained ordinary
-content; the toxic one ends with the words that toxic texts share and ordinary ones lack, the other with as much
-ordinary text. A window of words that compresses better with the toxic dictionary holds such words; a window of ordinary
-text is as long with either. The largest gains of a text and the shares of windows beyond thresholds go through a
-logistic calibration fitted on sampled texts that the dictionaries have not seen.
-
-Sampled near-copies count once, since words of a much copied text would look like words that many toxic texts share.
+Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on ordinary texts, one on toxic texts.
+A window is one distinct word of a text between word marks, so that a word costs least where a dictionary holds it whole.
+A window's gain is its compressed length with the ordinary dictionary less that with the toxic one. The counts of
+windows whose gains reach fixed marks, and the largest gains, go through a logistic calibration.
+
+Most of a toxic text is ordinary. The toxic dictionary is therefore trained on the windows of toxic texts that the
+ordinary dictionary compresses badly and that a dictionary trained on the other toxic texts compresses better. The
+calibration is cross-fitted: every text of the sample is scored by dictionaries that were trained on the other folds,
+whatever the size of the sample. Its intercept is moved so that THRESHOLD lies where recall less FALSE_COST times the
+false alarms is largest on those scores.
+
+Sampled near-copies count once, since windows of a much copied text would look like windows that many texts share.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,36 +28,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hashed_sample
+from tidemark.llm.common import hashed_sample, strings
 
 #: Bounds of the fitting sample: documents of either class, and characters of a document.
 TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 2500, 7500, 20_000
-WINDOW = 8
-SUSPECT = 2
-CARRIER_BYTES = 128
-BASE_BYTES = 256 * 1024
-LEVEL = 3
-#: A word is toxic if its share of toxic texts is so many times its share of ordinary ones.
-CONTRAST = 20
-TAIL_WORDS = 4000
-MARKS = (2, 4, 6)
+#: Capacities of the dictionaries in bytes, and the lengths of the segments and d-mers by which the trainer chooses them.
+ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER = 2 << 20, 1024, 8
+TOXIC_BYTES, RECURRING_BYTES, TOXIC_SEGMENT, TOXIC_DMER = 16 << 10, 256 << 10, 64, 6
+FOLDS = 3
+#: Marks on a window's gain, in bytes.
+MARKS = (3, 5, 7)
+TOP = 5
 THRESHOLD = 0.7
+FALSE_COST = 5
+CACHED_WINDOWS = 1 << 18
 
-
+_WORD = re.compile(r"[^\W\d_]+")
+_EDGE = b"\x01\x02\x03"
 _SECOND = bytes((i + 128) % 256 for i in range(256))
 
 
-def _words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def windows(text: str | None) -> list[str]:
+    """The distinct words of a text in lower case, in their order."""
+    return list(dict.fromkeys(w.lower() for w in _WORD.findall(text or "")))
+
 
+def _marked(window: str) -> bytes:
+    return _EDGE + window.encode("utf-8", "replace") + _EDGE[::-1]
 
-def _window(words: list[str]) -> bytes:
-    """Each byte and a second form of it: an unmatched letter then costs two bytes, so that one word's match stands out."""
-    once = f" {' '.join(words)} ".encode("utf-8", "replace")
-    twice = bytearray(2 * len(once))
-    twice[::2] = once
-    twice[1::2] = once.translate(_SECOND)
-    return bytes(twice)
+
+def _twice(data: bytes) -> bytes:
+    """Each byte and a second form of it: an unmatched letter then costs two bytes, so that one match stands out."""
+    out = bytearray(2 * len(data))
+    out[::2] = data
+    out[1::2] = data.translate(_SECOND)
+    return bytes(out)
 
 
 def _distinct(texts: list[str]) -> list[str]:
@@ -59,30 +70,49 @@ def _distinct(texts: list[str]) -> list[str]:
     seen: set[int] = set()
     out = []
     for text in texts:
-        words = _words(text)
-        sketch = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))})[:12]
+        words = windows(text)
+        sketch = sorted({zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 2))})[:12]
         if words and sum(h in seen for h in sketch) < max(1, len(sketch) // 6):
             seen.update(sketch)
             out.append(text)
     return out
 
 
-def _bare(text: str) -> list[str]:
-    return [w.strip(".,;:!?\"'()[]") for w in _words(text)]
-
-
-def _contexts(texts: list[str], wanted: set[str]) -> Counter:
-    """How many different pairs of neighbours each wanted word has; a passage that is copied counts once."""
-    met = set()
-    for text in texts:
-        bare = ["", *_bare(text), ""]
-        met.update(x for x in zip(bare, bare[1:], bare[2:]) if x[1] in wanted)
-    return Counter(w for _, w, _ in met)
-
-
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(LEVEL, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+def _trained(samples: list[str], size: int, segment: int, dmer: int) -> bytes:
+    """The content of a dictionary trained on windows; of too few to train on, the windows themselves."""
+    marked = [_marked(w) for w in samples]
+    try:
+        return zstandard.train_dictionary(size, marked, k=segment, d=dmer, f=20, accel=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(marked)[:size] or b" "
+
+
+def _lengths(content: bytes) -> Callable[[str], int]:
+    """The compressed length of a window by a dictionary of this content."""
+    content = _twice(content)
+    bits = max(12, len(content).bit_length())
+    params = zstandard.ZstdCompressionParameters(
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_checksum=False, write_content_size=False, write_dict_id=False,
+        strategy=zstandard.STRATEGY_BTOPT, window_log=min(bits + 1, 27), hash_log=min(bits, 20), chain_log=bits + 1, search_log=6, min_match=3, target_length=64,
+    )
+    dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    dictionary.precompute_compress(compression_params=params)
+    compress = zstandard.ZstdCompressor(dict_data=dictionary, compression_params=params).compress
+    return lambda window: len(compress(_twice(_marked(window))))
+
+
+def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[bytes, bytes]:
+    """The contents of the toxic and the ordinary dictionary from the windows of texts of either class."""
+    ordinary = _trained([w for t in good for w in t], ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER)
+    plain = lru_cache(None)(_lengths(ordinary))
+    usual = int(np.quantile(np.array([plain(w) for t in good for w in t]), 0.9))  # a window that the dictionary holds costs no more
+    odd = [[w for w in t if plain(w) > usual] for t in bad]
+    part = [zlib.crc32(" ".join(t).encode("utf-8", "replace")) % 2 for t in bad]
+    recurring = []
+    for p in (0, 1):
+        others = lru_cache(None)(_lengths(_trained([w for t, q in zip(odd, part) if q != p for w in t], RECURRING_BYTES, TOXIC_SEGMENT, TOXIC_DMER)))
+        recurring += [w for t, q in zip(odd, part) if q == p for w in t if others(w) < plain(w) - 2]
+    return _trained(recurring, TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_DMER), ordinary
 
 
 class Scorer:
@@ -90,26 +120,18 @@ class Scorer:
 
     def __init__(self, model: dict) -> None:
         self.model = model
-        self.toxic, self.ordinary = _compressor(model["toxic"]).compress, _compressor(model["ordinary"]).compress
+        toxic, ordinary = _lengths(model["toxic"]), _lengths(model["ordinary"])
+        self.gain = lru_cache(CACHED_WINDOWS)(lambda w: ordinary(w) - toxic(w))
 
     def features(self, words: list[str]) -> list[float]:
-        toxic, ordinary, carrier = self.toxic, self.ordinary, self.model["carrier"]
-        gains, close = [], [0.0, 0.0, 0.0]
-        for at in range(0, len(words), WINDOW):
-            own = words[at : at + WINDOW]
-            window = _window(own)
-            gain = len(ordinary(window)) - len(toxic(window))
-            gains.append(gain)
-            if gain >= SUSPECT:  # a closer look: each word on its own behind text that both dictionaries hold
-                for word in own:
-                    alone = carrier + _window([word])
-                    close.append(len(ordinary(alone)) - len(toxic(alone)))
-        gains, close = np.sort(gains or [0])[::-1].astype(float), np.sort(close)[::-1].astype(float)
-        n, m = np.log1p(len(gains)), np.log1p(len(words))
-        return [gains[0], gains[:3].mean(), np.log1p((gains >= 5).sum()) - n, *close[:3], *(np.log1p((close >= k).sum()) - m for k in MARKS), n]
+        gains = np.sort(np.array([self.gain(w) for w in words], dtype=float))[::-1]
+        top = np.r_[gains[:TOP], np.full(max(0, TOP - len(gains)), -4.0)]
+        n = np.log1p(len(gains))
+        reach = [np.log1p((gains >= k).sum()) for k in MARKS]
+        return [*top[:3], top[3:].mean(), *reach, *(r - n for r in reach), n]
 
     def score(self, text: str | None) -> float:
-        words = _words(text)
+        words = windows(text)
         if not words or self.model["weights"] is None:
             return 0.0
         x = (np.array(self.features(words)) - self.model["mean"]) / self.model["scale"]
@@ -125,31 +147,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def _cut(value: np.ndarray, y: np.ndarray) -> float:
+    """The value from which on recall less FALSE_COST times the share of false alarms is largest."""
+    order = np.argsort(-value, kind="stable")
+    hit, wrong = np.cumsum(y[order]) / y.sum(), np.cumsum(1 - y[order]) / (1 - y).sum()
+    last = np.append(value[order][1:] != value[order][:-1], True)  # rows of one value go together
+    return float(value[order][np.argmax(np.where(last, hit - FALSE_COST * wrong, -np.inf))])
+
+
 def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     """A model from texts of either class, in a fixed order."""
-    bad, good = _distinct(toxic), _distinct(ordinary)
-    empty = {"toxic": b" ", "ordinary": b" ", "carrier": b"", "weights": None, "mean": 0.0, "scale": 1.0}
-    if len(bad) < 2 or len(good) < 2:
+    texts = [windows(t) for t in _distinct(toxic)], [windows(t) for t in _distinct(ordinary)]
+    empty = {"toxic": b" ", "ordinary": b" ", "weights": None, "mean": 0.0, "scale": 1.0}
+    if min(map(len, texts)) < FOLDS:
         return empty
-    cut = lambda docs: docs[: max(1, 2 * len(docs) // 3)]
-    least = 2 + round(0.001 * len(cut(bad)))
-    count = Counter(w for t in cut(bad) for w in {*_bare(t)} if len(w) >= 3)
-    wanted = {w for w, n in count.items() if n >= least}
-    plain = Counter(w for t in good for w in {*_bare(t)} & wanted)  # ordinary texts only rule words out
-    wanted = {w for w in wanted if count[w] / len(cut(bad)) >= CONTRAST / 4 * plain[w] / len(good)}
-    in_bad, in_good = _contexts(cut(bad), wanted), _contexts(good, wanted)
-    n_bad, n_good = sum(len(t.split()) for t in cut(bad)), sum(len(t.split()) for t in good)
-    marked = sorted((n, w) for w, n in in_bad.items() if n >= least and n / n_bad >= CONTRAST * (in_good[w] + 0.5) / n_good)
-    tail = _window([w for _, w in marked[-TAIL_WORDS:]])
-    pool = sorted((" ".join(w[i : i + WINDOW]) for w in map(_words, cut(good)) for i in range(0, len(w), WINDOW)), key=lambda x: (zlib.crc32(x.encode("utf-8", "replace")), x))
-    base = b"".join(_window(x.split(" ")) for x in pool[: BASE_BYTES // 16])[:BASE_BYTES]
-    model = empty | {"toxic": base + tail, "ordinary": base, "carrier": base[-CARRIER_BYTES:]}
-    rest = lambda docs: docs[len(cut(docs)) :] if len(docs) >= 30 else docs
-    scorer = Scorer(model)
-    x = np.array([scorer.features(_words(d)) for d in rest(bad) + rest(good)])
-    y = np.r_[np.ones(len(rest(bad))), np.zeros(len(rest(good)))]
+    x, y = [], []
+    for f in range(FOLDS):
+        scorer = Scorer(empty | dict(zip(("toxic", "ordinary"), _dictionaries(*[[t for k, t in enumerate(ts) if k % FOLDS != f] for ts in texts]))))
+        for label, ts in zip((1, 0), texts):
+            x += [scorer.features(t) for t in ts[f::FOLDS]]
+            y += [label] * len(ts[f::FOLDS])
+    x, y = np.array(x), np.array(y, dtype=float)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    return model | {"mean": mean, "scale": scale, "weights": _logistic((x - mean) / scale, y)}
+    weights = _logistic((x - mean) / scale, y)
+    weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-9 - _cut(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, y)
+    return empty | dict(zip(("toxic", "ordinary"), _dictionaries(*texts))) | {"mean": mean, "scale": scale, "weights": weights}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -171,12 +193,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return fit_texts(*sample)
 
 
-def _scores(model: dict, text: str, out: str):
+def _scores(model, text: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = None
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            found = pa.array([scorer.score(x.as_py()) for x in column], type=pa.float64())
+            scorer = scorer or Scorer(model.value)
+            found = pa.array([scorer.score(t) for t in strings(column)], type=pa.float64())
             keep = [n for n in batch.schema.names if n != out]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + [found], names=keep + [out])
 
@@ -186,10 +209,13 @@ def _scores(model: dict, text: str, out: str):
 def toxicity(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``, the score of the whole text between 0 and 1; null and wordless texts get 0, other columns stay.
 
-    A column named as ``out`` is replaced. Without labels of both classes every score is 0.
+    A column named as ``out`` is replaced. Equal texts have equal scores, and repeated rows stay. A text of any length is
+    read whole; its distinct words are held at once. Bytes that are not UTF-8 count as no letters. An empty table gives
+    no rows. With fewer than FOLDS different labelled texts of a class every score is 0. The model, at most some 2 MB, is
+    broadcast.
     """
     docs = docs.drop(out)
-    return docs.mapInArrow(_scores(model, text, out), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(_scores(docs.sparkSession.sparkContext.broadcast(model), text, out), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

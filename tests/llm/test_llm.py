@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -131,6 +132,34 @@ def test_odd_pages(html):
     assert isinstance(pages.main_text(html), str)
 
 
+def test_scores_decide(monkeypatch):
+    """Without its scores the page of ``PAGE`` and a page of plain elements give other texts."""
+    plain = "<body><div><ul><li><a>Home</a><li><a>About us</a></ul></div><div><p>Short line</p></div><div><p>%s</p><p>%s</p></div></body>" % (("A long paragraph, with marks. " * 9,) * 2)
+    before = [pages.main_text(h) for h in (PAGE, plain)]
+    assert before[1].count("A long paragraph") == 18 and "Home" not in before[1]
+    monkeypatch.setattr(pages, "_scores", lambda nodes: np.ones(len(nodes)))
+    assert all(pages.main_text(h) != b for h, b in zip((PAGE, plain), before))
+
+
+@pytest.mark.parametrize("name", ["promo-lead", "social-history", "no-sidebar", "content"])
+def test_names_inside_the_article(name):
+    """A word in a class or id of the article's parts takes nothing from it; comments and adverts inside it go."""
+    parts = f"<div class={name}><p>The lead paragraph, of a few words.</p></div><section id=related-work><p>Work of others, as it relates.</p></section>"
+    beside = "<div class=user-comments><p>I liked this one, thanks a lot.</p></div><div class=ad-box>Buy now, and save.</div>"
+    body = "<h1>Headline</h1>%s<p>Last paragraph, of the text itself.</p>%s" % (parts, beside)
+    lines = ["Headline", "The lead paragraph, of a few words.", "Work of others, as it relates.", "Last paragraph, of the text itself."]
+    for around in ("<article>%s</article>", "<div class=post>%s</div>"):
+        assert pages.main_text(f"<body><nav><a>Home</a></nav>{around % body}<footer>Us, 2020</footer></body>").split("\n") == lines
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>x", "<a b=\"", "<a b=\">", "<a", "<b>", "</b>", "<span><p>", "<ul><li>a", "<", "&amp", "<!--", "<title>", "<p a=' "])
+def test_page_time_is_linear(piece):
+    began = time.time()
+    pages.main_text(piece * 20_000)
+    assert time.time() - began < 5
+    assert pages.main_text('<p title="x>Hello there, my friend.</p><p>More</p>') == "Hello there, my friend.\nMore"
+
+
 def test_pages_match_their_articles(spark):
     from html import unescape
 
@@ -482,18 +511,38 @@ def test_keep_first_by_class(spark):
 
 
 def test_toxicity_held_out(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 6000")
+    """Held-out recall and false alarms. The table has 305 toxic labels to learn from; a twentieth of the toxic texts hold no toxic word."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = toxicity.fit(rows, labels)
-    scored = toxicity.toxicity(rows.where(toxicity.held_out(F.col("doc_id"))), model).join(labels, "doc_id").select("score", "toxic").toPandas()
+    marked = rows.where(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").select("doc_id", "text", "toxic").repartition(4)
+    scored = toxicity.toxicity(marked, model).select("score", "toxic").toPandas()
     a, b = scored.score[scored.toxic == 1].to_numpy(), scored.score[scored.toxic == 0].to_numpy()
-    assert np.mean([(x > b).mean() + 0.5 * (x == b).mean() for x in a]) > 0.8
-    assert (b >= toxicity.THRESHOLD).mean() < 0.03
-    odd = toxicity.toxicity(docs(spark, [None, "", "  ", "word " * 20000]), model).collect()
-    assert all(0 <= r.score <= 1 for r in odd)
+    assert np.mean([(x > b).mean() + 0.5 * (x == b).mean() for x in a]) > 0.85
+    assert (a >= toxicity.THRESHOLD).mean() > 0.5 and (b >= toxicity.THRESHOLD).mean() <= 0.02
+    odd = toxicity.toxicity(docs(spark, [None, "", "  ", "word " * 20000, "word " * 20000]), model).collect()
+    assert all(0 <= r.score <= 1 for r in odd) and odd[3].score == odd[4].score
     assert toxicity.toxicity(docs(spark, ["x"]), toxicity.fit(rows, labels.limit(0))).first().score == 0
 
 
+def test_toxic_words_are_learnt():
+    """Two classes that differ in a few words only: texts of neither sample are told apart."""
+    rng = np.random.default_rng(3)
+    syllables = ["ba", "ko", "mi", "ter", "lun", "sha", "vo", "pre", "ni", "gra"]
+
+    def text(toxic):
+        w = ["".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(120)]
+        for _ in range(5 * toxic):
+            w[rng.integers(len(w))] = str(rng.choice(["zuxor", "quyzzle", "wexxing", "jyffed"]))
+        return " ".join(w)
+
+    model = toxicity.fit_texts([text(1) for _ in range(60)], [text(0) for _ in range(200)])
+    scorer = toxicity.Scorer(model)
+    toxic, plain = [[scorer.score(text(k)) for _ in range(60)] for k in (1, 0)]
+    assert np.mean(np.array(toxic) >= toxicity.THRESHOLD) >= 0.9 and np.mean(np.array(plain) >= toxicity.THRESHOLD) <= 0.05
+    assert model["toxic"] != model["ordinary"] and len(model["toxic"]) <= toxicity.TOXIC_BYTES
+
+
 # all
 
 

@@ -9,31 +9,129 @@ from pyspark.sql import functions as F
 from tidemark.functions import sizing, text
 from tidemark.operators import learning, panel, policy, unlocks, windows
 from tidemark.sources.views import keep_last, upsert
+from tidemark.streaming import acceptance
 
 
-@pytest.mark.parametrize(
-    ("values", "expected"),
-    [([10.0, 10.0, 30.0, None], [0.25, 0.25, 1.0, None]), ([0.0, 0.0, 0.0, 0.0, 1.0, None], [0.375] * 4 + [1.0, None]), ([7.0], [0.5])],
-)
-def test_percent_rank(spark, values, expected):
-    df = spark.createDataFrame([(i, 1, v) for i, v in enumerate(values)], "i int, g int, v double")
-    got = df.select("i", windows.percent_rank_average(F.col("v"), ["g"]).alias("r")).orderBy("i").collect()
-    assert [r.r for r in got] == expected
+def test_percent_rank(spark):
+    """Ranks are those of a plain average-rank count; nulls have none, a lone value ranks 0.5."""
+    groups = {1: [4.0, 2.0, 2.0, 9.0, None, 2.0], 2: [5.0, None], 3: [None], 4: [1.0, 1.0]}
+    rows = [(g, i, v) for g, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g int, i int, v double")
+    for r in df.select("*", windows.percent_rank_average(F.col("v"), ["g"]).alias("r")).collect():
+        seen = [v for v in groups[r.g] if v is not None]
+        expected = None if r.v is None else 0.5 if len(seen) == 1 else (sum(v < r.v for v in seen) + (sum(v == r.v for v in seen) - 1) / 2) / (len(seen) - 1)
+        assert r.r == (expected if expected is None else pytest.approx(expected))
 
 
-def test_bucket_labels(spark):
-    labels = ["core contributors", "seed sale", "foundation reserve", "public sale", "mystery tranche"]
-    got = spark.createDataFrame([(x,) for x in labels], "x string").select(text.bucket(F.col("x")).alias("b")).collect()
-    assert [r.b for r in got] == ["Team/Founders", "VC/Investors", "Ecosystem", "Airdrop/Public", "Other"]
+BUCKETS = {
+    "Team/Founders": ["Founders / Team", "core_contributors", "Contributor sale", "dev team wallet", "Employee options"],
+    "VC/Investors": ["public investors", "Backers", "Series-A", "STRATEGIC", "launchpad round", "IEO tranche", "private placement"],
+    "Ecosystem": ["Rewards", "grants", "Incentives", "treasury reserve", "ecosystem growth"],
+    "Airdrop/Public": ["ICO", "Launchpad", "community", "Public seed round", "community rewards", "testnet users", "Liquidity-Mining", "user reward pool"],
+    "Other": ["", None, "misc", "vested", "video"],
+}
+
+
+def test_bucket_rules(spark):
+    rows = [(x, name) for name, labels in BUCKETS.items() for x in labels]
+    got = spark.createDataFrame(rows, "x string, b string").select("x", "b", text.bucket(F.col("x")).alias("got")).collect()
+    assert [(r.x, r.got) for r in got] == rows
 
 
 def test_unlock_pressure(spark):
-    events = [("2024-01-10", "team", 10.0), ("2024-01-15", "seed", 5.0), ("2024-01-20", "airdrop", 4.0), ("2024-01-25", "thing", 50.0), ("2024-02-15", "team", 100.0), ("2024-01-01", "team", 100.0)]
-    ev = spark.createDataFrame([(1, d, label, t) for d, label, t in events], "asset long, d string, raw_label string, tokens double").withColumn("event_date", F.to_date("d"))
-    at = spark.createDataFrame([(1, "2024-01-01", 100.0), (1, "2024-01-02", 0.0)], "asset long, d string, circ double").withColumn("as_of", F.to_date("d")).drop("d")
-    got = {str(r.as_of): r.ups_raw for r in unlocks.pressure(at, ev).collect()}
-    assert got["2024-01-01"] == pytest.approx(1.5 * 0.10 + 1.2 * 0.05 + 0.6 * 0.04)
-    assert got["2024-01-02"] is None
+    """Weighted tokens of the 30 days after a date over supply, against a plain sum."""
+    weights = {"Advisors": 1.5, "backers": 1.2, "grants": 0.8, "ICO": 0.6, "misc": 0.0}
+    events = [(1, 3 + 9 * k, label, 7.0 + k) for k, label in enumerate([*weights, *weights])]
+    ev = spark.createDataFrame(events, "asset long, n int, raw_label string, tokens double").withColumn("event_date", F.date_add(F.lit("2023-03-01").cast("date"), F.col("n")))
+    at = spark.createDataFrame([(1, 0, 200.0), (1, 12, 200.0), (1, 40, 0.0), (2, 0, 5.0)], "asset long, n int, circ double").withColumn("as_of", F.date_add(F.lit("2023-03-01").cast("date"), F.col("n")))
+    got = {(r.asset, r.n): r.ups_raw for r in unlocks.pressure(at, ev).join(at, ["asset", "as_of"]).collect()}
+    for n in (0, 12):
+        assert got[1, n] == pytest.approx(sum(weights[e[2]] * e[3] for e in events if n < e[1] <= n + 30) / 200)
+    assert got[1, 40] is None and got[2, 0] == 0
+
+
+def test_prefix_runs_over_a_hot_key(spark):
+    from tidemark.operators.prefix import running
+
+    df = spark.range(500).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.lit(None)).alias("k"), "id", (F.col("id") * 7 % 31).alias("v")).repartition(3)
+    got = running(df, ["k"], [F.col("id")], {"total": (F.sum, "v", 0), "top": (F.max, "v", None)}).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r.id):
+        before = seen.setdefault(r.k, [])
+        assert (r.total, r.top) == (sum(before), max(before, default=None))
+        before.append(r.v)
+    assert len(got) == 500
+
+
+def test_no_division_by_zero(spark):
+    """One class, constant columns, zero sums, zero prices, and fewer rows than folds give nulls or bounds, not errors."""
+    from tidemark.operators import information
+
+    one = spark.createDataFrame([(1.0, 1), (2.0, 1)], "s double, y int")
+    assert information.auc(one, "s", F.col("y") == 1, []).first().auc is None
+    assert information.vi_matrix(spark.createDataFrame([(1, 1)] * 3, "a int, b int"), ["a", "b"]).first().vi == 1
+    zero = spark.createDataFrame([(1, "team", 0.0), (1, "misc", 0.0)], "asset int, raw_label string, tokens double")
+    assert tuple(unlocks.insider_share(zero).first()) == (1, None, 0.0)
+    prices = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 3.0)], "k string, t int, p double")
+    assert [r.r for r in prices.select(windows.log_return(F.col("p"), windows.series(["k"], "t")).alias("r")).collect()] == [None, None]
+    few = spark.createDataFrame([(k, k, "a") for k in range(3)], "row_id long, date int, symbol string")
+    assert sorted((r.pos, r.fold) for r in policy.purged_folds(few, 5, 0.01).collect()) == [(0, 0), (1, 1), (2, 2)]
+    assert policy.purged_folds(few.limit(0), 5, 0.01).count() == 0
+    assert spark.range(1).select(sizing.drawdown_scalar(F.lit(1.0), F.lit(0.0)).alias("s"), unlocks.proxy_fallback(F.lit(1.0), F.lit(0.0), F.lit(0.1)).alias("p")).first() == (1.0, None)
+    assert panel.calibration_error(spark.createDataFrame([], "p double"), "p", F.col("p") > 1, 10, True).first().ece is None
+
+
+def test_fracdiff_weights():
+    assert [len(windows.fracdiff_weights(d)) for d in (0.4, 0.9, 1.0)] == [1458, 125, 2]
+    assert min(abs(w) for w in windows.fracdiff_weights(0.4)) >= 1e-5
+
+
+def test_best_capture(spark):
+    rows = [("a", "2024-01-03 09:00", "text/html", 1), ("a", "2024-01-03 11:00", "application/pdf", 2), ("a", "2024-01-02 23:00", "text/html", 3), ("a", "2024-01-04 00:00", "text/html", 4), ("b", "2024-01-03 23:59", None, 5)]
+    df = spark.createDataFrame(rows, "k string, at string, mime string, n int").withColumn("at", F.to_timestamp("at"))
+    got = {r.k: r.n for r in unlocks.best_capture(df, "k", "at", "mime", F.lit("2024-01-03").cast("date")).collect()}
+    assert got == {"a": 1, "b": 5}
+
+
+ALARMS = [
+    ((0.0, 0.1, False, True, "OPEN", "NONE", 0.5), 3), ((1.0, 0.21, False, True, "OPEN", "NONE", 0.5), 3), ((1.0, 0.1, True, True, "OPEN", "NONE", 0.5), 3), ((1.0, 0.1, False, False, "OPEN", "NONE", 0.5), 2),
+    ((1.0, 0.1, False, True, "BLOCKED", "NONE", 0.5), 2), ((1.0, 0.1, False, True, "OPEN", "MODERATE", 0.5), 2), ((0.7, 0.1, False, True, "OPEN", "NONE", 0.5), 1), ((1.0, 0.17, False, True, "OPEN", "NONE", 0.5), 1),
+    ((1.0, 0.19, False, True, "OPEN", "NONE", 0.5), 0), ((1.0, 0.1, False, True, "OPEN", "NONE", 0.53), 1), ((1.0, None, None, None, None, None, None), 0),
+]
+
+
+def test_alarm_levels(spark):
+    df = spark.createDataFrame([(i, *a) for i, (a, _) in enumerate(ALARMS)], "i int, scalar double, cvar double, systemic boolean, bull boolean, breaker string, drift string, auc double")
+    got = df.select("i", sizing.alarm_level(*[F.col(c) for c in df.columns[1:]]).alias("level")).orderBy("i").collect()
+    assert [r.level for r in got] == [level for _, level in ALARMS]
+
+
+def test_pre_trade_rules(spark):
+    rows = [((0.18, 0.3, True, False, "BLOCKED", "SEVERE"), "drawdown", 3), ((0.1, 0.3, True, True, "OPEN", "NONE"), "cvar", 3), ((0.1, 0.1, True, False, "OPEN", "NONE"), "systemic_drift", 3), ((0.1, 0.1, False, False, "BLOCKED", "SEVERE"), "bear", 2),
+            ((0.1, 0.1, False, True, "BLOCKED", "SEVERE"), "spread_breaker", 2), ((0.1, 0.1, False, True, "OPEN", "SEVERE"), "severe_drift", 2), ((0.1, 0.2, False, True, "OPEN", "MODERATE"), "moderate_drift", 1), ((0.1, 0.1, False, True, "OPEN", "NONE"), "drawdown_warning", 1), ((0.0, 0.1, False, True, "OPEN", "NONE"), "ok", 0)]
+    df = spark.createDataFrame([(i, *a) for i, (a, _, _) in enumerate(rows)], "i int, dd double, cvar double, systemic boolean, bull boolean, breaker string, drift string")
+    got = df.select("i", sizing.pre_trade(*[F.col(c) for c in df.columns[1:]], F.lit(100.0), F.lit(0.5)).alias("c")).select("i", "c.*").orderBy("i").collect()
+    assert [(r.reason, r.level) for r in got] == [(why, level) for _, why, level in rows]
+    assert [r.size for r in got] == pytest.approx([0.0] * 6 + [37.5, 50.0, 50.0])
+
+
+def test_stablecoins(spark):
+    rows = [("wbtc", "x", True), ("lusd", "x", True), ("LINK", "Chainlink", False), ("ABC", "abc pegged coin", True), ("SOL", "Solana", False)]
+    df = spark.createDataFrame(rows, "s string, n string, out boolean")
+    assert [r.got for r in df.select(text.is_stablecoin(F.col("s"), F.col("n")).alias("got")).collect()] == [r[2] for r in rows]
+
+
+def test_ladder_turns_away(spark):
+    rows = [("p", 1, 5, "x", 1, True, ["A"]), ("p", 2, 5, "x", 1, False, ["A"]), ("p", 3, 5, "x", 99, False, ["A", "B"]), ("p", 4, 5, "x", 1, False, ["B", "A"]), ("p", 5, 5, "x", 1, None, ["A", "B"]), ("p", 6, 5, "y", 1, False, ["A", "B"]), ("p", 7, 4, "x", 1, False, ["A", "B"]), ("p", 8, 6, "z", 1, False, None)]
+    df = spark.createDataFrame(rows, "portfolio string, arrival long, revision long, fingerprint string, age_days int, expired boolean, instruments array<string>")
+    got = acceptance.ladder(df, 10, ("A", "B")).orderBy("arrival").collect()
+    assert [r.status for r in got] == ["stale", "incomplete", "stale", "accepted", "duplicate", "conflict", "out_of_order", "incomplete"]
+
+
+def test_purge_span():
+    from tidemark.plans.learning import purge_span
+
+    assert purge_span(600, 6, 1, 3) == (94, 406) and purge_span(600, 6, 0, 5) == (0, 600) and purge_span(605, 6, 4, 5) == (394, 605)
 
 
 def test_cooldown(spark):

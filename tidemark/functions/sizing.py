@@ -12,7 +12,7 @@ PERIODS = 50.4
 
 
 def drawdown_scalar(current: Column, peak: Column, most: float = 0.18) -> Column:
-    dd = F.least(F.greatest(1 - current / peak, F.lit(0.0)), F.lit(1.0))
+    dd = F.least(F.greatest(1 - F.try_divide(current, peak), F.lit(0.0)), F.lit(1.0))
     return F.when(peak <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - dd / most))
 
 
@@ -48,17 +48,29 @@ def friction_pnl(pnl: Column, label: Column, slippage: Column, position: Column,
     return worse - F.when(position > 0, bps / 1e4).otherwise(0.0)
 
 
-def pre_trade(drawdown: Column, cvar: Column, drift: Column, regime: Column, position: Column, scalar: Column) -> Column:
-    """(approved, reason, size) by the first rule that objects."""
-    reason = (
-        F.when(drawdown >= 0.18, "drawdown").when(cvar > 0.20, "cvar").when(drift == "SYSTEMIC", "systemic_drift").when(regime < 0.5, "bear").when(drift == "SEVERE", "severe_drift")
+def pre_trade(drawdown: Column, cvar: Column, systemic: Column, bull: Column, breaker: Column, drift: Column, position: Column, scalar: Column) -> Column:
+    """(approved, level, reason, size) by the first rule that objects, else by the first warning.
+
+    Halts (3): drawdown, cvar, systemic drift. Blocks (2): a bear regime, a blocked spread breaker, severe drift. Above a
+    cvar of 0.15 the size shrinks in proportion. Null states object to nothing.
+    """
+    halt = F.when(drawdown >= 0.18, "drawdown").when(cvar > 0.20, "cvar").when(systemic, "systemic_drift")
+    block = F.when(~bull, "bear").when(breaker == "BLOCKED", "spread_breaker").when(drift == "SEVERE", "severe_drift")
+    warn = F.when(drift == "MODERATE", "moderate_drift").when(drawdown > 0.09, "drawdown_warning")
+    good = halt.isNull() & block.isNull()
+    size = position * scalar * F.when(cvar > 0.15, F.lit(0.15) / cvar).otherwise(1.0)
+    level = F.when(halt.isNotNull(), 3).when(block.isNotNull(), 2).when(warn.isNotNull(), 1).otherwise(0)
+    return F.struct(good.alias("approved"), level.alias("level"), F.coalesce(halt, block, warn, F.lit("ok")).alias("reason"), F.when(good, size).otherwise(0.0).alias("size"))
+
+
+def alarm_level(scalar: Column, cvar: Column, systemic: Column, bull: Column, breaker: Column, drift: Column, auc: Column) -> Column:
+    """3 halts all, 2 blocks the symbol, 1 warns, 0 is clear; null states raise nothing."""
+    return (
+        F.when((scalar == 0) | (cvar > 0.20) | systemic, 3)
+        .when(~bull | (breaker == "BLOCKED") | drift.isin("MODERATE", "SEVERE"), 2)
+        .when((scalar > 0) & (scalar < 0.75) | cvar.between(0.15, 0.18) | (auc > 0.52), 1)
+        .otherwise(0)
     )
-    size = position * scalar * F.least(F.lit(1.0), F.lit(0.15) / F.greatest(cvar, F.lit(1e-8)))
-    return F.struct(reason.isNull().alias("approved"), F.coalesce(reason, F.lit("ok")).alias("reason"), F.when(reason.isNull(), size).otherwise(0.0).alias("size"))
-
-
-def alarm_level(z: Column, drift: Column, cvar: Column) -> Column:
-    return F.when((cvar > 0.20) | (drift == "SYSTEMIC"), 3).when((z > 3) | drift.isin("SEVERE", "MODERATE"), 2).when((z > 2) | (cvar.between(0.15, 0.18)), 1).otherwise(0)
 
 
 def deflated_sharpe(sharpe: float, n: int, skew: float, kurtosis: float, trials: int) -> float:

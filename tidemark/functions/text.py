@@ -4,25 +4,41 @@ from __future__ import annotations
 
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ordered rules from words of a label to its bucket.
-BUCKETS = (
-    ("Team/Founders", "team|founder|core contributor|advisor|employee"),
-    ("VC/Investors", "investor|seed|private|venture|vc|strategic"),
-    ("Ecosystem", "ecosystem|foundation|treasury|community|reserve|development|staking|reward"),
-    ("Airdrop/Public", "airdrop|public|ico|ido|launchpad|liquidity"),
+# Labels that name a bucket as they are, then the parts of a label that do, in the order of trial.
+ALIASES = {
+    "Team/Founders": "team, founder, founders, founder / team, founders / team, core contributors, contributors, contributor sale, advisors, advisor, employee, employees",
+    "VC/Investors": "private investors, public investors, investor, investors, backers, seed, seed sale, private sale, strategic sale, strategic",
+    "Airdrop/Public": "public sale, ido, ieo, ico, launchpool, launchpad, community, airdrop, testnet incentive, liquidity mining",
+    "Ecosystem": "treasury, foundation, ecosystem, rewards, reward, reserve, reserved, grants, grant, incentives",
+}
+PARTS = (
+    ("Team/Founders", "team|founder|advisor|contributor|employee"),
+    ("VC/Investors", "investor|backer|private|seed|strategic|series|ico|ieo|launchpad|launchpool"),
+    ("Ecosystem", "foundation|treasury|ecosystem|reserve|grant|incentive"),
+    ("Airdrop/Public", "airdrop|community|public|testnet|reward|liquidity mining"),
 )
+# Symbols left out of any universe, and the parts of symbols and names of stablecoins.
+EXCLUDED_SYMBOLS = tuple("BTC ETH USDT USDC BUSD TUSD DAI FDUSD PYUSD USDD FRAX GUSD USDP WBTC WETH STETH CBETH RETH".split())
+STABLE_SYMBOLS, STABLE_NAMES = "USD|EUR|GBP|JPY", "STABLECOIN|PEGGED|BRIDGED"
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd")
 
 
 def bucket(label: Column) -> Column:
+    """The bucket of a label: by its whole name, else by the first rule with a part of it; investors' parts of a public sale are public."""
     clean = F.trim(F.regexp_replace(F.lower(label), r"[_\-\s]+", " "))
-    out = F.lit(None).cast("string")
-    for name, words in BUCKETS:
-        out = F.coalesce(out, F.when(clean.rlike(words), name))
-    return F.coalesce(out, F.lit("Other"))
+    tries = [F.when(clean.isin(*names.split(", ")), name) for name, names in ALIASES.items()]
+    for name, parts in PARTS:
+        hit = F.when(clean.contains("public"), "Airdrop/Public").otherwise(name) if name == "VC/Investors" else F.lit(name)
+        tries.append(F.when(clean.rlike(parts), hit))
+    return F.coalesce(*tries, F.lit("Other"))
+
+
+def is_stablecoin(symbol: Column, name: Column) -> Column:
+    return F.upper(symbol).isin(*EXCLUDED_SYMBOLS) | F.upper(symbol).rlike(STABLE_SYMBOLS) | F.upper(name).rlike(STABLE_NAMES)
 
 
 def parse_date(s: Column) -> Column:
@@ -66,6 +82,17 @@ class _Cells(HTMLParser):
             self.cell = None
 
 
+def table_rows(html: Column) -> Column:
+    """(table_no, row_no, cells) of every table row of a page, read in Arrow batches."""
+
+    @F.arrow_udf("array<struct<table_no:int,row_no:int,cells:array<string>>>")
+    def rows(pages: pa.Array) -> pa.Array:
+        found = [[dict(zip(("table_no", "row_no", "cells"), r)) for r in html_tables(x.as_py())] for x in pages]
+        return pa.array(found, pa.list_(pa.struct([("table_no", pa.int32()), ("row_no", pa.int32()), ("cells", pa.list_(pa.string()))])))
+
+    return rows(html)
+
+
 def html_tables(html: str | None) -> list[tuple[int, int, list[str]]]:
     """(table, row, cells) of every table row."""
     parser = _Cells()

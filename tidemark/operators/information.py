@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import prefix_sum
+
 
 def quantile_bins(df: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """Adds ``<column>_bin``: the number of inner quantile edges that the value is at or above."""
@@ -34,13 +36,12 @@ def vi_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     p = joint.withColumn("p", F.col("n") / F.sum("n").over(pair))
     p = p.withColumn("px", F.sum("p").over(Window.partitionBy("a", "b", "x"))).withColumn("py", F.sum("p").over(Window.partitionBy("a", "b", "y")))
     h = p.groupBy("a", "b").agg((-F.sum(F.col("p") * F.log2("p"))).alias("hxy"), F.sum(F.col("p") * F.log2(F.col("p") / (F.col("px") * F.col("py")))).alias("mi"))
-    return h.select("a", "b", ((F.col("hxy") - F.col("mi")) / F.col("hxy")).alias("vi"))
+    return h.select("a", "b", F.coalesce(F.try_divide(F.col("hxy") - F.col("mi"), F.col("hxy")), F.lit(1.0)).alias("vi"))  # columns of one value are furthest apart
 
 
 def auc(df: DataFrame, score: str, positive: Column, keys: list[str]) -> DataFrame:
-    """Area under the curve per group, from average ranks of the distinct scores."""
+    """Area under the curve per group, from average ranks of the distinct scores; null for a group of one class."""
     values = df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.count_if(positive).alias("pos"))
-    w = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    ranked = prefix_sum(values, keys, [F.col(score)], "n", "_below").withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
-    return ranked.groupBy(*keys).agg(((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
+    return ranked.groupBy(*keys).agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2, p * (n - p)).alias("auc"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import running
+
 
 def trade_buckets(df: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFrame:
     """Mean gain and mean loss (absolute), 0.02 where there are none, at least 1e-6."""
@@ -32,7 +34,7 @@ def calibration_error(df: DataFrame, p: str, y: Column, bins: int, closed: bool)
     """Expected calibration error; open bins leave p = 1 out of the sum and in the count."""
     table = reliability(df, p, y, bins, closed)
     part = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("mean_p") - F.col("hit_rate")))
-    return table.agg((F.sum(part) / F.sum("n")).alias("ece"))
+    return table.agg(F.try_divide(F.sum(part), F.sum("n")).alias("ece"))
 
 
 def psi(df: DataFrame, x: str, early: Column, bins: int = 10) -> DataFrame:
@@ -49,9 +51,10 @@ def psi(df: DataFrame, x: str, early: Column, bins: int = 10) -> DataFrame:
 
 def equity(df: DataFrame, keys: list[str], order: list[str], ret: str) -> DataFrame:
     """Adds equity (compounded returns), peak and drawdown along ``order`` in each group."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("equity", F.exp(F.sum(F.ln(1 + F.col(ret))).over(w)))
-    df = df.withColumn("peak", F.greatest(F.max("equity").over(w), F.lit(1.0)))
+    by = [F.col(c) for c in order]
+    df = running(df.withColumn("_log", F.ln(1 + F.col(ret))), keys, by, {"_before": (F.sum, "_log", 0.0)})
+    df = df.withColumn("equity", F.exp(F.col("_before") + F.coalesce("_log", F.lit(0.0)))).drop("_before", "_log")
+    df = running(df, keys, by, {"_best": (F.max, "equity", 1.0)}).withColumn("peak", F.greatest("_best", "equity", F.lit(1.0))).drop("_best")
     return df.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 

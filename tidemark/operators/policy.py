@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import prefix_sum
 
-def cooldown(df: DataFrame, key: str, day: str, order: str, days: int) -> DataFrame:
-    """Rows left when each kept row shuts out those of its key within ``days`` days after it; rows of one key are folded in order."""
-    rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.datediff(day, F.lit("1970-01-01").cast("date")).alias("d"), F.col(order).alias("o")))).alias("rows"))
-    begin = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<bigint>").alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        take = acc["last"].isNull() | (x["d"] - acc["last"] > days)
-        return F.struct(F.when(take, x["d"]).otherwise(acc["last"]).alias("last"), F.when(take, F.array_append(acc["kept"], x["o"].cast("long"))).otherwise(acc["kept"]).alias("kept"))
+def cooldown(df: DataFrame, key: str, day: str, order: str, days: int) -> DataFrame:
+    """Rows left when each kept row shuts out those of its key within ``days`` days after it.
 
-    kept = rows.select(F.explode(F.aggregate("rows", begin, step, lambda a: a["kept"])).alias(order))
-    return df.join(kept, order, "left_semi")
+    Only the first row of a day, by ``order``, can stay; what is folded per key is its days, whose number is bounded.
+    """
+    at = F.datediff(day, F.lit("1970-01-01").cast("date"))
+    first = df.groupBy(key, at.alias("_d")).agg(F.min(order).alias(order))
+    begin = F.array().cast("array<int>")
+    take = lambda kept, d: F.size(kept).eqNullSafe(0) | (d - F.try_element_at(kept, F.lit(-1)) > days)
+    fold = F.aggregate(F.sort_array(F.collect_list("_d")), begin, lambda kept, d: F.when(take(kept, d), F.array_append(kept, d)).otherwise(kept))
+    kept = first.groupBy(key).agg(fold.alias("_k")).select(key, F.explode("_k").alias("_d"))
+    return df.join(first.join(kept, [key, "_d"], "left_semi"), order, "left_semi")
 
 
 def top_per_day(df: DataFrame, day: str, score: str, order: str, n: int) -> DataFrame:
@@ -50,13 +53,15 @@ def forward_folds(days: DataFrame, day: str, first: int = 252, block: float = 0.
 
 
 def purged_folds(df: DataFrame, folds: int, embargo: float) -> DataFrame:
-    """(row_id, pos, fold, n_train) of positional folds; rows next to a fold, by the embargo, are not trained on."""
-    w = Window.orderBy("date", "symbol", "row_id")  # positions are global by definition of the folds
-    n = F.count("*").over(Window.partitionBy())
-    df = df.withColumn("pos", F.row_number().over(w) - 1).withColumn("n", n)
-    size = F.floor(F.col("n") / folds)
+    """(row_id, pos, fold, n_train) of positional folds; rows next to a fold, by the embargo, are not trained on.
+
+    Positions are over the whole table, by date, symbol and row_id. With fewer rows than folds each row is a fold.
+    """
+    df = df.select("row_id", "date", "symbol", F.lit(1).cast("long").alias("_one"))
+    df = prefix_sum(df, [], [F.col("date"), F.col("symbol"), F.col("row_id")], "_one", "pos")
+    n = df.count()
+    size, gap = max(1, n // folds), max(1, int(n * embargo))
     fold = F.least(F.floor(F.col("pos") / size), F.lit(folds - 1)).cast("int")
-    gap = F.greatest(F.lit(1), F.floor(F.col("n") * embargo))
-    lo, hi = fold * size, F.when(fold == folds - 1, F.col("n")).otherwise((fold + 1) * size)
-    held = F.least(hi + gap, F.col("n")) - F.greatest(lo - gap, F.lit(0))
-    return df.select("row_id", "pos", fold.alias("fold"), (F.col("n") - held).cast("long").alias("n_train"))
+    lo, hi = fold * size, F.when(fold == folds - 1, F.lit(n)).otherwise((fold + 1) * size)
+    held = F.least(hi + gap, F.lit(n)) - F.greatest(lo - gap, F.lit(0))
+    return df.select("row_id", "pos", fold.alias("fold"), (n - held).cast("long").alias("n_train"))

@@ -16,7 +16,7 @@ def series(keys: list[str], order: str) -> WindowSpec:
 
 
 def log_return(x: Column, w: WindowSpec, rows: int = 1) -> Column:
-    return F.ln(x / F.lag(x, rows).over(w))
+    return F.ln(F.try_divide(x, F.lag(x, rows).over(w)))
 
 
 def change(x: Column, w: WindowSpec, rows: int) -> Column:
@@ -30,6 +30,17 @@ def rolling(stat, x: Column, w: WindowSpec, rows: int, least: int) -> Column:
     return F.when(F.count(x).over(frame) >= least, stat(x).over(frame))
 
 
+def fracdiff_weights(d: float, tau: float = 1e-5, most: int = 10_000) -> list[float]:
+    """Weights of fractional differencing, the latest first: 1, then -w (d - k + 1) / k until one is below ``tau``."""
+    out = [1.0]
+    for k in range(1, most):
+        w = -out[-1] * (d - k + 1) / k
+        if abs(w) < tau:
+            break
+        out.append(w)
+    return out
+
+
 def ewm(df: DataFrame, key: str, order: str, x: str, span: int, least: int, out: str, std: bool = False) -> DataFrame:
     """Adds the exponentially weighted mean of ``x`` (or its unbiased standard deviation), with adjusted weights.
 

@@ -73,10 +73,17 @@ def layer_quality_ladder(spark, sf):
     return table(spark, sf, "supplier").select(k.alias("k"), quality.alias("quality"), F.coalesce(observed, rebuilt, market).alias("total_supply"), mode.alias("supply_mode"))
 
 
-@query("""select p_partkey k, p_name name from part where not (p_name like '%ring%' or p_type in ('PROMO') or upper(p_name) like '%USD%')""")
+SYMBOLS = ["BTC", "usdt", "LINK", "EURS", "steth", "SOL", "aUSD", "ADA"]
+
+
+@query(f"""with c as (select p_partkey k, ({SYMBOLS})[p_partkey % 8 + 1] symbol, p_name || case when p_partkey % 9 = 0 then ' Bridged' else '' end name from part)
+  select k, symbol from c where not (upper(symbol) in ('BTC', 'ETH', 'USDT', 'USDC', 'BUSD', 'TUSD', 'DAI', 'FDUSD', 'PYUSD', 'USDD', 'FRAX', 'GUSD', 'USDP', 'WBTC', 'WETH', 'STETH', 'CBETH', 'RETH')
+    or regexp_matches(upper(symbol), 'USD|EUR|GBP|JPY') or regexp_matches(upper(name), 'STABLECOIN|PEGGED|BRIDGED'))""")
 def stablecoin_filter(spark, sf):
-    out = F.col("p_name").contains("ring") | F.col("p_type").isin("PROMO") | F.upper("p_name").contains("USD")
-    return table(spark, sf, "part").where(~out).select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"))
+    k = F.col("p_partkey")
+    symbol = F.element_at(F.array(*[F.lit(x) for x in SYMBOLS]), (k % 8 + 1).cast("int"))
+    coins = table(spark, sf, "part").select(k.alias("k"), symbol.alias("symbol"), F.concat("p_name", F.when(k % 9 == 0, " Bridged").otherwise("")).alias("name"))
+    return coins.where(~text.is_stablecoin(F.col("symbol"), F.col("name"))).select("k", "symbol")
 
 
 @query("""select c_custkey k, floor(date_diff('day', date '2015-01-01' + cast(c_custkey as int), date '2024-01-01') / 30)::int "months" from customer""")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import information, learning, policy
 from tidemark.plans.market import _returns
 from tidemark.plans.register import registry
+from tidemark.sources.folders import checkpointed
 from tidemark.sources.views import bars_daily, trades
 
 query, QUERIES, ORACLES = registry()
@@ -28,37 +29,47 @@ def isotonic_pav(spark, sf):
 def _folded(spark, sf, folds):
     df = trades(spark, sf)
     tagged = df.join(policy.purged_folds(df, folds, 0.01).select("row_id", "pos", "fold"), "row_id").withColumn("y", (F.col("pnl") > 0).cast("double"))
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(tagged).select("row_id", "pos", "fold", "y", "features").cache()
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(tagged).select("row_id", "pos", "fold", "y", "features")
+    return checkpointed(rows)  # read once per model
 
 
-def _purged(df, fold, folds):
-    """Training rows of a fold: those outside it and its embargo."""
-    n = df.count()
-    size, gap = n // folds, max(1, int(n * 0.01))
-    lo, hi = fold * size - gap, (n if fold == folds - 1 else (fold + 1) * size) + gap
-    return df.where(~F.col("pos").between(lo, hi - 1))
+def purge_span(n, folds, first, last, embargo=0.01):
+    """Positions [lo, hi) that are not trained on when the folds ``first`` to ``last`` of ``n`` rows are tested."""
+    size, gap = max(1, n // folds), max(1, int(n * embargo))
+    return max(0, first * size - gap), min(n, (n if last == folds - 1 else (last + 1) * size) + gap)
 
 
 @query()
 def stack_oos(spark, sf):
     """Out-of-fold chances: the mean of boosted trees and a random forest, each fit outside the fold and its embargo."""
     df, out = _folded(spark, sf, 3), None
+    n = df.count()
     for k in range(3):
         part = df.where(F.col("fold") == k)
+        lo, hi = purge_span(n, 3, k, k)
+        train = df.where(~F.col("pos").between(lo, hi - 1))
         for model in (GBTClassifier(labelCol="y", maxDepth=2, maxIter=5, seed=7), RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=4, seed=7)):
-            p = model.fit(_purged(df, k, 3)).transform(part).select("row_id", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
+            p = model.fit(train).transform(part).select("row_id", "fold", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
             out = p if out is None else out.union(p)
     return out.groupBy("row_id", "fold").agg(F.avg("p").alias("p_oos"))
 
 
 @query()
 def cpcv_auc(spark, sf):
-    """Area under the curve on each of the 15 pairs of six groups, by a logistic model fit on the others."""
+    """Area under the curve on the pairs of six groups, by a logistic model fit on rows before the first and after the last of the pair.
+
+    The rows from the embargo before the first group to that after the last, those between the two included, are not
+    trained on; a pair that leaves fewer than 40 training rows is left out, as the pair of the two ends is.
+    """
     df, out = _folded(spark, sf, 6), None
+    n = df.count()
     for a in range(6):
         for b in range(a + 1, 6):
+            lo, hi = purge_span(n, 6, a, b)
+            if lo + n - hi < 40:
+                continue
             held = F.col("fold").isin(a, b)
-            model = LogisticRegression(labelCol="y", maxIter=10, regParam=0.01).fit(df.where(~held))
+            model = LogisticRegression(labelCol="y", maxIter=10, regParam=0.01).fit(df.where(~F.col("pos").between(lo, hi - 1)))
             p = model.transform(df.where(held)).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.get(vector_to_array("probability"), F.lit(1)).alias("p"), "y")
             out = p if out is None else out.union(p)
     return information.auc(out, "p", F.col("y") == 1, ["a", "b"])

@@ -1,5 +1,6 @@
 """Bars, returns, volatility, spreads, labels."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import labels, windows
@@ -175,33 +176,25 @@ def spread_zscore_anomaly(spark, sf):
 @query(f"""{SPREAD_Z}, last3 as (select symbol, z, row_number() over (partition by symbol order by ts desc) r from z)
   select symbol, case when max(case when r = 1 then round(z, 5) end) > 3 or round(avg(z), 5) > 2 then 'BLOCKED' else 'OPEN' end status from last3 where r <= 3 group by symbol""")
 def breaker_status(spark, sf):
-    recent = _spread_z(spark, sf).groupBy("symbol").agg(F.slice(F.reverse(F.sort_array(F.collect_list(F.struct("ts", "z")))), 1, 3).alias("b"))
-    mean = F.aggregate("b", F.lit(0.0), lambda a, x: a + x["z"]) / F.size("b")
-    blocked = (F.round(F.get("b", F.lit(0))["z"], 5) > 3) | (F.round(mean, 5) > 2)
-    return recent.select("symbol", F.when(blocked, "BLOCKED").otherwise("OPEN").alias("status"))
+    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))
+    last = _spread_z(spark, sf).withColumn("back", back).where("back <= 3").groupBy("symbol").agg(F.max(F.when(F.col("back") == 1, F.col("z"))).alias("z"), F.avg("z").alias("mean"))
+    return last.select("symbol", F.when((F.round("z", 5) > 3) | (F.round("mean", 5) > 2), "BLOCKED").otherwise("OPEN").alias("status"))
 
 
-WEIGHTS = """with recursive wts(k, w) as (select 0, 1.0::double union all select k + 1, -w * (0.9::double - (k + 1) + 1) / (k + 1) from wts where k < 40)"""
-
-
-def fracdiff_weights(d, n):
-    """w0 = 1, wk = -w(k-1) (d - k + 1) / k."""
-    out = [1.0]
-    for k in range(1, n):
-        out.append(-out[-1] * (d - k + 1) / k)
-    return out
+WEIGHTS = """with recursive wts(k, w) as (select 0, 1.0::double union all select k + 1, -w * (0.9::double - (k + 1) + 1) / (k + 1) from wts where abs(w * (0.9::double - k) / (k + 1)) >= 1e-5)"""
 
 
 def _fracdiff(spark, sf, reverse):
-    w = fracdiff_weights(0.9, 41)
+    w = windows.fracdiff_weights(0.9)
+    n = len(w)
     literal = F.array(*[F.lit(x) for x in (w if reverse else w[::-1])])
-    frame = F.collect_list(F.ln("close")).over(_w().rowsBetween(-40, 0))
+    frame = F.collect_list(F.ln("close")).over(_w().rowsBetween(-(n - 1), 0))
     dot = F.aggregate(F.zip_with("f", literal, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return bars_daily(spark, sf).withColumn("f", frame).select("symbol", "ts", R(F.when(F.size("f") == 41, dot), "fracdiff", 5))
+    return bars_daily(spark, sf).withColumn("f", frame).select("symbol", "ts", R(F.when(F.size("f") == n, dot), "fracdiff", 5))
 
 
 FRAC = WEIGHTS + f""", {BARS}, n as (select symbol, ts, ln("close") x, row_number() over (partition by symbol order by ts) n from bars)
-  select a.symbol, a.ts, round(case when a.n >= 41 then sum(b.x * w) end, 5) + 0.0::double fracdiff from n a join n b on a.symbol = b.symbol and b.n between a.n - 40 and a.n join wts on k = {{}} group by a.symbol, a.ts, a.n"""
+  select a.symbol, a.ts, round(case when a.n >= 125 then sum(b.x * w) end, 5) + 0.0::double fracdiff from n a join n b on a.symbol = b.symbol and b.n between a.n - 124 and a.n join wts on k = {{}} group by a.symbol, a.ts, a.n"""
 
 
 @query(FRAC.format("a.n - b.n"))
@@ -209,7 +202,7 @@ def fracdiff_dot(spark, sf):
     return _fracdiff(spark, sf, False)
 
 
-@query(FRAC.format("40 - (a.n - b.n)"))
+@query(FRAC.format("124 - (a.n - b.n)"))
 def fracdiff_reversed(spark, sf):
     return _fracdiff(spark, sf, True)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import panel
+from tidemark.operators import panel, windows
 from tidemark.plans.market import RET, _returns
 from tidemark.plans.register import registry
 from tidemark.sources.views import TARGETS, TRADES, targets, trades
@@ -40,15 +40,13 @@ def time_decay_weights(spark, sf):
     return df.join(last).select("row_id", R(F.greatest(F.exp(-F.datediff("z", "date") / F.lit(180.0)), F.lit(1e-6)), "weight", 8))
 
 
-@query("""with recursive d as (select unnest([0.2, 0.4, 0.6, 0.8, 1.0])::double d), w as (select d, 0 k, 1.0::double w from d union all select d, k + 1, -w * (d - k) / (k + 1) from w where k < 400)
-  select d, count(*) n, round(sum(abs(w)), 6) total, round(max(w), 6) highest, round(min(w), 6) lowest from w where abs(w) >= 1e-3 group by d""")
+@query("""with recursive d as (select unnest([0.2, 0.4, 0.6, 0.8, 1.0])::double d), w as (select d, 0 k, 1.0::double w from d union all select d, k + 1, -w * (d - k) / (k + 1) from w where abs(w * (d - k) / (k + 1)) >= 1e-5 and k < 9999)
+  select d, count(*) n, round(sum(abs(w)), 6) total, round(max(abs(w)), 6) highest, round(min(abs(w)), 9) lowest from w group by d""")
 def fracdiff_weights_summary(spark, sf):
-    """Weights of fractional differencing down to 0.001, which they reach in falling order for orders up to 1."""
-    d = spark.createDataFrame([(x,) for x in (0.2, 0.4, 0.6, 0.8, 1.0)], "d double")
-    step = lambda a, k: F.array_append(a, -F.element_at(a, -1) * (F.col("d") - k) / (k + 1))
-    weights = F.aggregate(F.sequence(F.lit(0), F.lit(399)), F.array(F.lit(1.0)), step)
-    each = d.select("d", F.explode(weights).alias("w")).where(F.abs("w") >= 1e-3)
-    return each.groupBy("d").agg(F.count("*").alias("n"), R(F.sum(F.abs("w")), "total"), R(F.max("w"), "highest"), R(F.min("w"), "lowest"))
+    """Sizes of the weights of fractional differencing down to 1e-5, per order; those of an order are at most 10,000."""
+    each = [(d, abs(w)) for d in (0.2, 0.4, 0.6, 0.8, 1.0) for w in windows.fracdiff_weights(d)]
+    rows = spark.createDataFrame(each, "d double, w double")
+    return rows.groupBy("d").agg(F.count("*").alias("n"), R(F.sum("w"), "total"), R(F.max("w"), "highest"), R(F.min("w"), "lowest", 9))
 
 
 @query(T + """select "date", count(*) filter (score > 0.6) n_active, count(distinct symbol) filter (score > 0.6) n_symbols from trades group by "date\"""")

@@ -315,20 +315,22 @@ def cpcv_paths_15(spark, sf):
     return one.select("n", F.explode(pairs).alias("p")).select("p.a", "p.b", (F.element_at("n", F.col("p.a")) + F.element_at("n", F.col("p.b"))).alias("n_test"))
 
 
-ACCEPT = f"with {TARGETS}" + """, p as (select *, max(revision) over (partition by portfolio order by arrival rows between unbounded preceding and 1 preceding) before from targets where age_days <= 2400),
+MANAGED = ("A", "B")
+ACCEPT = f"with {TARGETS}" + """, v as (select *, case when expired or age_days > 2400 then 'stale' when list_sort(list_distinct(instruments)) <> ['A', 'B'] then 'incomplete' end away from targets),
+  p as (select *, max(revision) over (partition by portfolio order by arrival rows between unbounded preceding and 1 preceding) before from v where away is null),
   q as (select *, first_value(fingerprint) over (partition by portfolio, revision order by arrival) first_fp from p),
   s as (select portfolio, arrival, revision, case when before is null or revision > before then 'accepted' when revision < before then 'out_of_order' when fingerprint = first_fp then 'duplicate' else 'conflict' end status from q
-    union all select portfolio, arrival, revision, 'stale' from targets where age_days > 2400)"""
+    union all select portfolio, arrival, revision, away from v where away is not null)"""
 
 
 @query(ACCEPT + " select * from s")
 def accept_ladder(spark, sf):
-    return acceptance.ladder(targets(spark, sf), 2400)
+    return acceptance.ladder(targets(spark, sf), 2400, MANAGED)
 
 
 @query(ACCEPT + " select portfolio, status, min(arrival) first_arrival, count(*) n from s group by 1, 2")
 def status_dedup(spark, sf):
-    return acceptance.ladder(targets(spark, sf), 2400).groupBy("portfolio", "status").agg(F.min("arrival").alias("first_arrival"), F.count("*").alias("n"))
+    return acceptance.ladder(targets(spark, sf), 2400, MANAGED).groupBy("portfolio", "status").agg(F.min("arrival").alias("first_arrival"), F.count("*").alias("n"))
 
 
 @query(f"with {TARGETS} select portfolio, count(*) n, count(*) filter (age_days > 2400) n_stale from targets group by portfolio")
@@ -338,7 +340,7 @@ def staleness(spark, sf):
 
 @query()
 def stream_accept(spark, sf):
-    return acceptance.stream(targets(spark, sf), 2400)
+    return acceptance.stream(targets(spark, sf), 2400, MANAGED)
 
 
 @query("""with t as (select s_suppkey k, (s_suppkey % 4) * 0.01::double w, case when s_suppkey % 5 = 0 then null else 90 + s_suppkey % 20 end::double px, case when s_suppkey % 3 = 0 then 0 else s_suppkey * 10 end::double qty from supplier),
@@ -351,24 +353,40 @@ def reconcile_intents(spark, sf):
     return acceptance.reconcile(rows, nav=100000.0, band=0.0025, dust=200.0, least=500.0).select("k", "intent", R(F.col("delta"), "delta", 4))
 
 
-@query("""select c_custkey k, case when cvar > 0.20 or drift = 'SYSTEMIC' then 3 when z > 3 or drift in ('SEVERE', 'MODERATE') then 2 when z > 2 or cvar between 0.15 and 0.18 then 1 else 0 end level
-  from (select c_custkey, (c_custkey % 45) / 10.0 z, (c_custkey % 25) / 100.0 cvar, case c_custkey % 11 when 0 then 'SYSTEMIC' when 1 then 'SEVERE' when 2 then 'MODERATE' else 'NONE' end drift from customer)""")
-def alarm_level(spark, sf):
-    k = F.col("c_custkey")
-    drift = F.when(k % 11 == 0, "SYSTEMIC").when(k % 11 == 1, "SEVERE").when(k % 11 == 2, "MODERATE").otherwise("NONE")
-    return table(spark, sf, "customer").select(k.alias("k"), sizing.alarm_level((k % 45) / 10, drift, (k % 25) / 100).alias("level"))
+# States of each customer's book: every rule of the checks has rows of its own.
+STATES = """select c_custkey k, (c_custkey % 13) / 100.0 + case when c_custkey % 17 = 0 then 0.1 else 0 end dd, case when c_custkey % 19 = 0 then 0.0 else (c_custkey % 9 + 1) / 9.0 end scalar,
+  case when c_custkey % 23 = 0 then 0.25 else (c_custkey % 19) / 100.0 end cvar, c_custkey % 29 = 0 systemic, c_custkey % 5 <> 0 bull, case when c_custkey % 7 = 0 then 'BLOCKED' else 'OPEN' end breaker,
+  case c_custkey % 11 when 1 then 'SEVERE' when 2 then 'MODERATE' else 'NONE' end drift, 0.40 + (c_custkey % 14) / 100.0 auc from customer"""
 
 
-@query("""with c as (select c_custkey k, (c_custkey % 25) / 100.0 cvar, (c_custkey % 20) / 100.0 dd, (c_custkey % 10) / 10.0 regime, case c_custkey % 11 when 0 then 'SYSTEMIC' when 1 then 'SEVERE' else 'NONE' end drift from customer),
-  r as (select *, case when dd >= 0.18 then 'drawdown' when cvar > 0.20 then 'cvar' when drift = 'SYSTEMIC' then 'systemic_drift' when regime < 0.5 then 'bear' when drift = 'SEVERE' then 'severe_drift' end why from c)
-  select k, why is null approved, coalesce(why, 'ok') reason, round(case when why is null then 1000 * least(1, 0.15 / greatest(cvar, 1e-8)) else 0 end, 4)::double size from r""")
-def pre_trade_size(spark, sf):
+def _states(spark, sf):
     k = F.col("c_custkey")
-    drift = F.when(k % 11 == 0, "SYSTEMIC").when(k % 11 == 1, "SEVERE").otherwise("NONE")
-    check = sizing.pre_trade((k % 20) / 100, (k % 25) / 100, drift, (k % 10) / 10, F.lit(1000.0), F.lit(1.0))
-    return table(spark, sf, "customer").select(k.alias("k"), check.alias("c")).select("k", "c.approved", "c.reason", R(F.col("c.size"), "size", 4))
+    return table(spark, sf, "customer").select(
+        k.alias("k"),
+        ((k % 13) / 100 + F.when(k % 17 == 0, 0.1).otherwise(0.0)).alias("dd"),
+        F.when(k % 19 == 0, 0.0).otherwise((k % 9 + 1) / 9).alias("scalar"),
+        F.when(k % 23 == 0, 0.25).otherwise((k % 19) / 100).alias("cvar"),
+        (k % 29 == 0).alias("systemic"),
+        (k % 5 != 0).alias("bull"),
+        F.when(k % 7 == 0, "BLOCKED").otherwise("OPEN").alias("breaker"),
+        F.when(k % 11 == 1, "SEVERE").when(k % 11 == 2, "MODERATE").otherwise("NONE").alias("drift"),
+        (F.lit(0.40) + (k % 14) / 100).alias("auc"),
+    )
+
+
+@query(f"""with c as ({STATES}) select k, case when scalar = 0 or cvar > 0.20 or systemic then 3 when not bull or breaker = 'BLOCKED' or drift in ('MODERATE', 'SEVERE') then 2
+  when scalar < 0.75 or cvar between 0.15 and 0.18 or auc > 0.52 then 1 else 0 end level from c""")
+def alarm_level(spark, sf):
+    return _states(spark, sf).select("k", sizing.alarm_level(*[F.col(c) for c in ("scalar", "cvar", "systemic", "bull", "breaker", "drift", "auc")]).alias("level"))
 
 
+@query(f"""with c as ({STATES}), r as (select *, case when dd >= 0.18 then 'drawdown' when cvar > 0.20 then 'cvar' when systemic then 'systemic_drift' end halt,
+    case when not bull then 'bear' when breaker = 'BLOCKED' then 'spread_breaker' when drift = 'SEVERE' then 'severe_drift' end block, case when drift = 'MODERATE' then 'moderate_drift' when dd > 0.09 then 'drawdown_warning' end warn from c)
+  select k, halt is null and block is null approved, case when halt is not null then 3 when block is not null then 2 when warn is not null then 1 else 0 end level, coalesce(halt, block, warn, 'ok') reason,
+         round(case when halt is null and block is null then 1000 * scalar * case when cvar > 0.15 then 0.15 / cvar else 1 end else 0 end, 4)::double size from r""")
+def pre_trade_size(spark, sf):
+    check = sizing.pre_trade(*[F.col(c) for c in ("dd", "cvar", "systemic", "bull", "breaker", "drift")], F.lit(1000.0), F.col("scalar"))
+    return _states(spark, sf).select("k", check.alias("c")).select("k", "c.approved", "c.level", "c.reason", R(F.col("c.size"), "size", 4))
 
 
 @query(T + """, r as (select greatest(least(pnl, 2), -0.5) * least(greatest("position" / 200000, 0), 0.25) ret, pnl, score from trades where score > 0.6 and "position" > 200)

@@ -10,8 +10,14 @@ from tidemark.sources.views import AS_OF, UNLOCKS, keep_last, table, unlock_as_o
 
 query, QUERIES, ORACLES = registry()
 R = lambda c, name, n=6: F.round(c, n).alias(name)
-BUCKET = """case when regexp_matches(lbl, 'team|founder|core contributor|advisor|employee') then 'Team/Founders' when regexp_matches(lbl, 'investor|seed|private|venture|vc|strategic') then 'VC/Investors'
-  when regexp_matches(lbl, 'ecosystem|foundation|treasury|community|reserve|development|staking|reward') then 'Ecosystem' when regexp_matches(lbl, 'airdrop|public|ico|ido|launchpad|liquidity') then 'Airdrop/Public' else 'Other' end"""
+BUCKET = """case when lbl in ('team', 'founder', 'founders', 'founder / team', 'founders / team', 'core contributors', 'contributors', 'contributor sale', 'advisors', 'advisor', 'employee', 'employees') then 'Team/Founders'
+  when lbl in ('private investors', 'public investors', 'investor', 'investors', 'backers', 'seed', 'seed sale', 'private sale', 'strategic sale', 'strategic') then 'VC/Investors'
+  when lbl in ('public sale', 'ido', 'ieo', 'ico', 'launchpool', 'launchpad', 'community', 'airdrop', 'testnet incentive', 'liquidity mining') then 'Airdrop/Public'
+  when lbl in ('treasury', 'foundation', 'ecosystem', 'rewards', 'reward', 'reserve', 'reserved', 'grants', 'grant', 'incentives') then 'Ecosystem'
+  when regexp_matches(lbl, 'team|founder|advisor|contributor|employee') then 'Team/Founders'
+  when regexp_matches(lbl, 'investor|backer|private|seed|strategic|series|ico|ieo|launchpad|launchpool') then case when contains(lbl, 'public') then 'Airdrop/Public' else 'VC/Investors' end
+  when regexp_matches(lbl, 'foundation|treasury|ecosystem|reserve|grant|incentive') then 'Ecosystem'
+  when regexp_matches(lbl, 'airdrop|community|public|testnet|reward|liquidity mining') then 'Airdrop/Public' else 'Other' end"""
 U = f"with {UNLOCKS}, {AS_OF}, b as (select *, {BUCKET.replace('lbl', 'raw_label')} bucket from unlocks), w as (select *, case bucket when 'Team/Founders' then 1.5 when 'VC/Investors' then 1.2 when 'Ecosystem' then 0.8 when 'Airdrop/Public' then 0.6 end::double weight from b)"
 UPS = U + ", ups as (select a.asset, a.as_of, any_value(circ) circ, coalesce(sum(weight * tokens), 0) / any_value(circ) ups from as_of a left join w on w.asset = a.asset and event_date > as_of and event_date <= as_of + 30 group by 1, 2)"
 
@@ -78,12 +84,13 @@ def unlock_quality_daily(spark, sf):
     return one.join(ties, "as_of").select("as_of", "n_assets", "zero_fraction", R(F.col("tie"), "max_tie_share"), "median")
 
 
-LABELS = ["Core Contributors", "seed_sale", "Foundation-Reserve", "public sale", "mystery tranche", "TEAM", "Strategic  round", "community rewards"]
+LABELS = ["Core_Contributors", "seed-sale", "Public  Investors", "ICO", "Launchpad", "Backers", "Series A", "Public seed round", "Grants", "Incentives", "Community", "community rewards", "Testnet", "Liquidity-Mining", "Rewards", "TEAM fund", "mystery", ""]
 
 
-@query(f"""with l as (select unnest({LABELS}) label), c as (select label, trim(regexp_replace(lower(label), '[_\\-\\s]+', ' ', 'g')) x from l) select label, {BUCKET.replace('lbl', 'x')} bucket from c""")
+@query(f"""with l as (select s_suppkey k, ({LABELS})[s_suppkey % {len(LABELS)} + 1] raw_label from supplier), c as (select *, trim(regexp_replace(lower(raw_label), '[_\\-\\s]+', ' ', 'g')) x from l) select k, raw_label, {BUCKET.replace('lbl', 'x')} bucket from c""")
 def bucket_normalize(spark, sf):
-    return spark.createDataFrame([(x,) for x in LABELS], "label string").select("label", text.bucket(F.col("label")).alias("bucket"))
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("s_suppkey") % len(LABELS) + 1).cast("int"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), label.alias("raw_label")).withColumn("bucket", text.bucket(F.col("raw_label")))
 
 
 DATES = ["2024-01-15", "15/01/2024", "01/25/2024", "2024/01/15", "1705276800", "1705276800000", "2024-01-15T10:00:00Z", "soon", "31/02/2024"]
@@ -113,11 +120,12 @@ def sha256_fingerprint(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.fingerprint(F.col("o_orderstatus"), F.col("o_orderkey"), F.col("o_custkey")).alias("fingerprint"))
 
 
-@query()
+@query("""select s_suppkey k, t table_no, r row_no, case when t = 0 and r = 0 then 'Date|Label' when t = 0 then '2024-01-15|' || s_name else cast(s_nationkey as varchar) || '|b' end cells
+  from supplier, (values (0, 0), (0, 1), (1, 0)) v(t, r)""")
 def html_table_rows(spark, sf):
-    html = "<table><tr><th>Date</th><th>Label</th></tr><tr><td>2024-01-15</td><td>Team  vesting</td></tr></table><p>x</p><table><tr><td>a<td>b</td></tr></table>"
-    rows = F.udf(text.html_tables, "array<struct<table_no:int,row_no:int,cells:array<string>>>")
-    return spark.createDataFrame([(0, html), (1, None)], "doc int, html string").select("doc", F.explode(rows("html")).alias("r")).select("doc", "r.*")
+    html = F.concat(F.lit("<table><tr><th>Date</th><th>Label</th></tr><tr><td>2024-01-15</td><td> "), "s_name", F.lit("</td></tr></table><p>x</p><table><tr><td>"), "s_nationkey", F.lit("</td><td>b</td></tr></table>"))
+    rows = F.explode(text.table_rows(html))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), rows.alias("r")).select("k", "r.table_no", "r.row_no", F.array_join("r.cells", "|").alias("cells"))
 
 
 @query("""select upper(c_mktsegment) symbol, min(c_name) id from customer group by 1""")
@@ -131,10 +139,11 @@ def payload_match_filter(spark, sf):
     return table(spark, sf, "events").where(hit).select("event_id")
 
 
-@query("""select user_id, arg_max(value, ts) best from events where ts <= timestamp '2024-01-15' group by user_id""")
+@query("""select user_id, arg_max(value, row(cast(ts as date), case when event_type in ('click', 'view') then 1 else 0 end, ts)) best from events where cast(ts as date) <= date '2024-01-15' group by user_id""")
 def capture_as_of(spark, sf):
-    seen = table(spark, sf, "events").where(F.col("ts") <= F.lit("2024-01-15").cast("timestamp"))
-    return seen.groupBy("user_id").agg(F.max_by("value", "ts").alias("best"))
+    mime = F.when(F.col("event_type").isin("click", "view"), "text/HTML; charset=utf-8").otherwise("application/json")
+    rows = table(spark, sf, "events").select("user_id", "ts", mime.alias("mime"), F.col("value").alias("best"))
+    return unlocks.best_capture(rows, "user_id", "ts", "mime", F.lit("2024-01-15").cast("date")).select("user_id", "best")
 
 
 @query("""with old as (select c_custkey k, 'a' tag, 1 first_seen from customer where c_custkey % 2 = 0), new as (select c_custkey k, 'b' tag, 2 first_seen from customer where c_custkey % 3 = 0)

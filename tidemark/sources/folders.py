@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
@@ -14,3 +14,16 @@ def scratch(spark: SparkSession) -> str:
     if not base:
         base = tempfile.mkdtemp(prefix="tidemark-") if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder.
+
+    The folder is the one named by spark.checkpoint.dir. Where that is unset, a local master uses a temporary folder
+    and any other master a folder of the warehouse.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch(spark))
+    return df.checkpoint()

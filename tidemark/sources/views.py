@@ -109,6 +109,8 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.floor(key / 7) + (key * 13 % 5)).cast("long").alias("revision"),
         (F.col("o_custkey") % 3).alias("fingerprint"),
         F.datediff(F.lit("2002-01-01").cast("date"), F.to_date("o_orderdate")).alias("age_days"),
+        (key % 29 == 0).alias("expired"),
+        F.when(key % 31 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("B"), F.lit("A"))).alias("instruments"),
     )
 
 
@@ -136,4 +138,5 @@ AS_OF = """as_of as (
   select asset, cast(m as date) as_of, 1000.0::double + asset * 100 circ
   from (select distinct s_suppkey % 20 asset from supplier), (select unnest(generate_series(date '1996-01-01', date '2000-12-01', interval 1 month)) m))"""
 TARGETS = """targets as (
-  select o_orderstatus portfolio, o_orderkey arrival, cast(o_orderkey // 7 + o_orderkey * 13 % 5 as bigint) revision, o_custkey % 3 fingerprint, date_diff('day', cast(o_orderdate as date), date '2002-01-01') age_days from orders)"""
+  select o_orderstatus portfolio, o_orderkey arrival, cast(o_orderkey // 7 + o_orderkey * 13 % 5 as bigint) revision, o_custkey % 3 fingerprint, date_diff('day', cast(o_orderdate as date), date '2002-01-01') age_days,
+         o_orderkey % 29 = 0 expired, case when o_orderkey % 31 = 0 then ['A'] else ['B', 'A'] end instruments from orders)"""

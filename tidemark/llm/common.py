@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.prefix import prefix_sum  # noqa: F401
+from tidemark.sources.folders import checkpointed  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -27,22 +29,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder.
-
-    The folder is the one named by spark.checkpoint.dir. Where that is unset, a local master uses a temporary folder
-    and any other master a folder of the warehouse.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and sc.master.startswith("local[") or sc.master == "local":
-            folder = folder or tempfile.mkdtemp(prefix="tidemark-")
-        sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint()
-
-
 def hashed_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
     """The ``n`` rows with the smallest hashes of ``columns``, which should be a key.
 
@@ -52,26 +38,3 @@ def hashed_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
     total, span = df.count(), 1 << 40
     place = F.pmod(F.xxhash64(*columns), F.lit(span))
     return df.where(place <= int(span * min(1.0, (4 * n + 100) / max(total, 1)))).orderBy(place, *columns).limit(n)
-
-
-def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows of the same keys that come earlier in ``order`` (0 for the first).
-
-    Rows are dealt by range over (keys, order), so that one key may span many partitions; each partition sums its own
-    rows and adds the totals of the partitions before it. Without keys the sum runs over the whole table. Rows that tie
-    in ``order`` should be alike, as their order is open.
-    """
-    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, *[F.col(k).asc_nulls_first() for k in keys], *order)
-    dealt = checkpointed(dealt.withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = dealt.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    # one row for each key and partition that holds it
-    totals = dealt.groupBy("_part", *keys).agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    same = F.col("o._part") == F.col("t._part")
-    for k in keys:
-        same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"t.{k}"))
-    joined = own.alias("o").join(totals.alias("t"), same)
-    return joined.select("o.*", F.col("t._before")).withColumn(out, F.col("_own") + F.col("_before")).drop("_own", "_before", "_part")

@@ -1,8 +1,8 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
 The words of a source, documents in a hashed order, are packed into blocks of a fixed length. Output shards draw how
-many blocks they take from each source (a multinomial draw over the slots of the shard, stratified by slot, so that
-totals stay near their targets). The n-th slot that a source gets is mapped through a pseudorandom permutation of the
+many blocks they take from each source (a multinomial draw over the slots of the shard); draws beyond what a source
+wants go to sources drawn too seldom, so that totals stay at their targets. The n-th slot that a source gets is mapped through a pseudorandom permutation of the
 source's block numbers, a fresh one after each pass over the source, and the blocks join the slots by number. Nothing
 but ids, sizes and block numbers is shuffled.
 """
@@ -20,7 +20,7 @@ SHARD_SLOTS = 4096
 MOST_PASSES = 3
 ROUNDS = 20
 SEED = 20240501
-_UNIT = 1 << 20  # parts of a slot, so that sums of shares are whole numbers and come out alike in any order
+CELLS = 1 << 14  # of the line on which slots meet sources
 
 
 def word_count(text: Column) -> Column:
@@ -61,33 +61,48 @@ def _permuted(at: Column, n: Column, key: Column) -> Column:
 
 
 def draws(sources: DataFrame) -> DataFrame:
-    """(source, n_blocks, shard, n) with the blocks that each shard takes of each source (``targets`` columns)."""
+    """(source, n_blocks, want, shard, n): how many of its slots each shard draws from each source (``targets`` columns).
+
+    Every slot draws on its own, from a keyed hash of its number, a place among the blocks that all sources want; the
+    counts of a shard are multinomial with the shares of the sources. Slots meet sources by cells of that line, so that
+    neither side is broadcast or held whole, unless Spark finds it small.
+    """
+    spark = sources.sparkSession
     blocks = F.ceil(F.col("source_size") / BLOCK_WORDS).cast("long")
     share = sources.where("source_size > 0").withColumn("n_blocks", blocks)
-    # blocks wanted, in parts of a slot; the last block of a source may be short
-    share = share.withColumn("want", F.round(F.col("target") / F.col("source_size") * F.col("n_blocks") * _UNIT).cast("long"))
+    share = share.withColumn("want", F.round(F.col("target") / F.col("source_size") * F.col("n_blocks")).cast("long")).where("want > 0")
     share = checkpointed(prefix_sum(share.select("source", "n_blocks", "want"), [], [F.col("source").asc_nulls_last()], "want", "before"))
-    slots = (share.agg(F.sum("want")).first()[0] or 0) / _UNIT
-    shards = max(1, -int(-slots // SHARD_SLOTS))
-    dealt = share.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def below(edge: Column) -> Column:
-        """Slots of the shard whose draw falls below ``edge``: slot i draws a number between i and i + 1."""
-        at = edge / F.lit(float(_UNIT * shards))
-        luck = F.pmod(F.xxhash64(F.lit(SEED), "shard", F.floor(at)), F.lit(1 << 30)) / float(1 << 30)
-        return F.floor(at) + F.when(luck < at - F.floor(at), 1).otherwise(0)
-
-    n = below(F.col("before") + F.col("want")) - below(F.col("before"))
-    return dealt.select("source", "n_blocks", "shard", n.cast("long").alias("n")).where("n > 0")
+    total = share.agg(F.sum("want")).first()[0] or 0
+    width = total // CELLS + 1
+    lines = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("before") / width), F.floor((F.col("before") + F.col("want") - 1) / width))))
+    place = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(max(total, 1)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = spark.range(0, total, 1, parts).select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), place.alias("place")).withColumn("cell", F.floor(F.col("place") / width))
+    met = slots.join(lines, "cell").where("place >= before and place < before + want")
+    drawn = met.groupBy("source", "n_blocks", "want", "shard").agg(F.count("*").alias("n"))
+    # a source that no slot drew still wants its blocks
+    return drawn.unionByName(share.select("source", "n_blocks", "want", F.lit(-1).cast("long").alias("shard"), F.lit(0).cast("long").alias("n")))
 
 
 def slots(sources: DataFrame) -> DataFrame:
-    """(shard, source, pass, block) for every slot of the mix; a draw beyond MOST_PASSES passes over a source is void."""
+    """(shard, source, pass, block) for every slot of the mix.
+
+    Draws of a source beyond the blocks it wants go, one for one, to the sources that were drawn too seldom, so that
+    each source ends with what it wants; some square root of the draws changes hands.
+    """
     parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # few rows that stand for many slots: dealt by a fixed number, so that they are not merged into one task
-    numbered = prefix_sum(draws(sources), ["source"], [F.col("shard")], "n", "first").repartition(parts, "source", "shard")
-    each = numbered.select("shard", "source", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
-    each = each.where(F.col("slot") < F.col("n_blocks") * MOST_PASSES).withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks")))
+    numbered = checkpointed(prefix_sum(draws(sources), ["source"], [F.col("shard")], "n", "first"))
+    kept = numbered.withColumn("kept", F.least("n", F.greatest(F.col("want") - F.col("first"), F.lit(0))))
+    own = kept.where("kept > 0").repartition(parts, "source", "shard").select("shard", "source", "n_blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("kept") - 1)).alias("slot"))
+    over = kept.select("shard", "source", (F.col("n") - F.col("kept")).alias("over")).where("over > 0")
+    over = prefix_sum(over, [], [F.col("source").asc_nulls_last(), F.col("shard")], "over", "at")
+    over = over.select("shard", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("over") - 1)).alias("at"))
+    lack = numbered.groupBy("source", "n_blocks", "want").agg(F.sum("n").alias("got")).withColumn("lack", F.col("want") - F.col("got")).where("lack > 0")
+    lack = prefix_sum(lack, [], [F.col("source").asc_nulls_last()], "lack", "at")
+    lack = lack.select("source", "n_blocks", "got", F.posexplode(F.sequence(F.col("at"), F.col("at") + F.col("lack") - 1)).alias("k", "at"))
+    each = own.unionByName(over.join(lack, "at").select("shard", "source", "n_blocks", (F.col("got") + F.col("k")).alias("slot")))
+    each = each.withColumn("pass", F.floor(F.col("slot") / F.col("n_blocks")))
     key = F.xxhash64(F.lit(SEED), "source", "pass")
     return each.select("shard", "source", "pass", _permuted(F.col("slot") % F.col("n_blocks"), F.col("n_blocks"), key).alias("block"))
 
@@ -118,7 +133,8 @@ def taken(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) for every row of ``docs``: the words of it that the mix takes.
 
     A null text has no words; a null source is a source, the last; repeated rows each have a place of their own; an
-    empty table gives no rows. No row exceeds MOST_PASSES times its size.
+    empty table gives no rows. No row exceeds MOST_PASSES times its size. Columns of ``docs`` other than the three named
+    are not looked at, whatever their names; a text of any length is spread over its blocks.
     """
     at = checkpointed(placed(docs))
     sources = checkpointed(targets(at))

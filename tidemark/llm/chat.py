@@ -20,6 +20,11 @@ def _order() -> list[Column]:
     return [F.col("turn").asc_nulls_last(), F.col("speaker").asc_nulls_last(), F.col("body").asc_nulls_last()]
 
 
+def _unmarked(s: Column) -> Column:
+    """Breaks up marks, so that no text or role opens or closes a turn."""
+    return F.replace(s, F.lit("<|"), F.lit("< |"))
+
+
 def perspectives(turns: DataFrame) -> DataFrame:
     """A row per perspective and turn of ``turns`` (conv_id, turn, role, text); other columns are left out.
 
@@ -27,13 +32,14 @@ def perspectives(turns: DataFrame) -> DataFrame:
     segment's first character in the rendered dialogue, segments being joined in order of turn; the mask spans the text
     and end mark of the perspective's own turns, and is null elsewhere. A null role is a participant named "unknown"; a
     null text is empty; turns without number come last; turns with one number go by speaker and text. Marks in a text
-    are broken up. A dialogue of narrators alone has no perspective.
+    or role are broken up, and line ends in a role's name become spaces. An empty table gives no rows; a dialogue of any
+    length is spread over tasks; repeated rows are repeated turns. A dialogue of narrators alone has no perspective.
     """
-    marked = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("body"))
+    marked = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("speaker"), _unmarked(F.coalesce("text", F.lit(""))).alias("body"))
     views = marked.where(~F.col("speaker").isin(*NARRATORS)).groupBy("conv_id", "speaker").agg(F.lit(1).alias("_one")).select(F.col("conv_id").alias("_conv"), F.col("speaker").alias("perspective"))
     own = F.col("speaker") == F.col("perspective")
     as_role = F.when(F.col("speaker").isin(*NARRATORS), F.col("speaker")).when(own, "assistant").otherwise("user")
-    name = F.when(F.col("as_role") == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise("")
+    name = F.when(F.col("as_role") == "user", F.concat(F.lit(" name="), _unmarked(F.regexp_replace("speaker", r"[\r\n]", " ")))).otherwise("")
     head = F.concat(F.lit(OPEN), "as_role", name, F.lit("\n"))
     rows = marked.join(views, marked.conv_id.eqNullSafe(views["_conv"])).drop("_conv").withColumn("as_role", as_role)
     rows = rows.withColumn("_head", F.length(head).cast("long")).withColumn("segment", F.concat(head, "body", F.lit(CLOSE + "\n"))).withColumn("_size", F.length("segment").cast("long"))
@@ -56,7 +62,7 @@ views as (select distinct conv_id, speaker perspective from marked where speaker
 played as (
   select m.*, v.perspective, case when speaker = 'system' then 'system' when speaker = perspective then 'assistant' else 'user' end as_role
   from marked m join views v on m.conv_id is not distinct from v.conv_id),
-headed as (select *, '<|im_start|>' || as_role || case when as_role = 'user' then ' name=' || speaker else '' end || chr(10) head from played),
+headed as (select *, '<|im_start|>' || as_role || case when as_role = 'user' then ' name=' || replace(replace(replace(speaker, chr(10), ' '), chr(13), ' '), '<|', '< |') else '' end || chr(10) head from played),
 segments as (select *, head || body || '<|im_end|>' || chr(10) segment from headed),
 placed as (
   select *, coalesce(sum(length(segment)) over (partition by conv_id, perspective order by turn nulls last, speaker, body

@@ -30,6 +30,7 @@ SHINGLE = 4
 SEED = 42
 PIVOTS = 16
 CHUNK = 1024
+SALTS = 32
 _BATCH_WORDS = 200_000
 
 
@@ -167,16 +168,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     marked = checkpointed(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp"))
     distinct = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    classes = _classes(distinct, limit)
-    firsts = classes.groupBy("class").agg(F.min("first").alias("component_id"))
-    named = classes.join(firsts, "class").select("fp", "component_id")
+    classes = checkpointed(_classes(distinct, limit))
+    # the members of a large class meet its name in SALTS tasks; fingerprints without links are named by themselves
+    linked = classes.where("linked").withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    firsts = linked.groupBy("class", "salt").agg(F.min("first").alias("first")).groupBy("class").agg(F.min("first").alias("component_id"))
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = linked.join(firsts, ["class", "salt"]).select("fp", "component_id").union(classes.where("not linked").select("fp", "first"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def _classes(distinct: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(fp, first, class) for the distinct fingerprints ``fp``: a class is named by its smallest fingerprint."""
+    """(fp, first, class, linked) for the distinct fingerprints ``fp``: a class is named by its smallest fingerprint."""
     labels = components(fingerprint_links(distinct, limit))
-    return distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    return distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class"), F.col("component").isNotNull().alias("linked"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -192,7 +196,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows = fingerprints(docs.select("doc_id", "text", *marks), "text", "fp")
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *keys)
     distinct = checkpointed(rows.groupBy("fp").agg(F.min(place).alias("first")))
-    keepers = _classes(distinct).groupBy("class").agg(F.min("first").alias("first")).select(*[f"first.{k}" for k in keys])
+    salted = _classes(distinct).groupBy("class", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).alias("salt")).agg(F.min("first").alias("first"))
+    keepers = salted.groupBy("class").agg(F.min("first").alias("first")).select(*[f"first.{k}" for k in keys])
     # one exchange by that key serves the join and what follows it
     return docs.select("*", *marks).join(keepers, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
 

@@ -7,14 +7,15 @@ become equal pseudonyms in every document, and different values of a format stay
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-KEY = "change this key"
+KEY_SETTING = "spark.tidemark.pseudonym.key"
 ROUNDS = 10
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -234,11 +235,23 @@ def _pattern(body: Column) -> Column:
     return F.concat_ws("|", F.lit(EMAIL), F.lit(SECRET), _checked(body, ACCOUNT, IBANS, account), F.lit(DATED), cards, F.lit(PHONE), others)
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", out: str = "found", swap: Callable[[Column, Column, Column], Column] = pseudonym) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key named by the setting; where it is unset, a random one that the session keeps.
+
+    Name a key of your own to get the same pseudonyms in every session, and keep it to invert them.
+    """
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "found", swap: Callable[[Column, Column, Column], Column] = pseudonym) -> DataFrame:
     """``docs`` with the valid values in ``text`` replaced, and the array ``out`` of their kinds, in order.
 
     Values that fail their check stay as they are, as do texts without any; a null text stays null with no kinds. Whole
-    texts are read. A column named as ``out`` is replaced.
+    texts are read. A column named as ``out`` is replaced; repeated rows stay, changed alike; an empty table gives no rows.
     """
     body = F.col(text)
     none = F.array().cast("array<string>")
@@ -254,11 +267,11 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text", out: str =
 
 def replace_private(docs: DataFrame) -> DataFrame:
     """``docs`` with pseudonyms in their texts and n_chars as long as those; other columns stay."""
-    done = pseudonymise(docs, out="_tidemark_found").drop("_tidemark_found")
+    done = pseudonymise(docs, session_key(docs.sparkSession), out="_tidemark_found").drop("_tidemark_found")
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     count = lambda name: F.size(F.filter("found", lambda k: k == name)).cast("long").alias(f"n_{name}")
     return done.select("doc_id", "text", *[count(name) for name in KINDS])

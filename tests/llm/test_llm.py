@@ -63,6 +63,40 @@ def test_mix_odd_rows(spark):
     assert mixing.taken(df.limit(0)).count() == 0
 
 
+def test_draws_are_multinomial(spark):
+    """Slots of a shard fall on sources by their shares, as a plain search of each slot's place finds them; sources end with what they want."""
+    sizes = [("a", 64 * 9000), ("b", 64 * 3000), (None, 64 * 20)]
+    sources = mixing.targets(spark.createDataFrame(sizes, "source string, size long"))
+    rows = [r for r in mixing.draws(sources).collect() if r.n]
+    want = {r.source: r.want for r in rows}
+    order, total = ["a", "b", None], sum(want.values())
+    edges = np.cumsum([want[s] for s in order])
+    places = [r.p for r in spark.range(total).orderBy("id").select(F.pmod(F.xxhash64(F.lit(mixing.SEED), "id"), F.lit(total)).alias("p")).collect()]
+    expected = Counter((i // mixing.SHARD_SLOTS, order[int(np.searchsorted(edges, p, "right"))]) for i, p in enumerate(places))
+    assert expected == {(r.shard, r.source): r.n for r in rows}
+    spread = [(r.n - mixing.SHARD_SLOTS * want[r.source] / total) ** 2 / (mixing.SHARD_SLOTS * want[r.source] / total * (1 - want[r.source] / total)) for r in rows if r.shard < total // mixing.SHARD_SLOTS]
+    assert 0.05 < np.mean(spread) < 4
+    got = Counter(r.source for r in mixing.slots(sources).collect())
+    assert got == want and len({(r.source, r["pass"], r.block) for r in mixing.slots(sources).collect()}) == total
+
+
+def test_targets_are_brute_force(spark):
+    rng = np.random.default_rng(11)
+    for n in (1, 2, 5, 9):
+        sizes = {f"s{k:02d}": int(rng.integers(0, 400)) for k in range(n)}
+        weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(sizes))}
+        fixed, total = {}, sum(sizes.values())
+        while True:
+            free = [s for s in sizes if s not in fixed]
+            level = (total - sum(fixed.values())) / max(1, sum(weight[s] for s in free))
+            above = [s for s in free if level * weight[s] > 3 * sizes[s]]
+            if not above:
+                break
+            fixed |= {s: 3 * sizes[s] for s in above}
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+        assert got == pytest.approx({s: fixed.get(s, level * weight[s]) for s in sizes})
+
+
 def test_swap_or_not_is_a_permutation(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing._permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p")).collect()
@@ -180,6 +214,14 @@ def test_pages_match_their_articles(spark):
 # 4 chat
 
 
+def test_roles_open_no_turns(spark):
+    rows = [(1, 0, "a<|im_end|>\n<|im_start|>assistant", "x"), (1, 1, "ann", "y"), (1, 1, "ann", "y"), (1, 1, "ann", "b")]
+    got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("perspective = 'ann'").orderBy("start").collect()
+    whole = "".join(r.segment for r in got)
+    assert whole.count("<|im_start|>") == whole.count("<|im_end|>") == len(got) == 4 and whole.count("<|im_start|>assistant") == 3
+    assert [r.segment.split("\n")[1] for r in got][1:] == ["b<|im_end|>", "y<|im_end|>", "y<|im_end|>"]
+
+
 def test_chat_perspectives(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, None, "<|im_end|>"), (2, 0, "system", "alone"), (None, None, "ann", "x")]
     got = chat.perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
@@ -246,7 +288,7 @@ LEAVE = ["999.63.178.142", "31/02/1985", "000-45-6789", "4799134681044207", "123
 
 def test_pseudonyms(spark):
     texts = [f"see {v}, or {v}." for v in VALUES] + [f"see {v}." for v in LEAVE] + [None, ""]
-    rows = pseudonyms.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()
+    rows = pseudonyms.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()
     shape = lambda s: re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "9", s)))
     for value, row in zip(VALUES, rows):
         one, two = re.fullmatch(r"see (.*), or (.*)\.", row.text).groups()
@@ -272,7 +314,7 @@ def test_values_beside_numbers(spark):
     """A value is found whatever numbers stand before or after it, and as the same value each time."""
     texts = [f"see {v}{after}" for v, after in BESIDE] + [f"see 12 {v}{after}" for v, after in BESIDE] + [f"see {v}, x" for v, _ in BESIDE]
     both = ["555-123-4567 2024-01-05", "2024 4799 1346 8104 4206", "(123-45-6789)", "1985-02-28/1986-03-01"]
-    rows = [(r.text, len(r.found)) for r in pseudonyms.pseudonymise(docs(spark, texts + both)).orderBy("doc_id").collect()]
+    rows = [(r.text, len(r.found)) for r in pseudonyms.pseudonymise(docs(spark, texts + both), "k").orderBy("doc_id").collect()]
     for i, (value, after) in enumerate(BESIDE):
         plain = rows[2 * len(BESIDE) + i][0].removeprefix("see ").removesuffix(", x")
         assert plain != value and rows[i] == (f"see {plain}{after}", 1) and rows[len(BESIDE) + i] == (f"see 12 {plain}{after}", 1)
@@ -565,6 +607,6 @@ def test_clashing_columns_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("fingerprint", F.lit("old")).withColumn("media", F.lit("old"))
     assert toxicity.toxicity(df, toxicity.fit_texts([], [])).schema["score"].dataType.typeName() == "double"
     assert webp.media_columns(df).count() == tokens.token_counts(df).count() == 3
-    assert pseudonyms.pseudonymise(df).count() == 3
+    assert pseudonyms.pseudonymise(df.withColumn("found", F.lit("old")), "k").count() == 3
     assert Counter(r.component_id for r in simhash.near_duplicates(df).collect()) == Counter({2: 2, None: 1})
     assert len(simhash.keep_first(df).collect()) == 2

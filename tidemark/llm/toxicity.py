@@ -31,11 +31,13 @@ from pyspark.sql import types as T
 from tidemark.llm.common import hashed_sample, strings
 
 #: Bounds of the fitting sample: documents of either class, and characters of a document.
-TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 2500, 7500, 20_000
+TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 2000, 5000, 20_000
 #: Capacities of the dictionaries in bytes, and the lengths of the segments and d-mers by which the trainer chooses them.
 ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER = 2 << 20, 1024, 8
 TOXIC_BYTES, RECURRING_BYTES, TOXIC_SEGMENT, TOXIC_DMER = 16 << 10, 256 << 10, 64, 6
-FOLDS = 3
+FOLDS = 2
+#: Every so many ordinary texts of the sample show what a window that the ordinary dictionary holds costs.
+USUAL_EVERY = 5
 #: Marks on a window's gain, in bytes.
 MARKS = (3, 5, 7)
 TOP = 5
@@ -101,26 +103,26 @@ def _lengths(content: bytes) -> Callable[[str], int]:
     return lambda window: len(compress(_twice(_marked(window))))
 
 
-def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[bytes, bytes]:
-    """The contents of the toxic and the ordinary dictionary from the windows of texts of either class."""
+def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[bytes, bytes, Callable[[str], int]]:
+    """The contents of the toxic and the ordinary dictionary from the windows of texts of either class, and the lengths by the latter."""
     ordinary = _trained([w for t in good for w in t], ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER)
     plain = lru_cache(None)(_lengths(ordinary))
-    usual = int(np.quantile(np.array([plain(w) for t in good for w in t]), 0.9))  # a window that the dictionary holds costs no more
+    usual = int(np.quantile(np.array([plain(w) for t in good[::USUAL_EVERY] for w in t]), 0.9))  # a window that the dictionary holds costs no more
     odd = [[w for w in t if plain(w) > usual] for t in bad]
     part = [zlib.crc32(" ".join(t).encode("utf-8", "replace")) % 2 for t in bad]
     recurring = []
     for p in (0, 1):
         others = lru_cache(None)(_lengths(_trained([w for t, q in zip(odd, part) if q != p for w in t], RECURRING_BYTES, TOXIC_SEGMENT, TOXIC_DMER)))
         recurring += [w for t, q in zip(odd, part) if q == p for w in t if others(w) < plain(w) - 2]
-    return _trained(recurring, TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_DMER), ordinary
+    return _trained(recurring, TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_DMER), ordinary, plain
 
 
 class Scorer:
     """Scores texts with a fitted model."""
 
-    def __init__(self, model: dict) -> None:
+    def __init__(self, model: dict, ordinary: Callable[[str], int] | None = None) -> None:
         self.model = model
-        toxic, ordinary = _lengths(model["toxic"]), _lengths(model["ordinary"])
+        toxic, ordinary = _lengths(model["toxic"]), ordinary or _lengths(model["ordinary"])
         self.gain = lru_cache(CACHED_WINDOWS)(lambda w: ordinary(w) - toxic(w))
 
     def features(self, words: list[str]) -> list[float]:
@@ -158,12 +160,13 @@ def _cut(value: np.ndarray, y: np.ndarray) -> float:
 def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     """A model from texts of either class, in a fixed order."""
     texts = [windows(t) for t in _distinct(toxic)], [windows(t) for t in _distinct(ordinary)]
-    empty = {"toxic": b" ", "ordinary": b" ", "weights": None, "mean": 0.0, "scale": 1.0}
+    empty = {"toxic": b" ", "ordinary": b" ", "weights": None, "mean": 0.0, "scale": 1.0, "key": 0}
     if min(map(len, texts)) < FOLDS:
         return empty
     x, y = [], []
     for f in range(FOLDS):
-        scorer = Scorer(empty | dict(zip(("toxic", "ordinary"), _dictionaries(*[[t for k, t in enumerate(ts) if k % FOLDS != f] for ts in texts]))))
+        content, other, plain = _dictionaries(*[[t for k, t in enumerate(ts) if k % FOLDS != f] for ts in texts])
+        scorer = Scorer(empty | {"toxic": content, "ordinary": other}, plain)
         for label, ts in zip((1, 0), texts):
             x += [scorer.features(t) for t in ts[f::FOLDS]]
             y += [label] * len(ts[f::FOLDS])
@@ -171,7 +174,7 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = _logistic((x - mean) / scale, y)
     weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-9 - _cut(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, y)
-    return empty | dict(zip(("toxic", "ordinary"), _dictionaries(*texts))) | {"mean": mean, "scale": scale, "weights": weights}
+    return empty | dict(zip(("toxic", "ordinary"), _dictionaries(*texts)[:2])) | {"mean": mean, "scale": scale, "weights": weights, "key": zlib.crc32(repr((weights, mean, scale)).encode()) or 1}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -193,12 +196,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     return fit_texts(*sample)
 
 
+_HELD: dict[int, Scorer] = {}
+
+
+def _scorer(model) -> Scorer:
+    """The scorer of a broadcast model; a worker keeps the last, as its index takes seconds to build."""
+    if model.value["key"] not in _HELD:
+        _HELD.clear()
+        _HELD[model.value["key"]] = Scorer(model.value)
+    return _HELD[model.value["key"]]
+
+
 def _scores(model, text: str, out: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = None
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            scorer = scorer or Scorer(model.value)
+            scorer = scorer or _scorer(model)
             found = pa.array([scorer.score(t) for t in strings(column)], type=pa.float64())
             keep = [n for n in batch.schema.names if n != out]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in keep] + [found], names=keep + [out])

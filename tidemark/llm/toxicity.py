@@ -43,10 +43,11 @@ MARKS = (3, 5, 7)
 TOP = 5
 THRESHOLD = 0.7
 FALSE_COST = 5
-CACHED_WINDOWS = 1 << 18
+CACHED_WINDOWS = 1 << 17
 
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = b"\x01\x02\x03"
+_HELD_WHOLE = re.compile(re.escape(_EDGE) + b"([^\x01-\x03]+)" + re.escape(_EDGE[::-1]))
 _SECOND = bytes((i + 128) % 256 for i in range(256))
 
 
@@ -103,18 +104,28 @@ def _lengths(content: bytes) -> Callable[[str], int]:
     return lambda window: len(compress(_twice(_marked(window))))
 
 
-def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[bytes, bytes, Callable[[str], int]]:
-    """The contents of the toxic and the ordinary dictionary from the windows of texts of either class, and the lengths by the latter."""
+def _ordinary_lengths(content: bytes, usual: int) -> Callable[[str], int]:
+    """As _lengths, by the ordinary dictionary; a window that it holds whole is one match, of the usual length, and is not compressed."""
+    held = {w.decode("utf-8", "replace") for w in _HELD_WHOLE.findall(content)}
+    compressed = _lengths(content)
+    return lambda window: usual if window in held else compressed(window)
+
+
+def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[bytes, bytes, int, Callable[[str], int]]:
+    """The contents of the toxic and the ordinary dictionary from the windows of texts of either class, the usual length of a window by the latter, and all lengths by it."""
     ordinary = _trained([w for t in good for w in t], ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER)
-    plain = lru_cache(None)(_lengths(ordinary))
-    usual = int(np.quantile(np.array([plain(w) for t in good[::USUAL_EVERY] for w in t]), 0.9))  # a window that the dictionary holds costs no more
+    compressed = _lengths(ordinary)
+    held = {w.decode("utf-8", "replace") for w in _HELD_WHOLE.findall(ordinary)}
+    sizes = [compressed(w) for w in sorted({w for t in good[::USUAL_EVERY] for w in t} & held)]
+    usual = int(np.median(sizes)) if sizes else len(_EDGE) * 4  # what a window that the dictionary holds costs
+    plain = lru_cache(None)(lambda w: usual if w in held else compressed(w))
     odd = [[w for w in t if plain(w) > usual] for t in bad]
     part = [zlib.crc32(" ".join(t).encode("utf-8", "replace")) % 2 for t in bad]
     recurring = []
     for p in (0, 1):
         others = lru_cache(None)(_lengths(_trained([w for t, q in zip(odd, part) if q != p for w in t], RECURRING_BYTES, TOXIC_SEGMENT, TOXIC_DMER)))
         recurring += [w for t, q in zip(odd, part) if q == p for w in t if others(w) < plain(w) - 2]
-    return _trained(recurring, TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_DMER), ordinary, plain
+    return _trained(recurring, TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_DMER), ordinary, usual, plain
 
 
 class Scorer:
@@ -122,7 +133,7 @@ class Scorer:
 
     def __init__(self, model: dict, ordinary: Callable[[str], int] | None = None) -> None:
         self.model = model
-        toxic, ordinary = _lengths(model["toxic"]), ordinary or _lengths(model["ordinary"])
+        toxic, ordinary = _lengths(model["toxic"]), ordinary or _ordinary_lengths(model["ordinary"], model["usual"])
         self.gain = lru_cache(CACHED_WINDOWS)(lambda w: ordinary(w) - toxic(w))
 
     def features(self, words: list[str]) -> list[float]:
@@ -160,13 +171,13 @@ def _cut(value: np.ndarray, y: np.ndarray) -> float:
 def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     """A model from texts of either class, in a fixed order."""
     texts = [windows(t) for t in _distinct(toxic)], [windows(t) for t in _distinct(ordinary)]
-    empty = {"toxic": b" ", "ordinary": b" ", "weights": None, "mean": 0.0, "scale": 1.0, "key": 0}
+    empty = {"toxic": b" ", "ordinary": b" ", "weights": None, "mean": 0.0, "scale": 1.0, "usual": 0, "key": 0}
     if min(map(len, texts)) < FOLDS:
         return empty
     x, y = [], []
     for f in range(FOLDS):
-        content, other, plain = _dictionaries(*[[t for k, t in enumerate(ts) if k % FOLDS != f] for ts in texts])
-        scorer = Scorer(empty | {"toxic": content, "ordinary": other}, plain)
+        content, other, usual, plain = _dictionaries(*[[t for k, t in enumerate(ts) if k % FOLDS != f] for ts in texts])
+        scorer = Scorer(empty | {"toxic": content, "ordinary": other, "usual": usual}, plain)
         for label, ts in zip((1, 0), texts):
             x += [scorer.features(t) for t in ts[f::FOLDS]]
             y += [label] * len(ts[f::FOLDS])
@@ -174,7 +185,7 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = _logistic((x - mean) / scale, y)
     weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-9 - _cut(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, y)
-    return empty | dict(zip(("toxic", "ordinary"), _dictionaries(*texts)[:2])) | {"mean": mean, "scale": scale, "weights": weights, "key": zlib.crc32(repr((weights, mean, scale)).encode()) or 1}
+    return empty | dict(zip(("toxic", "ordinary", "usual"), _dictionaries(*texts))) | {"mean": mean, "scale": scale, "weights": weights, "key": zlib.crc32(repr((weights, mean, scale)).encode()) or 1}
 
 
 def held_out(doc_id: Column) -> Column:

@@ -104,9 +104,14 @@ def _lengths(content: bytes) -> Callable[[str], int]:
     return lambda window: len(compress(_twice(_marked(window))))
 
 
+def _whole(content: bytes) -> set[str]:
+    """The windows that a dictionary holds whole."""
+    return {w.decode("utf-8", "replace") for w in _HELD_WHOLE.findall(content)}
+
+
 def _ordinary_lengths(content: bytes, usual: int) -> Callable[[str], int]:
     """As _lengths, by the ordinary dictionary; a window that it holds whole is one match, of the usual length, and is not compressed."""
-    held = {w.decode("utf-8", "replace") for w in _HELD_WHOLE.findall(content)}
+    held = _whole(content)
     compressed = _lengths(content)
     return lambda window: usual if window in held else compressed(window)
 
@@ -115,7 +120,7 @@ def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[bytes, b
     """The contents of the toxic and the ordinary dictionary from the windows of texts of either class, the usual length of a window by the latter, and all lengths by it."""
     ordinary = _trained([w for t in good for w in t], ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER)
     compressed = _lengths(ordinary)
-    held = {w.decode("utf-8", "replace") for w in _HELD_WHOLE.findall(ordinary)}
+    held = _whole(ordinary)
     sizes = [compressed(w) for w in sorted({w for t in good[::USUAL_EVERY] for w in t} & held)]
     usual = int(np.median(sizes)) if sizes else len(_EDGE) * 4  # what a window that the dictionary holds costs
     plain = lru_cache(None)(lambda w: usual if w in held else compressed(w))
@@ -134,7 +139,9 @@ class Scorer:
     def __init__(self, model: dict, ordinary: Callable[[str], int] | None = None) -> None:
         self.model = model
         toxic, ordinary = _lengths(model["toxic"]), ordinary or _ordinary_lengths(model["ordinary"], model["usual"])
-        self.gain = lru_cache(CACHED_WINDOWS)(lambda w: ordinary(w) - toxic(w))
+        known = _whole(model["ordinary"]) - _whole(model["toxic"])
+        # what the ordinary dictionary holds whole and the toxic one does not gains nothing: no need to compress it
+        self.gain = lru_cache(CACHED_WINDOWS)(lambda w: 0 if w in known else ordinary(w) - toxic(w))
 
     def features(self, words: list[str]) -> list[float]:
         gains = np.sort(np.array([self.gain(w) for w in words], dtype=float))[::-1]

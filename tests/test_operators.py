@@ -1,5 +1,6 @@
 """Operators on small literal cases."""
 
+import datetime
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import sizing, text
-from tidemark.operators import learning, panel, policy, unlocks, windows
+from tidemark.operators import learning, panel, policy, unlocks, walkforward, windows
 from tidemark.sources.views import keep_last, upsert
 from tidemark.streaming import acceptance
 
@@ -189,3 +190,46 @@ def test_normal_cdf(spark):
 
 def test_deflated_sharpe_falls_with_trials():
     assert sizing.deflated_sharpe(0.35, 222, 0, 3, 500) > sizing.deflated_sharpe(0.35, 222, 0, 3, 5000)
+
+
+def _daily(n, seed):
+    rng = np.random.default_rng(seed)
+    return rng, [(datetime.date(2020, 1, 1) + datetime.timedelta(i),) for i in range(n)]
+
+
+def test_unit_root_of_prefixes():
+    rng = np.random.default_rng(5)
+    z = np.cumsum(rng.normal(size=150)) * 0.2 + rng.normal(size=150) + 40
+    path = walkforward._unit_root_path(z)
+    assert np.isnan(path[:30]).all()
+    assert path[30:] == pytest.approx([learning.adf_statistic(z[:n]) for n in range(30, 151)], rel=1e-6)
+
+
+def test_walk_forward_looks_back_only(spark):
+    """Rows are scored alike whether later rows are there or not; the first rows and short series have no score."""
+    rng, days = _daily(330, 3)
+    r = np.where(np.arange(330) // 40 % 2, 0.02, -0.02) + rng.normal(0, 0.01, 330)
+    rows = [("a", d[0], float(s), float(s + e > 0.5), float(x), float(c)) for d, s, e, x, c in zip(days, rng.random(330), rng.normal(0, 0.2, 330), r, 100 * np.exp(np.cumsum(r)))]
+    rows += [("b", *row[1:]) for row in rows[:20]]
+    df = spark.createDataFrame(rows, "k string, d date, s double, y double, r double, c double")
+    for run, first, col in (
+        (lambda t: walkforward.isotonic_walk_forward(t, "k", "d", "s", "y"), 60, "calibrated"),
+        (lambda t: walkforward.regime_walk_forward(t, "k", "d", "r"), 126, "prob_bull"),
+        (lambda t: walkforward.optimal_d_expanding(t, "k", "d", "c", tau=1e-2), 0, "d_star"),
+    ):
+        whole, cut = [{(x.k, x.d): x[col] for x in run(t).collect()} for t in (df, df.where(F.col("d") < days[280][0]))]
+        assert len(whole) == 350 and all(whole[at] == v for at, v in cut.items())
+        assert [i for i, d in enumerate(days) if whole["a", d[0]] is not None] == list(range(first, 330))
+        assert all(v is None for (k, _), v in whole.items() if k == "b")
+    bull = {x.d: x.is_bull for x in walkforward.regime_walk_forward(df.where("k = 'a'"), "k", "d", "r").collect()}
+    assert np.mean([bull[d[0]] == (i // 40 % 2 == 1) for i, d in enumerate(days) if i >= 180]) > 0.85
+
+
+def test_isotonic_walk_forward_by_hand(spark):
+    rng, days = _daily(70, 8)
+    x, y = rng.random(70), rng.integers(0, 2, 70).astype(float)
+    df = spark.createDataFrame([("a", d[0], float(a), float(b)) for d, a, b in zip(days, x, y)], "k string, d date, x double, y double")
+    got = {r.d: r.calibrated for r in walkforward.isotonic_walk_forward(df, "k", "d", "x", "y", decay_days=10**9).collect()}
+    order = np.argsort(x[:60])
+    fit = learning.isotonic(y[:60][order], np.ones(60))
+    assert [got[d[0]] for d in days[60:]] == pytest.approx(list(np.interp(x[60:], x[:60][order], fit)), abs=1e-6)

@@ -5,7 +5,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tidemark.operators import information, learning, policy
+from tidemark.operators import information, learning, policy, walkforward
 from tidemark.plans.market import _returns
 from tidemark.plans.register import registry
 from tidemark.sources.folders import checkpointed
@@ -112,3 +112,20 @@ def symbol_clusters(spark, sf):
     whole = F.broadcast(df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in FEATURES]))  # one row
     sign = F.concat(*[F.when(F.col(c) > F.col(f"m_{c}"), "1").otherwise("0") for c in FEATURES])
     return own.join(whole).select("symbol", F.concat(F.lit("cluster_"), sign).alias("cluster"))
+
+
+@query()
+def isotonic_walk_forward(spark, sf):
+    """Daily win rates per symbol, calibrated by the days before."""
+    df = trades(spark, sf).groupBy("symbol", "date").agg(F.avg("score").alias("score"), F.avg((F.col("pnl") > 0).cast("double")).alias("y"))
+    return walkforward.isotonic_walk_forward(df, "symbol", "date", "score", "y")
+
+
+@query()
+def regime_walk_forward(spark, sf):
+    return walkforward.regime_walk_forward(_returns(spark, sf), "symbol", "ts", "r")
+
+
+@query()
+def fracdiff_expanding_d(spark, sf):
+    return walkforward.optimal_d_expanding(bars_daily(spark, sf), "symbol", "ts", "close")

@@ -29,6 +29,18 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def join_by_weight(rows: DataFrame, named: DataFrame, key: str, weight: str, hot: int = 200) -> DataFrame:
+    """Inner join of ``rows`` with ``named``, which has each key once and in ``weight`` how many of ``rows`` have it.
+
+    Keys with more than one in ``hot`` of all rows, of which there are fewer than ``hot``, are broadcast; the others are
+    dealt by key, so that no key brings more than that share to a task. Both sides are read twice: checkpoint them.
+    """
+    total = named.agg(F.sum(weight)).first()[0] or 0
+    named, heavy = named.drop(weight), named.where(F.col(weight) * hot > total).drop(weight)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(named, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def hashed_sample(df: DataFrame, n: int, *columns: str) -> DataFrame:
     """The ``n`` rows with the smallest hashes of ``columns``, which should be a key.
 

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import chat, licences, mixing, pages, pseudonyms, simhash, suffixes, tokens, toxicity, webp
+from tidemark.llm import audit, chat, licences, mixing, pages, pseudonyms, simhash, suffixes, tokens, toxicity, trie, webp
 
 QUERIES = {
     "op1_multinomial_mix": mixing.op1,
@@ -13,8 +13,12 @@ QUERIES = {
     "op8_suffix_decontamination": suffixes.op8,
     "op9_simhash_pivots": simhash.op9,
     "op10_compression_toxicity": toxicity.op10,
+    "op11_prefix_digests": trie.op11,
+    "op12_filter_cube": audit.op12,
 }
 ORACLES = {
     "op4_chat_perspectives": chat.ORACLE,
     "op8_suffix_decontamination": suffixes.ORACLE,
+    "op11_prefix_digests": trie.ORACLE,
+    "op12_filter_cube": audit.ORACLE,
 }

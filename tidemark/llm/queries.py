@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB SQL."""
 
-from tidemark.llm import audit, chat, licences, mixing, pages, pseudonyms, simhash, suffixes, tokens, toxicity, trie, webp
+from tidemark.llm import audit, chat, licences, mixing, pages, pseudonyms, simhash, suffixes, tokens, toxicity, trie, vectors, webp
 
 QUERIES = {
     "op1_multinomial_mix": mixing.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_compression_toxicity": toxicity.op10,
     "op11_prefix_digests": trie.op11,
     "op12_filter_cube": audit.op12,
+    "op13_pivot_range_join": vectors.op13,
 }
 ORACLES = {
     "op4_chat_perspectives": chat.ORACLE,

@@ -5,12 +5,13 @@ import hashlib
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import permutations
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.llm import audit, queries, trie, vectors
@@ -199,11 +200,12 @@ def test_visits_leave_room():
     x /= np.linalg.norm(x, axis=1)[:, None]
     cells = vectors.Cells([c.tobytes() for c in centres], 0.95)
     _, cell, ring = cells.home(128, x)
-    held = sorted(set(zip(cell.tolist(), ring.tolist())))
-    cells.rings[128] = tuple(np.array(c) for c in zip(*[(c, r, 1) for c, r in held]))
+    counts = Counter(zip(cell.tolist(), ring.tolist()))
+    cells.hold([Row(size=128, cell=c, ring=r, n=n) for (c, r), n in counts.items()], 50)
     visits = cells.visits(128, x, cell)
-    home = {pair: k for k, pair in enumerate(held)}
-    near = x @ x.T >= 0.95
-    for i, j in np.argwhere(near):
-        assert visits[i, home[cell[j], ring[j]]]
+    held, first, last, parts = cells.blocks[128]
+    home = [int(np.flatnonzero((held == c) & (first <= r) & (r <= last))[0]) for c, r in zip(cell, ring)]
+    assert np.bincount(home).max() <= 50 and (parts == 1).all()
+    for i, j in np.argwhere(x @ x.T >= 0.95):
+        assert visits[i, home[j]]
     assert visits.sum() < 3 * len(x)

@@ -74,7 +74,7 @@ def _linked(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
 
 
 class Cells:
-    """Pivots by length of vectors, and the rings of the cells that hold vectors."""
+    """Pivots by length of vectors, and the blocks of the cells that hold vectors."""
 
     def __init__(self, sample: list[bytes], limit: float):
         self.radius = math.sqrt(max(0.0, 2 - 2 * limit)) + SLACK
@@ -84,7 +84,8 @@ class Cells:
             by.setdefault(len(v), []).append(v)
         self.pivots = {size: _units(own) for size, own in by.items()}
         self.apart = {size: np.sqrt(np.maximum(2 - 2 * p @ p.T, 1e-300)) for size, p in self.pivots.items()}
-        self.rings: dict[int, tuple[np.ndarray, ...]] = {}
+        #: Cell, first and last ring, and parts of every block, by length.
+        self.blocks: dict[int, tuple[np.ndarray, ...]] = {}
 
     def _of(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         if size not in self.pivots:  # a length that the sample lacks has one cell
@@ -98,23 +99,31 @@ class Cells:
         away = np.sqrt(np.maximum(2 - 2 * cosines[np.arange(len(x)), cell], 0))
         return cosines, cell, np.floor(away / self.width).astype(np.int64)
 
-    def hold(self, rows: list) -> Cells:
-        """Takes in the rings (size, cell, ring, blocks) that have vectors."""
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(r.size, []).append((r.cell, r.ring, r.blocks))
-        self.rings = {size: tuple(np.array(c, dtype=np.int64) for c in zip(*sorted(own))) for size, own in by.items()}
+    def hold(self, rows: list, most: int) -> Cells:
+        """Takes in how many vectors (size, cell, ring, n) the rings have.
+
+        Neighbouring rings of a cell become one block of ``most`` vectors at most; a fuller ring is cut into parts.
+        """
+        by: dict[int, list[list[int]]] = {}
+        for r in sorted(rows):
+            own = by.setdefault(r.size, [])
+            if own and own[-1][0] == r.cell and own[-1][3] + r.n <= most:
+                own[-1][2:] = [r.ring, own[-1][3] + r.n]
+            else:
+                own.append([r.cell, r.ring, r.ring, r.n])
+        self.blocks = {size: tuple(np.array(own, dtype=np.int64).T) for size, own in by.items()}
+        self.blocks = {size: (cell, first, last, -(-n // most)) for size, (cell, first, last, n) in self.blocks.items()}
         return self
 
     def visits(self, size: int, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """For each vector, which of the held rings of its length may have a partner."""
+        """For each vector, which of the blocks of its length may have a partner."""
         pivots, apart = self._of(size)
         own, cosines = np.arange(len(cell)), x @ pivots.T
         beyond = cosines[own, cell][:, None] - cosines <= self.radius * apart[cell] + SLACK
         away = np.sqrt(np.maximum(2 - 2 * cosines, 0))
-        cells, rings, _ = self.rings[size]
+        cells, first, last, _ = self.blocks[size]
         low, high = away[:, cells] - self.radius, away[:, cells] + self.radius
-        return beyond[:, cells] & (high >= rings * self.width - SLACK) & (low <= (rings + 1) * self.width + SLACK)
+        return beyond[:, cells] & (high >= first * self.width - SLACK) & (low <= (last + 1) * self.width + SLACK)
 
 
 def _by_size(vecs: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -142,11 +151,12 @@ def _placed(cells: Cells):
         for batch in batches:
             own_cell, own_ring, own_hash = (batch.column(c).to_numpy() for c in ("cell", "ring", "hash"))
             for size, at, x in _by_size(batch.column("vec").to_pylist()):
-                held, ring, parts = cells.rings[size]
-                base = ((size * MAX_CELLS + held) << 30) + (ring << 20)  # a number for each block
+                held, first, last, parts = cells.blocks[size]
+                base = ((size * MAX_CELLS + held) << 30) + (first << 20)  # a number for each block
                 for lo in range(0, len(at), SLICE):
                     rows = at[lo : lo + SLICE]
-                    home = (held == own_cell[rows][:, None]) & (ring == own_ring[rows][:, None])
+                    ring = own_ring[rows][:, None]
+                    home = (held == own_cell[rows][:, None]) & (first <= ring) & (ring <= last)
                     i, r = np.nonzero(home | cells.visits(size, x[lo : lo + SLICE], own_cell[rows]))
                     each = np.repeat(np.arange(len(i)), parts[r])
                     part = np.arange(len(each)) - np.repeat(np.cumsum(parts[r]) - parts[r], parts[r])
@@ -243,7 +253,7 @@ def range_links(distinct: DataFrame, limit: float = LIMIT, cell: int = CELL) ->
     cells = Cells([bytes(r.vec) for r in sample.collect()], limit)
     homes = distinct.select("key", "n", "vec", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).alias("hash"))
     homes = checkpointed(homes.mapInArrow(_homes(cells), "key binary, n long, vec binary, hash long, size long, cell long, ring long"))
-    cells.hold(homes.groupBy("size", "cell", "ring").agg(F.ceil(F.count("*") / cell).alias("blocks")).collect())
+    cells.hold(homes.groupBy("size", "cell", "ring").agg(F.count("*").alias("n")).collect(), cell)
     spread = homes.mapInArrow(_placed(cells), "block long, guest boolean, key binary, n long, vec binary")
     return spread.repartition("block").sortWithinPartitions("block", "guest").mapInArrow(_joined(limit), _FOUND)
 

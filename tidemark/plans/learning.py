@@ -3,13 +3,14 @@
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import information, learning, policy, walkforward
+from tidemark.operators import clusters, drift, importance, information, learning, policy, walkforward
 from tidemark.plans.market import _returns
 from tidemark.plans.register import registry
 from tidemark.sources.folders import checkpointed
-from tidemark.sources.views import bars_daily, trades
+from tidemark.sources.views import bars_daily, table, trades
 
 query, QUERIES, ORACLES = registry()
 FEATURES = ["score", "regime", "position"]
@@ -93,25 +94,60 @@ def regime_hmm(spark, sf):
     return learning.regime(_returns(spark, sf), "symbol", "ts", "r")
 
 
+PANEL = ["r", "span", "volume", "n_trades"]
+
+
+def _panel(spark, sf):
+    """Daily bars with returns and the log of high over low."""
+    bars = bars_daily(spark, sf)
+    before = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
+    return bars.withColumn("r", F.log(F.col("close") / before)).withColumn("span", F.log(F.col("high") / F.col("low"))).select("symbol", "ts", *PANEL)
+
+
 @query()
 def c2st_auc(spark, sf):
-    """How well a forest tells late rows from early ones: area under the curve on held-out rows."""
-    df = trades(spark, sf).withColumn("y", (F.col("date") >= F.lit("1999-01-01").cast("date")).cast("double"))
-    df = VectorAssembler(inputCols=["score", "pnl", "regime"], outputCol="features").transform(df).select("row_id", "y", "features")
-    held = F.pmod(F.xxhash64("row_id"), F.lit(3)) == 0
-    model = RandomForestClassifier(labelCol="y", numTrees=10, maxDepth=4, seed=7).fit(df.where(~held))
-    scored = model.transform(df.where(held)).select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-    return information.auc(scored, "p", F.col("y") == 1, [])
+    """Whether the newest 30 days of each symbol differ from the 252 before, with the chance of a block bootstrap."""
+    return drift.drift_test(_panel(spark, sf), "symbol", "ts", PANEL, replicates=200)
+
+
+@query()
+def drift_by_feature(spark, sf):
+    return drift.feature_drift(_panel(spark, sf), "symbol", "ts", PANEL)
+
+
+@query()
+def drift_portfolio(spark, sf):
+    return drift.portfolio_drift(c2st_auc(spark, sf))
+
+
+@query()
+def feature_clusters(spark, sf):
+    """Features of all trades that share information, by Ward linkage of their variation of information."""
+    columns = ["score", "pnl", "regime", "position", "slippage", "label"]
+    pairs = information.vi_matrix(information.quantile_bins(trades(spark, sf), columns, 10), [f"{c}_bin" for c in columns])
+    return clusters.ward_clusters(pairs.withColumn("universe", F.lit("all")), ["universe"], 0.3)
+
+
+def _nation_trades(spark, sf):
+    """Trades with the customer's nation as their symbol."""
+    names = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("symbol"))  # 25 rows
+    homes = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")).join(F.broadcast(names), "n_nationkey")
+    at = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("c_custkey"))
+    return trades(spark, sf).drop("symbol").join(at.join(homes, "c_custkey").select("row_id", "symbol"), "row_id")
 
 
 @query()
 def symbol_clusters(spark, sf):
-    """Symbols by the signs of their features' medians against the panel's."""
-    df = trades(spark, sf)
-    own = df.groupBy("symbol").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in FEATURES])
-    whole = F.broadcast(df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in FEATURES]))  # one row
-    sign = F.concat(*[F.when(F.col(c) > F.col(f"m_{c}"), "1").otherwise("0") for c in FEATURES])
-    return own.join(whole).select("symbol", F.concat(F.lit("cluster_"), sign).alias("cluster"))
+    """Nations by what their trades look like."""
+    return clusters.symbol_clusters(clusters.signatures(_nation_trades(spark, sf), "symbol", [*FEATURES, "pnl"]), "symbol")
+
+
+@query()
+def clustered_importance(spark, sf):
+    """What the groups of features are worth for telling trades of the later days that win."""
+    df = trades(spark, sf).withColumn("y", (F.col("pnl") > 0).cast("int"))
+    late = F.col("date") >= F.lit("1999-01-01").cast("date")
+    return importance.clustered_importance(df.where(~late), df.where(late), "row_id", {1: ["score", "slippage"], 2: ["regime"], 3: ["position"]}, "y", repeats=5, within=3, trees=20)
 
 
 @query()

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import sizing
 from tidemark.operators import information, panel, policy, windows
 from tidemark.plans.register import registry
-from tidemark.sources.views import TARGETS, TRADES, table, targets, trades
-from tidemark.streaming import acceptance
+from tidemark.sources.views import EVENTS, TARGETS, TRADES, bridge_events, table, targets, trades
+from tidemark.streaming import acceptance, bridge
 
 query, QUERIES, ORACLES = registry()
 R = lambda c, name, n=6: F.round(c, n).alias(name)
@@ -343,6 +343,60 @@ def stream_accept(spark, sf):
     return acceptance.stream(targets(spark, sf), 2400, MANAGED)
 
 
+BRIDGE = f"with {EVENTS}" + """, v as (select *, case when expired or age_days > 2400 then 'rejected_stale' when list_sort(list_distinct(instruments)) <> ['A', 'B'] then 'rejected_incomplete_snapshot' end away from events where kind = 'target'),
+  p as (select *, max(revision) over (partition by portfolio order by arrival rows between unbounded preceding and 1 preceding) before, first_value(fingerprint) over (partition by portfolio, revision order by arrival) first_fp from v where away is null),
+  judged as (
+    select portfolio, arrival, revision, outcome, case when before is null or revision > before then 'accepted' when revision < before then 'rejected_out_of_order' when fingerprint = first_fp then 'rejected_duplicate' else 'rejected_revision_conflict' end verdict from p
+    union all select portfolio, arrival, revision, outcome, away from v where away is not null),
+  acc as (select *, lead(arrival) over (partition by portfolio order by arrival) later from judged where verdict = 'accepted' and outcome <> 'failed'),
+  slots as (select portfolio, arrival message, revision, later from acc where outcome = 'deferred_not_ready'),
+  tries as (
+    select s.portfolio, s.message, e.arrival, s.revision,
+           case when exists (select 1 from judged j where j.portfolio = s.portfolio and j.verdict = 'accepted' and j.arrival > s.message and j.arrival < e.arrival) then 'rejected_superseded' else e.outcome end status
+    from slots s join events e on e.kind = 'retry' and e.portfolio = s.portfolio and e.arrival > s.message and (s.later is null or e.arrival < s.later)),
+  acts as (
+    select * from (select *, count(*) filter (status in ('submitted', 'noop_band', 'rejected_superseded')) over (partition by portfolio, message order by arrival rows between unbounded preceding and 1 preceding) done from tries) where done = 0),
+  ends as (select portfolio, message, min(arrival) ended from acts where status <> 'deferred_not_ready' group by 1, 2),
+  late as (select s.portfolio, s.message, s.revision from slots s left join ends using (portfolio, message) where (ended is null or ended > s.message + 40) and s.message + 40 < (select max(arrival) from events)),
+  statuses as (
+    select portfolio, arrival message, arrival, 0 seq, revision, 'received' status from judged
+    union all select portfolio, arrival, arrival, 1, revision, verdict from judged
+    union all select portfolio, arrival, arrival, 2, revision, outcome from judged where verdict = 'accepted'
+    union all select portfolio, message, arrival, 0, revision, status from acts
+    union all select portfolio, message, message, 9, revision, 'timeout_waiting_terminal_status' from late)"""
+PATIENCE = 40
+
+
+@query(BRIDGE + " select * from statuses")
+def bridge_statuses(spark, sf):
+    """Every status of every target: acceptance, deferral, retries, supersession and deadlines."""
+    return bridge.statuses(bridge_events(spark, sf), 2400, MANAGED, PATIENCE)
+
+
+@query(BRIDGE + """, applied as (
+    select portfolio, arrival, revision from judged where verdict = 'accepted' and outcome in ('submitted', 'noop_band') union all select portfolio, arrival, revision from acts where status in ('submitted', 'noop_band')),
+  held as (
+    select portfolio, revision deferred from slots s where later is null and not exists (select 1 from acts a where a.portfolio = s.portfolio and a.message = s.message and a.status in ('submitted', 'noop_band', 'rejected_superseded')))
+  select j.portfolio, max(revision) filter (verdict = 'accepted') last_accepted, (select arg_max(revision, arrival) from applied a where a.portfolio = j.portfolio) last_applied,
+         (select max(deferred) from held h where h.portfolio = j.portfolio) deferred, max(arrival) filter (verdict <> 'accepted' or outcome <> 'failed') "cursor" from judged j group by j.portfolio""")
+def bridge_state(spark, sf):
+    return bridge.final_state(bridge_events(spark, sf), 2400, MANAGED)
+
+
+@query(BRIDGE + """, m as (select portfolio, message, list(status order by arrival, seq) s from (select portfolio, message, status, min(arrival) arrival, arg_min(seq, (arrival, seq)) seq from statuses group by 1, 2, 3) group by 1, 2),
+  r as (select *, coalesce(list_filter(s, lambda x: x like 'rejected!_%' escape '!' or x = 'failed')[1], case when list_has_any(s, ['submitted', 'noop_band']) then null else 'timeout_waiting_terminal_status' end) reason from m)
+  select portfolio, message, reason is null success, reason, array_to_string(s, ',') statuses from r""")
+def message_results(spark, sf):
+    rows = bridge.statuses(bridge_events(spark, sf), 2400, MANAGED, PATIENCE)
+    return bridge.message_results(rows, ["portfolio", "message"], ["arrival", "seq"]).withColumn("statuses", F.array_join("statuses", ","))
+
+
+@query()
+def bridge_stream(spark, sf):
+    """The same statuses from the stream."""
+    return bridge.replay(bridge_events(spark, sf), 2400, MANAGED, PATIENCE)
+
+
 @query("""with t as (select s_suppkey k, (s_suppkey % 4) * 0.01::double w, case when s_suppkey % 5 = 0 then null else 90 + s_suppkey % 20 end::double px, case when s_suppkey % 3 = 0 then 0 else s_suppkey * 10 end::double qty from supplier),
   d as (select *, 100000 * w goal, coalesce(qty, 0) * px held from t)
   select k, case when px is null then 'no_price' when w = 0 and qty = 0 then 'already_flat' when w = 0 and held < 200 then 'dust_close' when w = 0 then 'close' when abs(goal - held) <= 100000 * 0.0025 then 'noop_band' when abs(goal - held) < 500 then 'min_notional' when goal > held then 'buy' else 'sell' end intent,

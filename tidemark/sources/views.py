@@ -114,6 +114,13 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bridge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and retries in one order of arrival, with what the venue reports of each."""
+    at = F.col("arrival")
+    outcome = F.when(at % 7 < 3, "deferred_not_ready").when(at % 7 == 3, "failed").when(at % 7 == 4, "noop_band").otherwise("submitted")
+    return targets(spark, sf_dir).withColumn("kind", F.when(at % 5 == 0, "retry").otherwise("target")).withColumn("outcome", outcome)
+
+
 # The same views in DuckDB SQL, for the oracles.
 BARS = """bars as (
   select symbol, ts, arg_min(price, pos) "open", max(price) high, min(price) low, arg_max(price, pos) "close", sum(quantity) volume, sum(amount) quote_volume, count(*) n_trades
@@ -140,3 +147,6 @@ AS_OF = """as_of as (
 TARGETS = """targets as (
   select o_orderstatus portfolio, o_orderkey arrival, cast(o_orderkey // 7 + o_orderkey * 13 % 5 as bigint) revision, o_custkey % 3 fingerprint, date_diff('day', cast(o_orderdate as date), date '2002-01-01') age_days,
          o_orderkey % 29 = 0 expired, case when o_orderkey % 31 = 0 then ['A'] else ['B', 'A'] end instruments from orders)"""
+EVENTS = TARGETS + """, events as (
+  select *, case when arrival % 5 = 0 then 'retry' else 'target' end kind,
+         case when arrival % 7 < 3 then 'deferred_not_ready' when arrival % 7 = 3 then 'failed' when arrival % 7 = 4 then 'noop_band' else 'submitted' end outcome from targets)"""

@@ -1,9 +1,9 @@
 """Query catalogue: names to callables and to the DuckDB SQL that checks them."""
 
-from tidemark.plans import ingest, learning, market, reports, research, unlock
+from tidemark.plans import ingest, learning, market, payloads, reports, research, unlock
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (market, research, reports, unlock, ingest, learning):
+for module in (market, research, reports, unlock, ingest, payloads, learning):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -63,16 +63,6 @@ def reconstruction_confidence(spark, sf):
     return rows.select("k", R(c, "confidence"), decision.alias("decision"))
 
 
-@query("""select s_suppkey k, case when s_suppkey % 6 = 0 then 'missing_schedule' when s_suppkey % 5 = 0 then 'invalid_circ' when s_suppkey % 4 = 0 then 'review_required' else 'ok' end quality,
-  case when s_suppkey % 3 = 0 then 10.0 when s_suppkey % 2 = 0 then 20.0 else 30.0 end::double total_supply, case when s_suppkey % 3 = 0 then 'observed' when s_suppkey % 2 = 0 then 'reconstructed' else 'market' end supply_mode from supplier""")
-def layer_quality_ladder(spark, sf):
-    k = F.col("s_suppkey")
-    observed, rebuilt, market = F.when(k % 3 == 0, 10.0), F.when(k % 2 == 0, 20.0), F.lit(30.0)
-    quality = F.when(k % 6 == 0, "missing_schedule").when(k % 5 == 0, "invalid_circ").when(k % 4 == 0, "review_required").otherwise("ok")
-    mode = F.when(observed > 0, "observed").when(rebuilt > 0, "reconstructed").otherwise("market")
-    return table(spark, sf, "supplier").select(k.alias("k"), quality.alias("quality"), F.coalesce(observed, rebuilt, market).alias("total_supply"), mode.alias("supply_mode"))
-
-
 SYMBOLS = ["BTC", "usdt", "LINK", "EURS", "steth", "SOL", "aUSD", "ADA"]
 
 

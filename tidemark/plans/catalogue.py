@@ -1,9 +1,9 @@
 """Query catalogue: names to callables and to the DuckDB SQL that checks them."""
 
-from tidemark.plans import ingest, layers, learning, market, payloads, policies, reports, research, unlock
+from tidemark.plans import ingest, layers, learning, market, payloads, policies, reports, research, risk, unlock
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (market, research, reports, unlock, ingest, payloads, layers, policies, learning):
+for module in (market, research, reports, unlock, ingest, payloads, layers, policies, risk, learning):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -6,7 +6,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import clusters, drift, importance, information, learning, policy, walkforward
+from tidemark.operators import clusters, crossval, drift, importance, information, learning, policy, portfolio, regimes, walkforward
+from tidemark.operators.prefix import prefix_sum
 from tidemark.plans.market import _returns
 from tidemark.plans.register import registry
 from tidemark.sources.folders import checkpointed
@@ -76,6 +77,45 @@ def cpcv_auc(spark, sf):
     return information.auc(out, "p", F.col("y") == 1, ["a", "b"])
 
 
+def _cross(spark, sf):
+    """Predictions of all paths of a logistic model, purged around each fold."""
+    df = trades(spark, sf)
+    base = _folded(spark, sf, 6).drop("fold").join(df.select("row_id", "symbol", "cluster", "date"), "row_id")
+
+    def fit(train):
+        model = LogisticRegression(labelCol="y", maxIter=10, regParam=0.01).fit(train)
+        return lambda rows: model.transform(rows).withColumn("p", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
+
+    return crossval.cross_predictions(base, fit)
+
+
+@query()
+def cpcv_verdict(spark, sf):
+    """Areas of the 15 paths, the share of them under a half, and whether that passes."""
+    return crossval.verdict(_cross(spark, sf))
+
+
+@query()
+def cpcv_calibration(spark, sf):
+    """Predictions of all paths calibrated by cluster, clusters of few rows by all."""
+    _, report = portfolio.cluster_calibrated(_cross(spark, sf), "row_id", "cluster", "p", "y", "date", learning.isotonic)
+    return report
+
+
+@query("""with n as (select count(*) n from orders), p as (select row_number() over (order by o_orderkey) - 1 pos from orders), b as (select k, k * (n // 6) + least(k, n % 6) lo, (k + 1) * (n // 6) + least(k + 1, n % 6) hi, greatest(1, cast(floor(n * 0.01) as int)) e from n, (select unnest(range(6)) k)),
+  c as (select x.k || '-' || y.k path, x.lo lo1, x.hi hi1, y.lo lo2, y.hi hi2, x.e from b x join b y on x.k < y.k),
+  r as (select 'folds' purge, path, case when pos >= lo1 and pos < hi1 or pos >= lo2 and pos < hi2 then 'test' when not (pos >= lo1 - e and pos < hi1 + e or pos >= lo2 - e and pos < hi2 + e) then 'train' end role from p, c
+    union all select 'span', path, case when pos >= lo1 and pos < hi1 or pos >= lo2 and pos < hi2 then 'test' when not (pos >= lo1 - e and pos < hi2 + e) then 'train' end from p, c)
+  select purge, path, count(*) filter (role = 'train') n_train, count(*) filter (role = 'test') n_test from r group by 1, 2 having count(*) filter (role = 'train') >= 40""")
+def cpcv_paths(spark, sf):
+    """Rows that each path trains on and tests, purged around each fold or over the whole span."""
+    keys = table(spark, sf, "orders").select("o_orderkey", F.lit(1).cast("long").alias("_one"))
+    rows = checkpointed(prefix_sum(keys, [], [F.col("o_orderkey")], "_one", "pos").select("pos"))
+    n = rows.count()
+    both = [crossval.path_roles(rows, n, span=s).withColumn("purge", F.lit("span" if s else "folds")) for s in (False, True)]
+    return both[0].union(both[1]).groupBy("purge", "path").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
+
+
 @query()
 def robust_pca(spark, sf):
     """Two components of clipped features, scaled by median and quartiles."""
@@ -165,3 +205,24 @@ def regime_walk_forward(spark, sf):
 @query()
 def fracdiff_expanding_d(spark, sf):
     return walkforward.optimal_d_expanding(bars_daily(spark, sf), "symbol", "ts", "close")
+
+
+@query()
+def regime_components(spark, sf):
+    """The chain over the components of a day's features, refit on the days before."""
+    return regimes.component_regimes(_panel(spark, sf), "symbol", "ts", PANEL, "r", every=63, rounds=8)
+
+
+@query()
+def component_crashes(spark, sf):
+    """How far the days of the worst returns lie along the first component, plain and robust."""
+    panel = _panel(spark, sf)
+    cut = F.broadcast(panel.groupBy("symbol").agg(F.percentile("r", F.lit(0.005)).alias("cut")))  # a row per symbol
+    return regimes.component_health(panel.join(cut, "symbol").withColumn("crash", F.col("r") <= F.col("cut")), "symbol", "ts", PANEL, "crash")
+
+
+@query()
+def regime_validation(spark, sf):
+    """How the regimes out of sample agree with what came, and whether they call a falling span one."""
+    rows = regime_components(spark, sf).join(_panel(spark, sf).select("symbol", "ts", "r"), ["symbol", "ts"])
+    return regimes.regime_report(rows, ["symbol"], "r", F.col("ts").between(F.lit("1995-01-01").cast("date"), F.lit("1995-06-30").cast("date")))

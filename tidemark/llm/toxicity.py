@@ -1,15 +1,16 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled texts: one on ordinary texts, one on toxic texts.
-A window is one distinct word of a text between word marks, so that a word costs least where a dictionary holds it whole.
-A window's gain is its compressed length with the ordinary dictionary less that with the toxic one. The counts of
-windows whose gains reach fixed marks, and the largest gains, go through a logistic calibration.
-
-Most of a toxic text is ordinary. The toxic dictionary is therefore trained on the windows of toxic texts that the
-ordinary dictionary compresses badly and that a dictionary trained on the other toxic texts compresses better. The
-calibration is cross-fitted: every text of the sample is scored by dictionaries that were trained on the other folds,
-whatever the size of the sample. Its intercept is moved so that THRESHOLD lies where recall less FALSE_COST times the
-false alarms is largest on those scores.
+Zstandard dictionaries are trained on a bounded sample of labelled texts: one on ordinary texts, and one for each of a
+few tiers of toxic ones. Windows cover a text but for its white space: runs of letters, of digits or of marks, long runs
+in pieces that overlap. A window is compressed with each dictionary between two marks, so that it costs least where one
+holds it whole; its gain is its length by the ordinary dictionary less that by a toxic one. How many of a text's
+distinct windows gain how much goes through a logistic calibration.
+
+Most of a toxic text is ordinary. The toxic dictionaries are therefore trained on windows that the ordinary one doesn't
+hold and that recur: in a few toxic texts for the first tier, in several for the last, and far more often there than in
+the ordinary texts. The calibration is cross-fitted: every text of the sample is scored by dictionaries that were
+trained on the other folds, whatever the size of the sample. Its intercept is moved so that THRESHOLD lies where recall
+less FALSE_COST times the false alarms is largest on those scores.
 
 Sampled near-copies count once, since windows of a much copied text would look like windows that many texts share.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,29 +32,37 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import hashed_sample, strings
 
-#: Bounds of the fitting sample: documents of either class, and characters of a document.
+#: Bounds of the fitting sample: documents of either class, and the pieces in characters into which longer ones are cut.
 TOXIC_DOCS, ORDINARY_DOCS, FIT_CHARS = 2000, 5000, 20_000
-#: Capacities of the dictionaries in bytes, and the lengths of the segments and d-mers by which the trainer chooses them.
-ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER = 2 << 20, 1024, 8
-TOXIC_BYTES, RECURRING_BYTES, TOXIC_SEGMENT, TOXIC_DMER = 16 << 10, 256 << 10, 64, 6
-FOLDS = 3
-#: Every so many ordinary texts of the sample show what a window that the ordinary dictionary holds costs.
-USUAL_EVERY = 5
-#: Marks on a window's gain, in bytes.
-MARKS = (3, 5, 7)
-TOP = 5
+#: Bytes of a dictionary that the trainer fills, bytes with what it left out, and the lengths of its segments and d-mers.
+ORDINARY_BYTES, ORDINARY_MOST, ORDINARY_SEGMENT, ORDINARY_DMER = 2 << 20, 4 << 20, 1024, 8
+TOXIC_BYTES, TOXIC_MOST, TOXIC_SEGMENT, TOXIC_DMER = 16 << 10, 64 << 10, 64, 6
+#: Texts that must hold a window of each tier of toxic dictionaries, and how much more often toxic ones must.
+TIERS = (3, 6)
+ODDS = 30
+FOLDS = 4
+#: Bytes that a window costs at most with a dictionary that holds it whole, and marks on its gain.
+HELD = 14
+MARKS = (2, 4, 6)
+TOP = 3
 THRESHOLD = 0.7
 FALSE_COST = 5
 CACHED_WINDOWS = 1 << 18
+#: Characters of a window at most, and from one such window of a run to the next.
+RUN, STEP = 32, 16
 
-_WORD = re.compile(r"[^\W\d_]+")
+_RUNS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 _EDGE = b"\x01\x02\x03"
+_WHOLE = re.compile(re.escape(_EDGE) + rb"([^\x01-\x03]*)" + re.escape(_EDGE[::-1]))
 _SECOND = bytes((i + 128) % 256 for i in range(256))
 
 
 def windows(text: str | None) -> list[str]:
-    """The distinct words of a text in lower case, in their order."""
-    return list(dict.fromkeys(w.lower() for w in _WORD.findall(text or "")))
+    """The distinct windows of a text in lower case, in their order."""
+    out = dict.fromkeys(_RUNS.findall((text or "").lower()))
+    if any(len(w) > RUN for w in out):
+        out = dict.fromkeys(w[k : k + RUN] for w in out for k in range(0, max(1, len(w) - RUN + STEP), STEP))
+    return list(out)
 
 
 def _marked(window: str) -> bytes:
@@ -81,12 +91,11 @@ def _distinct(texts: list[str]) -> list[str]:
 
 
 def _trained(samples: list[str], size: int, segment: int, dmer: int) -> bytes:
-    """The content of a dictionary trained on windows; of too few to train on, the windows themselves."""
-    marked = [_marked(w) for w in samples]
+    """The content of a dictionary trained on windows; of too few to train on, nothing."""
     try:
-        return zstandard.train_dictionary(size, marked, k=segment, d=dmer, f=20, accel=1).as_bytes()
+        return zstandard.train_dictionary(size, [_marked(w) for w in samples], k=segment, d=dmer, f=20, accel=1).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(marked)[:size] or b" "
+        return b""
 
 
 def _lengths(content: bytes) -> Callable[[str], int]:
@@ -103,34 +112,50 @@ def _lengths(content: bytes) -> Callable[[str], int]:
     return lambda window: len(compress(_twice(_marked(window))))
 
 
-def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[bytes, bytes, Callable[[str], int]]:
-    """The contents of the toxic and the ordinary dictionary from the windows of texts of either class, and the lengths by the latter."""
-    ordinary = _trained([w for t in good for w in t], ORDINARY_BYTES, ORDINARY_SEGMENT, ORDINARY_DMER)
-    plain = lru_cache(None)(_lengths(ordinary))
-    usual = int(np.quantile(np.array([plain(w) for t in good[::USUAL_EVERY] for w in t]), 0.9))  # a window that the dictionary holds costs no more
-    odd = [[w for w in t if plain(w) > usual] for t in bad]
-    part = [zlib.crc32(" ".join(t).encode("utf-8", "replace")) % 2 for t in bad]
-    recurring = []
-    for p in (0, 1):
-        others = lru_cache(None)(_lengths(_trained([w for t, q in zip(odd, part) if q != p for w in t], RECURRING_BYTES, TOXIC_SEGMENT, TOXIC_DMER)))
-        recurring += [w for t, q in zip(odd, part) if q == p for w in t if others(w) < plain(w) - 2]
-    return _trained(recurring, TOXIC_BYTES, TOXIC_SEGMENT, TOXIC_DMER), ordinary, plain
+def _content(samples: list[str], size: int, most: int, segment: int, dmer: int) -> bytes:
+    """A trained dictionary before the windows that the trainer cut or left out, the most frequent of which come last."""
+    trained, counts = _trained(samples, size, segment, dmer), Counter(samples)
+    whole = set(_WHOLE.findall(trained))
+    rest, room = [], most - len(trained)
+    for w in sorted(counts, key=lambda w: (-counts[w], w)):
+        marked = _marked(w)
+        if marked[len(_EDGE) : -len(_EDGE)] not in whole:
+            room -= len(marked)
+            if room < 0:
+                break
+            rest.append(marked)
+    return trained + b"".join(reversed(rest)) or b" "
+
+
+def _dictionaries(bad: list[list[str]], good: list[list[str]]) -> tuple[list[bytes], bytes]:
+    """The contents of the toxic dictionaries, one a tier, and of the ordinary one from the windows of texts of either class."""
+    ordinary = _content([w for t in good for w in t], ORDINARY_BYTES, ORDINARY_MOST, ORDINARY_SEGMENT, ORDINARY_DMER)
+    seen, other = Counter(w for t in bad for w in t), Counter(w for t in good for w in t)
+    odd = sorted((w, n) for w, n in seen.items() if n >= TIERS[0] and n * len(good) > ODDS * other[w] * len(bad))
+    return [_content([w for w, n in odd if n >= least for _ in range(n)], TOXIC_BYTES, TOXIC_MOST, TOXIC_SEGMENT, TOXIC_DMER) for least in TIERS], ordinary
 
 
 class Scorer:
     """Scores texts with a fitted model."""
 
-    def __init__(self, model: dict, ordinary: Callable[[str], int] | None = None) -> None:
+    def __init__(self, model: dict) -> None:
         self.model = model
-        toxic, ordinary = _lengths(model["toxic"]), ordinary or _lengths(model["ordinary"])
-        self.gain = lru_cache(CACHED_WINDOWS)(lambda w: ordinary(w) - toxic(w))
+        toxic, ordinary = [_lengths(d) for d in model["toxic"]], _lengths(model["ordinary"])
+
+        def gains(w: str) -> tuple[int, ...]:
+            found = [d(w) for d in toxic]
+            usual = ordinary(w) if min(found) <= HELD else 0
+            return tuple(usual - n if n <= HELD else 0 for n in found)
+
+        self.gains = lru_cache(CACHED_WINDOWS)(gains)
 
     def features(self, words: list[str]) -> list[float]:
-        gains = np.sort(np.array([self.gain(w) for w in words], dtype=float))[::-1]
-        top = np.r_[gains[:TOP], np.full(max(0, TOP - len(gains)), -4.0)]
-        n = np.log1p(len(gains))
-        reach = [np.log1p((gains >= k).sum()) for k in MARKS]
-        return [*top[:3], top[3:].mean(), *reach, *(r - n for r in reach), n]
+        out = [np.log1p(len(words))]
+        for gains in np.array([self.gains(w) for w in words], dtype=float).reshape(len(words), -1).T:
+            top = np.sort(gains)[::-1][:TOP]
+            reach = [np.log1p((gains >= k).sum()) for k in MARKS]
+            out += [*np.clip(top, -2, 12), *[-2.0] * (TOP - len(top)), *reach, *(r - out[0] for r in reach)]
+        return out
 
     def score(self, text: str | None) -> float:
         words = windows(text)
@@ -160,13 +185,13 @@ def _cut(value: np.ndarray, y: np.ndarray) -> float:
 def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     """A model from texts of either class, in a fixed order."""
     texts = [windows(t) for t in _distinct(toxic)], [windows(t) for t in _distinct(ordinary)]
-    empty = {"toxic": b" ", "ordinary": b" ", "weights": None, "mean": 0.0, "scale": 1.0, "key": 0}
+    empty = {"toxic": [b" "] * len(TIERS), "ordinary": b" ", "weights": None, "mean": 0.0, "scale": 1.0, "key": 0}
     if min(map(len, texts)) < FOLDS:
         return empty
     x, y = [], []
     for f in range(FOLDS):
-        content, other, plain = _dictionaries(*[[t for k, t in enumerate(ts) if k % FOLDS != f] for ts in texts])
-        scorer = Scorer(empty | {"toxic": content, "ordinary": other}, plain)
+        content, other = _dictionaries(*[[t for k, t in enumerate(ts) if k % FOLDS != f] for ts in texts])
+        scorer = Scorer(empty | {"toxic": content, "ordinary": other})
         for label, ts in zip((1, 0), texts):
             x += [scorer.features(t) for t in ts[f::FOLDS]]
             y += [label] * len(ts[f::FOLDS])
@@ -174,7 +199,7 @@ def fit_texts(toxic: list[str], ordinary: list[str]) -> dict:
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     weights = _logistic((x - mean) / scale, y)
     weights[-1] += np.log(THRESHOLD / (1 - THRESHOLD)) + 1e-9 - _cut(np.c_[(x - mean) / scale, np.ones(len(x))] @ weights, y)
-    return empty | dict(zip(("toxic", "ordinary"), _dictionaries(*texts)[:2])) | {"mean": mean, "scale": scale, "weights": weights, "key": zlib.crc32(repr((weights, mean, scale)).encode()) or 1}
+    return empty | dict(zip(("toxic", "ordinary"), _dictionaries(*texts))) | {"mean": mean, "scale": scale, "weights": weights, "key": zlib.crc32(repr((weights, mean, scale)).encode()) or 1}
 
 
 def held_out(doc_id: Column) -> Column:
@@ -186,12 +211,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """A model from labelled rows outside the held-out third; a doc_id with several labels is toxic if any is."""
     spark = docs.sparkSession
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, FIT_CHARS))
+    # a text longer than a piece is cut, and its pieces come after the first of all others
+    size = F.length("text")
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / FIT_CHARS).cast("int")), lambda k: F.struct(k.alias("k"), F.substring("text", k * FIT_CHARS + 1, F.lit(FIT_CHARS)).alias("piece")))
+    pieces = docs.select("doc_id", "text").where(size > 0).select("doc_id", F.inline(cuts))
     sample = []
     for kind, most in ((1, TOXIC_DOCS), (0, ORDINARY_DOCS)):
         ids = [r[0] for r in hashed_sample(marks.where(F.col("toxic") == kind), most, "doc_id").select("doc_id").collect()]
         picked = spark.createDataFrame([(i,) for i in ids], marks.select("doc_id").schema)  # at most TOXIC_DOCS or ORDINARY_DOCS ids
-        rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(most).select("text").collect()
+        rows = pieces.join(F.broadcast(picked), "doc_id").orderBy("k", F.xxhash64("doc_id"), "doc_id", "piece").limit(most).select("piece").collect()
         sample.append([r[0] for r in rows])
     return fit_texts(*sample)
 

@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and their contracts, on small tables with odd rows."""
 
+import datetime
 import hashlib
 import re
 import time
@@ -321,6 +322,89 @@ def test_values_beside_numbers(spark):
     assert [n for _, n in rows[3 * len(BESIDE) :]] == [2, 1, 1, 2] and rows[-3][0].startswith("2024 ")
 
 
+DATES = [
+    ("01/25/1984", "%m/%d/%Y"), ("25/01/1984", "%d/%m/%Y"), ("05/06/1984", "%d/%m/%Y"), ("2024.01.15", "%Y.%m.%d"), ("15.01.2024", "%d.%m.%Y"), ("25 January 1984", "%d %B %Y"), ("5 Jan 2020", "%d %b %Y"),
+    ("January 25, 1984", "%B %d, %Y"), ("Feb 3, 1999", "%b %d, %Y"), ("12/31/1999", "%m/%d/%Y"),
+]
+
+
+def test_dates_and_addresses(spark):
+    """Dates of all forms stay dates of their form, one of the month's first form stays such a one; addresses keep their groups."""
+    texts = [f"born {v} here" for v, _ in DATES] + ["x fe80::1ff:fe23:4567:890a.", "2001:0DB8:85A3:0000:0000:8A2E:0370:7334"]
+    leave = ["31/13/1984", "99 January 1984", "std::vector a::b", "at 10:30:00", "13.13.2024", "2024.13.01"]
+    rows = pseudonyms.pseudonymise(docs(spark, texts + leave), "k").orderBy("doc_id").collect()
+    for (value, form), row in zip(DATES, rows):
+        new = row.text.removeprefix("born ").removesuffix(" here")
+        day = datetime.datetime.strptime(new, form)
+        assert row.found == ["date"] and new != value and (form != "%m/%d/%Y" or day.day > 12)
+    same = [r.text.removeprefix("born ").removesuffix(" here") for r in rows]
+    assert datetime.datetime.strptime(same[1], "%d/%m/%Y") == datetime.datetime.strptime(same[5], "%d %B %Y") == datetime.datetime.strptime(same[7], "%B %d, %Y")
+    for text, row in zip(texts[len(DATES) :], rows[len(DATES) :]):
+        assert row.found == ["ip"] and row.text != text and re.sub("[0-9a-f]", "0", row.text.lower()) == re.sub("[0-9a-f]", "0", text.lower())
+    assert [r.text for r in rows[len(texts) :]] == leave
+    us = spark.sql("select sequence(date '2020-01-01', date '2023-12-31') d").select(F.explode("d").alias("d")).where("day(d) > 12").select(F.date_format("d", "MM/dd/yyyy").alias("s"))
+    moved = us.select("s", pseudonyms.pseudonym(F.col("s"), F.lit("date"), F.lit("k")).alias("p")).collect()
+    assert len({r.p for r in moved}) == len(moved) and all(int(r.p[3:5]) > 12 for r in moved)
+
+
+def plain_shift(half, mac, alphabets):
+    out = ""
+    for i, c in enumerate(half):
+        for letters in alphabets:
+            if c in letters:
+                c = letters[(letters.index(c) + int(mac[i % 56 : i % 56 + 8], 16)) % len(letters)]
+                break
+        out += c
+    return out
+
+
+def plain_permuted(s, key, alphabets=("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+    mac = lambda *parts: hashlib.sha256("|".join(map(str, (key, *parts))).encode()).hexdigest()
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+    for r in range(pseudonyms.ROUNDS):
+        left, right = (plain_shift(left, mac(r, right), alphabets), right) if r % 2 == 0 else (left, plain_shift(right, mac(r, left), alphabets))
+    return left + right
+
+
+def test_query_against_plain_rounds(spark, documents):
+    """Cards, secrets, e-mail addresses and plain phone numbers of all documents, found and permuted by plain loops."""
+    def luhn(d):
+        d = [int(c) for c in d][::-1]
+        return (sum(d[::2]) + sum(x * 2 - 9 * (x > 4) for x in d[1::2])) % 10
+
+    def card(m):
+        body = plain_permuted(m[0][:-1], "k|card")
+        return m[0] if luhn(m[0]) else body + str(-luhn(body + "0") % 10)
+
+    rules = [
+        (r"(?<![\w.+-])\d{16}(?![\w-]|\.\d)", card),
+        (r"\bAKIA[0-9A-Z]{16}\b", lambda m: "AKIA" + plain_permuted(m[0][4:], "k|secret")),
+        (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", lambda m: plain_permuted(m[0].split("@")[0], "k|email") + "@" + m[0].split("@")[1]),
+    ]
+    rows = {r.doc_id: r for r in pseudonyms.pseudonymise(documents.select("doc_id", "text"), "k").collect()}
+    n = 0
+    for r in documents.collect():
+        for pattern, swap in rules:
+            for m in re.finditer(pattern, r.text or ""):
+                n += swap(m) != m[0]
+                assert swap(m) in rows[r.doc_id].text, (r.doc_id, m[0])
+    assert n > 5
+
+
+def test_many_values_and_hidden_key(spark):
+    """Thousands of values in one text take seconds; no plan holds the key."""
+    cards = []
+    for k in range(4000):
+        body = str(4 * 10**14 + k * 7919)
+        cards.append(body + str(next(c for c in range(10) if sum(sum(divmod(int(d) * (1 + (i % 2)), 10)) for i, d in enumerate((body + str(c))[::-1])) % 10 == 0)))
+    df = docs(spark, [" ".join(cards), "one"])
+    pseudonyms.pseudonymise(df.limit(1), "warm").count()
+    began = time.time()
+    row = pseudonyms.pseudonymise(df, "hidden-key-77").orderBy("doc_id").first()
+    assert time.time() - began < 20 and len(row.found) == 4000 and len(set(row.text.split())) == 4000 and not set(row.text.split()) & set(cards)
+    assert "hidden-key-77" not in pseudonyms.pseudonymise(df, "hidden-key-77")._jdf.queryExecution().toString()
+
+
 def test_feistel_is_a_permutation(spark):
     got = spark.range(12 * 35).select(pseudonyms.permute_number(F.col("id"), (12, 35), F.lit("k")).alias("p")).collect()
     assert sorted(r.p for r in got) == list(range(12 * 35))
@@ -636,6 +720,15 @@ def test_empty_tables(spark, documents, tmp_path):
         assert got.count() == 0, name
 
 
+def test_bytes_that_are_not_utf8(spark):
+    """Every operator on texts takes any bytes."""
+    df = spark.sql("select 1L doc_id, cast(x'ff41fe20c3' as string) text, 's' source, 'en' lang, 3L n_chars union all select 2L, 'plain', 's', 'en', 5L")
+    media = {r.doc_id: r for r in webp.media_columns(df).collect()}
+    assert media[1].n_bytes == 5 and media[1].payload_sha256 == hashlib.sha256(webp.pad(bytes.fromhex("ff41fe20c3"))).hexdigest()
+    assert {r.doc_id: r.n_bytes for r in tokens.token_counts(df).collect()} == {1: 5, 2: 5}
+    assert simhash.near_duplicates(df).count() == toxicity.toxicity(df, toxicity.fit_texts([], [])).count() == pseudonyms.pseudonymise(df, "k").count() == 2
+
+
 def test_clashing_columns_and_null_ids(spark):
     rows = [(None, "plain words here", "x"), (None, None, None), (2, "plain words here", "y")]
     df = spark.createDataFrame(rows, "doc_id long, text string, score string").withColumn("fingerprint", F.lit("old")).withColumn("media", F.lit("old"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 
-KEY_SETTING = "spark.tidemark.pseudonym.key"
+#: Spark hides settings with "secret" in their name from its pages and logs.
+KEY_SETTING = "spark.tidemark.pseudonym.secret"
 ROUNDS = 10
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -23,7 +24,11 @@ SECRET = r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|pwd|token|secret|api_?key)(?
 # around values of digits
 _FREE, _END = r"(?<![\w.+-])", r"(?![\w-]|\.\d)"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
-DATE = r"(?:\d{4}(?:-\d\d-|/\d\d/)\d\d|\d\d(?:/\d\d/|\.\d\d\.|-\d\d-)\d{4})"
+# colons beside one would make it part of a longer one
+IP6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){1,6}[0-9A-Fa-f]{1,4})(?![\w:])"
+_MONTHS = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
+NAMED = rf"(?:\d{{1,2}} {_MONTHS} \d{{4}}|{_MONTHS} \d{{1,2}}, \d{{4}})"
+DATE = rf"(?:\d{{4}}(?:-\d\d-|/\d\d/|\.\d\d\.)\d\d|\d\d(?:/\d\d/|\.\d\d\.|-\d\d-)\d{{4}}|{NAMED})"
 SSN = r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"
 #: Country codes by the digits that follow, where all numbers of a country have as many.
 _NATIONAL = {8: "45|47|65", 9: "3[134]|351|380|4[18]|61|971", 10: "[17]|44|52|9[01]", 11: "86"}
@@ -37,7 +42,7 @@ PHONES = [
     rf"(?:\+\d{{1,3}}[ .-]?|\(\d{{2,4}}\)[ .-]?){_GROUPS}{{1,2}}",
     rf"\+\d{{1,3}}[ .-]?\(\d{{2,4}}\)[ .-]?{_GROUPS}",
 ]
-DATED = f"{_FREE}{IP}{_END}|{_FREE}{DATE}(?:{_END}|(?=T\\d\\d))|{_FREE}{SSN}{_END}"
+DATED = f"{IP6}|{_FREE}{IP}{_END}|{_FREE}{DATE}(?:{_END}|(?=T\\d\\d))|{_FREE}{SSN}{_END}"
 PHONE = f"{_FREE}(?:{'|'.join(PHONES)}){_END}"
 #: Values with check digits are candidates at every place where one may begin, and count once their check holds.
 #: Cards as they are printed; then any other grouping of their digits.
@@ -61,13 +66,13 @@ LONG = rf"{_FREE}\d(?:[ -]{{0,2}}\d){{12}}"
 FOUND = f"{EMAIL}|{SECRET}|{ACCOUNT}|{DATED}|{PHONE}|{LONG}"
 
 KINDS = ("email", "phone", "card", "ip", "date", "ssn", "iban", "secret")
-_DATES = {
-    r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
-    r"^\d{4}/\d{2}/\d{2}$": "yyyy/MM/dd",
-    r"^\d{2}/\d{2}/\d{4}$": "dd/MM/yyyy",
-    r"^\d{2}\.\d{2}\.\d{4}$": "dd.MM.yyyy",
-    r"^\d{2}-\d{2}-\d{4}$": "dd-MM-yyyy",
-}
+#: Forms of dates in the order of trial. A date with slashes is the day's first, and the month's first where that is none.
+_DATES = (
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"), (r"^\d{4}\.\d{2}\.\d{2}$", "yyyy.MM.dd"), (r"^\d{2}\.\d{2}\.\d{4}$", "dd.MM.yyyy"), (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
+    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d", "d MMMM yyyy"), (r"^\d", "d MMM yyyy"), (r"^[A-Z]", "MMMM d, yyyy"), (r"^[A-Z]", "MMM d, yyyy"),
+)
+US = "MM/dd/yyyy"
 #: A cycle of the calendar, 400 years from this day, has 27 x 5411 days.
 _DAY_ZERO, _DAYS = "1800-01-01", (27, 5411)
 
@@ -114,14 +119,19 @@ def _shift(half: Column, mac: Column, hexadecimal: bool) -> Column:
     return F.array_join(F.transform(F.split(half, ""), move), "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; a lambda would work out what it names again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def permute_text(s: Column, key: Column, hexadecimal: bool = False) -> Column:
     """A permutation of the strings of a format: rounds that move the characters of one half by a hash of the other."""
     cut = F.floor(F.length(s) / 2).cast("int")
 
     def turn(x: Column, r: Column) -> Column:
         even = r % 2 == 0
-        left = _shift(x["left"], _mac(key, r, x["right"]), hexadecimal)
-        right = _shift(x["right"], _mac(key, r, x["left"]), hexadecimal)
+        left = _bound(_mac(key, r, x["right"]), lambda m: _shift(x["left"], m, hexadecimal))
+        right = _bound(_mac(key, r, x["left"]), lambda m: _shift(x["right"], m, hexadecimal))
         return F.struct(F.when(even, left).otherwise(x["left"]).alias("left"), F.when(even, x["right"]).otherwise(right).alias("right"))
 
     begin = F.struct(F.substr(s, F.lit(1), cut).alias("left"), F.substr(s, cut + 1, F.length(s)).alias("right"))
@@ -147,13 +157,13 @@ def _mod97(s: Column) -> Column:
 
 def _refill(template: Column, fresh: Column, places: str) -> Column:
     """``template`` with its characters that match ``places`` replaced, in order, by those of ``fresh``."""
-    begin = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    begin = lambda f: F.struct(F.lit("").alias("out"), F.lit(1).alias("at"), f.alias("fresh"))
 
     def step(x: Column, c: Column) -> Column:
         here = c.rlike(places)
-        return F.struct(F.concat(x["out"], F.when(here, F.substr(fresh, x["at"], F.lit(1))).otherwise(c)).alias("out"), (x["at"] + F.when(here, 1).otherwise(0)).alias("at"))
+        return F.struct(F.concat(x["out"], F.when(here, F.substr(x["fresh"], x["at"], F.lit(1))).otherwise(c)).alias("out"), (x["at"] + F.when(here, 1).otherwise(0)).alias("at"), x["fresh"].alias("fresh"))
 
-    return F.aggregate(F.split(template, ""), begin, step, lambda x: x["out"])
+    return F.aggregate(F.split(template, ""), begin(fresh), step, lambda x: x["out"])
 
 
 def kind_of(s: Column) -> Column:
@@ -161,22 +171,47 @@ def kind_of(s: Column) -> Column:
     digits = _digits(s)
     octets = F.split(s, r"\.")
     compact = F.replace(s, F.lit(" "), F.lit(""))
-    date = F.lit(False)
-    for pattern, form in _DATES.items():
-        day = _day(s, form)
-        date = date | (s.rlike(pattern) & day.between(0, _DAYS[0] * _DAYS[1] - 1))
     return (
         F.when(s.contains("@"), "email")
+        .when(s.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$"), F.when(_full_ip6(s), "ip"))
         .when(s.rlike(r"^AKIA|[=:]"), "secret")
         .when(s.rlike(r"^[A-Z]{2}\d{2}"), F.when((F.length(compact).between(15, 34)) & (_mod97(F.concat(F.substr(compact, F.lit(5), F.lit(40)), F.substr(compact, F.lit(1), F.lit(4)))) == 1), "iban"))
         .when(s.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.forall(octets, lambda o: o.cast("int") <= 255), "ip"))
-        .when(F.coalesce(date, F.lit(False)), "date")
+        .when(date_form(s).isNotNull(), "date")
         .when(s.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"), "ssn")
         .when(s.rlike(r"^\d[\d -]*$") & F.length(digits).between(13, 19) & (_luhn(digits) == 0), "card")
         .when(s.rlike(r"^(\+\d{1,3}[ .-]?)?(\(\d{2,4}\)[ .-]?)?\d{2,4}([ .-]?\d{2,4}){1,4}$") & s.rlike(r"^[+(]|^\d{3}[ .-]\d{3}[ .-]\d{4}$") & F.length(digits).between(8, 15), "phone")
     )
 
 
+def _full_ip6(s: Column) -> Column:
+    """Eight groups, or fewer with one gap, a digit among them."""
+    groups = F.size(F.array_remove(F.split(s, ":"), ""))
+    return F.when(s.contains("::"), groups < 8).otherwise(groups == 8) & s.rlike(r"\d")
+
+
+def date_form(s: Column) -> Column:
+    """The number of the first form of which ``s`` is a date within the cycle of the calendar, null if none."""
+    tries = [F.when(s.rlike(pattern) & _day(s, form).between(0, _DAYS[0] * _DAYS[1] - 1), k) for k, (pattern, form) in enumerate(_DATES)]
+    return F.when(s.rlike(r"^[\dA-Z][\dA-Za-z]*[-/. ]"), F.coalesce(*tries))
+
+
+def _moved_date(s: Column, key: Column) -> Column:
+    """A date permuted within its form. A date of the month's first form goes on until its day is no month, as its own is."""
+    out = F.lit(None).cast("string")
+    turn = lambda n: permute_number(n, _DAYS, key)
+    day = lambda n: F.date_add(F.lit(_DAY_ZERO).cast("date"), n.cast("int"))
+    number = date_form(s)
+    for k, (_, form) in enumerate(_DATES):
+        start = _day(s, form).cast("long")
+        if form == US:  # a step in 0.61 ends it
+            moved = F.aggregate(F.sequence(F.lit(0), F.lit(99)), F.struct(start.alias("n"), F.lit(False).alias("done")), lambda x, _: F.when(x["done"], x).otherwise(_bound(turn(x["n"]), lambda n: F.struct(n.alias("n"), (F.dayofmonth(day(n)) > 12).alias("done")))), lambda x: x["n"])
+        else:
+            moved = turn(start)
+        out = F.when(number == k, F.date_format(day(moved), form)).otherwise(out)
+    return out
+
+
 def _day(s: Column, form: str) -> Column:
     return F.datediff(F.try_to_timestamp(s, F.lit(form)).cast("date"), F.lit(_DAY_ZERO).cast("date"))
 
@@ -190,10 +225,9 @@ def pseudonym(s: Column, kind: Column, key: Column) -> Column:
     value = F.aggregate(octets, F.lit(0).cast("long"), lambda a, o: a * 256 + o.cast("long"))
     ip = permute_number(value, (65536, 65536), tag("ip"))
     dotted = F.concat_ws(".", *[F.pmod(F.shiftright(ip, k), F.lit(256)).cast("string") for k in (24, 16, 8, 0)])
-    date = F.lit(None).cast("string")
-    for pattern, form in _DATES.items():
-        moved = F.date_add(F.lit(_DAY_ZERO).cast("date"), permute_number(_day(s, form).cast("long"), _DAYS, tag("date")).cast("int"))
-        date = F.when(s.rlike(pattern), F.date_format(moved, form)).otherwise(date)
+    six = F.regexp_replace(F.lower(s), ":", "")
+    hexed = _bound(permute_text(six, tag("ip6"), True), lambda f: _refill(s, F.when(s.rlike("[A-F]"), F.upper(f)).otherwise(f), "[^:]"))
+    date = _moved_date(s, tag("date"))
     area = F.substr(digits, F.lit(1), F.lit(3)).try_cast("long")
     rest = F.substr(digits, F.lit(4), F.lit(2)).try_cast("long") * 9999 + F.substr(digits, F.lit(6), F.lit(4)).try_cast("long") - 10000
     ssn = permute_number((area - 1 - F.when(area > 666, 1).otherwise(0)) * 989901 + rest, (898, 989901), tag("ssn"))
@@ -211,7 +245,7 @@ def pseudonym(s: Column, kind: Column, key: Column) -> Column:
     lead = F.regexp_extract(s, r"^(AKIA|[A-Za-z_]+\s?[=:]\s?\"?)", 1)
     tail = F.substr(s, F.length(lead) + 1, F.length(s))
     secret = F.concat(lead, F.when(tail.rlike(r"^[0-9a-f]+\"?$"), permute_text(tail, tag("hex"), True)).otherwise(permute_text(tail, tag("secret"))))
-    found = {"email": email, "ip": dotted, "date": date, "ssn": ssn, "card": card, "phone": phone, "iban": iban, "secret": secret}
+    found = {"email": email, "ip": F.when(s.contains(":"), hexed).otherwise(dotted), "date": date, "ssn": ssn, "card": card, "phone": phone, "iban": iban, "secret": secret}
     out = s
     for name, value in found.items():
         out = F.when(kind == name, value).otherwise(out)
@@ -252,17 +286,25 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", out: str = "foun
 
     Values that fail their check stay as they are, as do texts without any; a null text stays null with no kinds. Whole
     texts are read. A column named as ``out`` is replaced; repeated rows stay, changed alike; an empty table gives no rows.
+    The key is a row that is joined to every document, so that no plan or log holds it.
     """
     body = F.col(text)
     none = F.array().cast("array<string>")
-    marked = docs.drop(out).withColumn("_tidemark_pattern", F.when(body.rlike(FOUND), _pattern(body)))
+    held = docs.sparkSession.createDataFrame([(key,)], "_tidemark_key string")
+    marked = docs.drop(out).crossJoin(F.broadcast(held))  # one row
+    marked = marked.withColumn("_tidemark_pattern", F.when(body.rlike(FOUND), _pattern(body)))
     pattern = F.col("_tidemark_pattern")
     marked = marked.withColumn("_tidemark_values", F.coalesce(F.when(pattern.isNotNull(), F.regexp_extract_all(body, pattern, F.lit(0))), none))
-    marked = marked.withColumn(out, F.transform("_tidemark_values", kind_of))
-    fresh = F.zip_with("_tidemark_values", F.col(out), lambda v, k: F.when(k.isNull(), v).otherwise(swap(v, k, F.lit(key))))
+    # each distinct value of a text is judged and permuted once
+    marked = marked.withColumn("_tidemark_once", F.transform(F.array_distinct("_tidemark_values"), lambda v: F.struct(v.alias("v"), kind_of(v).alias("k"))))
+    marked = marked.withColumn("_tidemark_new", F.transform("_tidemark_once", lambda x: F.when(x["k"].isNull(), x["v"]).otherwise(swap(x["v"], x["k"], F.col("_tidemark_key")))))
+    marked = marked.withColumn("_tidemark_at", F.transform("_tidemark_values", lambda v: F.array_position(F.col("_tidemark_once.v"), v).cast("int") - 1))
+    marked = marked.withColumn(out, F.transform("_tidemark_at", lambda i: F.get(F.col("_tidemark_once.k"), i)))
+    fresh = F.transform("_tidemark_at", lambda i: F.get(F.col("_tidemark_new"), i))
     joined = F.array_join(F.zip_with(F.split(body, pattern, -1), fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     changed = F.when(F.exists(F.col(out), lambda k: k.isNotNull()), joined).otherwise(body)
-    return marked.withColumn(text, changed).withColumn(out, F.filter(out, lambda k: k.isNotNull())).drop("_tidemark_values", "_tidemark_pattern")
+    columns = [c for c in docs.columns if c != out]
+    return marked.withColumn(text, changed).withColumn(out, F.filter(out, lambda k: k.isNotNull())).select(*columns, out)
 
 
 def replace_private(docs: DataFrame) -> DataFrame:

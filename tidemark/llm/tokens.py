@@ -79,8 +79,8 @@ def _counted(automaton, text: str, out: str):
         for batch in batches:
             at = batch.schema.get_field_index(text)
             sizes, totals = [], []
-            for x in batch.column(at):
-                data = (x.as_py() or "").encode()
+            for x in batch.column(at).cast(pa.large_binary()):
+                data = x.as_py() or b""
                 total = 0
                 for m in CHUNK.finditer(data):
                     chunk = m[0]

@@ -17,6 +17,7 @@ Sampled near-copies count once, since windows of a much copied text would look l
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -142,19 +143,25 @@ class Scorer:
         self.model = model
         toxic, ordinary = [_lengths(d) for d in model["toxic"]], _lengths(model["ordinary"])
 
+        none = (0,) * len(toxic)
+
         def gains(w: str) -> tuple[int, ...]:
-            found = [d(w) for d in toxic]
-            usual = ordinary(w) if min(found) <= HELD else 0
-            return tuple(usual - n if n <= HELD else 0 for n in found)
+            first = toxic[0](w)
+            if first > HELD:  # the windows of later tiers are in the first
+                return none
+            usual = ordinary(w)
+            return tuple(usual - n if n <= HELD else 0 for n in (first, *(d(w) for d in toxic[1:])))
 
         self.gains = lru_cache(CACHED_WINDOWS)(gains)
 
     def features(self, words: list[str]) -> list[float]:
-        out = [np.log1p(len(words))]
-        for gains in np.array([self.gains(w) for w in words], dtype=float).reshape(len(words), -1).T:
-            top = np.sort(gains)[::-1][:TOP]
-            reach = [np.log1p((gains >= k).sum()) for k in MARKS]
-            out += [*np.clip(top, -2, 12), *[-2.0] * (TOP - len(top)), *reach, *(r - out[0] for r in reach)]
+        n = math.log1p(len(words))
+        held = [g for g in map(self.gains, words) if g[0]]
+        out = [n]
+        for tier in range(len(TIERS)):
+            gains = sorted((g[tier] for g in held if g[tier]), reverse=True)
+            reach = [math.log1p(sum(x >= k for x in gains)) for k in MARKS]
+            out += [*(min(max(x, -2), 12) for x in gains[:TOP]), *[0.0] * (TOP - len(gains)), *reach, *(r - n for r in reach)]
         return out
 
     def score(self, text: str | None) -> float:

@@ -213,3 +213,54 @@ def test_honest_sharpe(spark):
         need = next((round(v, 2) for v in np.linspace(0.5, 5, 1000) if chance(v, n, skew, kurt, 5000) > 0.95), None)
         assert got[k].passed == (want > 0.95) and got[k].needed == (None if want > 0.95 else pytest.approx(need, abs=0.011))
     assert got["strong"].passed and not got["weak"].passed
+
+
+# selection
+
+
+def test_strengths_and_choice(spark):
+    """Spearman against plain ranks, mutual information against plain counts; odd rows count where both values are there."""
+    from tidemark.operators import selection
+
+    rng = np.random.default_rng(9)
+    y = rng.integers(0, 2, 200)
+    a = y + rng.integers(0, 3, 200).astype(float)
+    b = rng.integers(0, 4, 200).astype(float)
+    rows = [(float(a[k]), None if k < 40 else float(b[k]), 1.0, float(k) if k < 20 else None, int(y[k])) for k in range(200)] + [(float("nan"), float("inf"), 1.0, 1.0, 1), (1.0, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "a double, b double, flat double, few double, y int")
+    got = {r.feature: r for r in selection.rank_correlation(df, ["a", "b", "flat", "few"], "y").collect()}
+
+    def plain(x, z):
+        rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+        return abs(np.corrcoef(rank(x), rank(z))[0, 1])
+
+    assert got["a"].strength == pytest.approx(plain(a, y)) and got["b"].strength == pytest.approx(plain(b[40:], y[40:])) and got["b"].n == 160
+    assert got["flat"].strength is None and got["few"].strength is None
+    information = {r.feature: r.strength for r in selection.shared_information(df.limit(200), ["a"], "y", 4).collect()}
+    edges = np.quantile(a, [0.25, 0.5, 0.75])
+    bins = np.array([(edges <= v).sum() for v in a])
+    want = sum(p * math.log2(p / ((bins == i).mean() * (y == j).mean())) for i in set(bins) for j in (0, 1) if (p := ((bins == i) & (y == j)).mean()) > 0)
+    assert information["a"] == pytest.approx(want)
+    clusters = spark.createDataFrame([("a", "1"), ("b", "1"), ("flat", "2"), ("few", "3")], "feature string, cluster string")
+    chosen = lambda *always: [r.feature for r in selection.best_per_cluster(selection.rank_correlation(df, ["a", "b", "flat", "few"], "y"), clusters, always).orderBy("place").collect()]
+    assert sorted(chosen()) == ["a", "b", "few", "flat"]  # one alone would be too few
+    assert chosen("few") == ["few", "a"] and chosen("a") == ["a", "b"]
+
+
+def test_weights_summary(spark):
+    from tidemark.operators import windows
+
+    row = spark.range(1).select(windows.weights_summary(F.lit(0.4), 1e-4).alias("s"), windows.window_weights(F.lit(0.4), 5).alias("w"), windows.window_weights(F.lit(0.4), 1).alias("one")).first()
+    want = windows.fracdiff_weights(0.4, 1e-4)
+    assert row.s.n == len(want) and row.s.total == pytest.approx(np.abs(want).sum()) and row.s.lowest == pytest.approx(abs(want[-1])) and row.s.highest == 1
+    assert row.w == pytest.approx(want[:5]) and row.one == [1.0]
+
+
+def test_payload_problems(spark):
+    from tidemark.streaming import bridge
+
+    day = datetime.date(2024, 1, 1)
+    heads = [("ok", 1, None), ("empty", 1, day), ("twice", 1, day), ("negative", 1, day), ("null", 1, day), ("gross", 1, day), ("old", 1, day - datetime.timedelta(1)), ("zero", 0, day), ("none", None, day)]
+    lines = [("ok", "A", 0.5), ("ok", "B", 0.5), ("twice", "A", 0.1), ("twice", "A", 0.1), ("negative", "A", -0.1), ("null", "A", None), ("gross", "A", 0.7), ("gross", "B", 0.4), ("old", "A", 0.1), ("zero", "A", 0.1), ("none", "A", 0.1), ("other", "A", 0.1)]
+    got = bridge.payload_problems(spark.createDataFrame(heads, "k string, revision int, valid_until date"), spark.createDataFrame(lines, "k string, instrument string, weight double"), "k", F.lit(day))
+    assert {r.k: r.problem for r in got.collect()} == {"ok": None, "empty": "empty", "twice": "duplicate_instrument", "negative": "negative_weight", "null": "negative_weight", "gross": "gross", "old": "expired", "zero": "revision", "none": "revision"}

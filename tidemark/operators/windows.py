@@ -41,6 +41,25 @@ def fracdiff_weights(d: float, tau: float = 1e-5, most: int = 10_000) -> list[fl
     return out
 
 
+def window_weights(d: Column, n: int) -> Column:
+    """The first ``n`` weights of fractional differencing of order ``d``, the latest first."""
+    step = lambda done, k: F.array_append(done, -F.element_at(done, -1) * (d - k + 1) / k)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(n - 1)), F.array(F.lit(1.0)), step) if n > 1 else F.array(F.lit(1.0))
+
+
+def weights_summary(d: Column, tau: float, most: int = 10_000) -> Column:
+    """(n, total, highest, lowest) of the sizes of the weights of order ``d`` until one is below ``tau``; none is held."""
+    begin = F.struct(F.lit(1.0).alias("w"), F.lit(False).alias("done"), F.lit(1).alias("n"), F.lit(1.0).alias("total"), F.lit(1.0).alias("highest"), F.lit(1.0).alias("lowest"))
+
+    def step(x: Column, k: Column) -> Column:
+        w = -x["w"] * (d - k + 1) / k
+        size = F.abs(w)
+        more = F.struct(w.alias("w"), F.lit(False).alias("done"), (x["n"] + 1).alias("n"), (x["total"] + size).alias("total"), F.greatest(x["highest"], size).alias("highest"), F.least(x["lowest"], size).alias("lowest"))
+        return F.when(x["done"], x).when(size < tau, x.withField("done", F.lit(True))).otherwise(more)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(most - 1)), begin, step)
+
+
 def ewm(df: DataFrame, key: str, order: str, x: str, span: int, least: int, out: str, std: bool = False) -> DataFrame:
     """Adds the exponentially weighted mean of ``x`` (or its unbiased standard deviation), with adjusted weights.
 

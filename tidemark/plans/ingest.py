@@ -7,6 +7,7 @@ from tidemark.operators import labels
 from tidemark.plans.register import registry
 from tidemark.sources.folders import scratch
 from tidemark.sources.views import TRADES, keep_last, table, trades, upsert
+from tidemark.streaming import bridge
 
 query, QUERIES, ORACLES = registry()
 R = lambda c, name, n=6: F.round(c, n).alias(name)
@@ -38,12 +39,15 @@ def normalize_market_row(spark, sf):
     return table(spark, sf, "customer").select(k.alias("k"), F.coalesce(given, F.when(bal > 0, F.round(bal / 7, 6))).alias("circulating"), F.coalesce(total, most).alias("total"))
 
 
-NUMBERS = ["1.5", "-", "", "nan", "inf", "1e3", " 7 ", "abc", None]
+#: Ways in which a balance is written: as it is, padded, as text that is no number, or not at all.
+NUMBERS = ("%v", " %v ", "%ve0", "-", "", "nan", "inf", "%v USD", None)
 
 
-@query("""select * from (values ('1.5', 1.5::double), ('-', null), ('', null), ('nan', null), ('inf', null), ('1e3', 1000.0), (' 7 ', 7.0), ('abc', null), (null, null)) v(raw, x)""")
+@query(f"""select s_suppkey k, case when s_suppkey % {len(NUMBERS)} < 3 then s_acctbal end x from supplier""")
 def safe_float(spark, sf):
-    return spark.createDataFrame([(x,) for x in NUMBERS], "raw string").select("raw", text.safe_float(F.col("raw")).alias("x"))
+    form = F.element_at(F.array(*[F.lit(x) for x in NUMBERS]), (F.col("s_suppkey") % len(NUMBERS) + 1).cast("int"))
+    raw = F.replace(form, F.lit("%v"), F.col("s_acctbal").cast("decimal(18,2)").cast("string"))
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), text.safe_float(raw).alias("x"))
 
 
 @query("""select p_partkey k, rtrim(rtrim(cast(cast(p_retailprice as decimal(18, 6)) as varchar), '0'), '.') plain from part""")
@@ -169,10 +173,14 @@ def feature_store_merge(spark, sf):
     return spark.read.parquet(f"{folder}/merged").select("k", "tag", "v")
 
 
-@query("""select o_orderstatus portfolio, o_orderkey k, case when o_custkey % 4 = 0 then 'gross' when o_custkey % 7 = 0 then 'expired' when o_custkey % 11 = 0 then 'revision' end problem from orders where o_custkey % 4 = 0 or o_custkey % 7 = 0 or o_custkey % 11 = 0""")
+SIGNAL = """with t as (select o_orderstatus portfolio, o_orderkey k, o_custkey % 6 revision, cast(o_orderdate as date) "day", l_partkey instrument, case when l_linenumber = 7 then -1 else 1 end * l_quantity / 150.0::double w from orders left join lineitem on l_orderkey = o_orderkey),
+  g as (select portfolio, k, any_value(revision) revision, any_value("day") "day", count(instrument) n, count(distinct instrument) d, min(w) least, sum(abs(w)) gross from t group by 1, 2)"""
+
+
+@query(SIGNAL + """ select portfolio, k, problem from (select *, case when n = 0 then 'empty' when d < n then 'duplicate_instrument' when least < 0 then 'negative_weight' when gross > 1.0::double + 1e-6 then 'gross' when "day" < date '1996-01-01' then 'expired' when revision <= 0 then 'revision' end problem from g) where problem is not null""")
 def payload_validation(spark, sf):
-    """The first broken rule of a signal: gross weight, expiry, positive revision."""
-    c = F.col("o_custkey")
-    rows = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("portfolio"), F.col("o_orderkey").alias("k"), F.when(c % 4 == 0, 1.2).otherwise(0.9).alias("gross"), F.when(c % 7 == 0, -1).otherwise(1).alias("left"), F.when(c % 11 == 0, 0).otherwise(5).alias("revision"))
-    rules = F.filter(F.array(F.when(F.col("gross") > 1 + 1e-6, "gross"), F.when(F.col("left") < 0, "expired"), F.when(F.col("revision") <= 0, "revision")), lambda x: x.isNotNull())
-    return rows.select("portfolio", "k", F.try_element_at(rules, F.lit(1)).alias("problem")).where("problem is not null")
+    """The first broken rule of each order's lines taken as the targets of a signal."""
+    c = F.col
+    heads = table(spark, sf, "orders").select(c("o_orderstatus").alias("portfolio"), c("o_orderkey").alias("k"), (c("o_custkey") % 6).alias("revision"), F.to_date("o_orderdate").alias("valid_until"))
+    lines = table(spark, sf, "lineitem").select(c("l_orderkey").alias("k"), c("l_partkey").alias("instrument"), (F.when(c("l_linenumber") == 7, -1).otherwise(1) * c("l_quantity") / 150.0).alias("weight"))
+    return bridge.payload_problems(heads, lines, "k", F.lit("1996-01-01").cast("date")).where("problem is not null").select("portfolio", "k", "problem")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import panel, windows
 from tidemark.plans.market import RET, _returns
 from tidemark.plans.register import registry
-from tidemark.sources.views import TARGETS, TRADES, targets, trades
+from tidemark.sources.views import TARGETS, TRADES, table, targets, trades
 
 query, QUERIES, ORACLES = registry()
 R = lambda c, name, n=6: F.round(c, n).alias(name)
@@ -40,13 +40,16 @@ def time_decay_weights(spark, sf):
     return df.join(last).select("row_id", R(F.greatest(F.exp(-F.datediff("z", "date") / F.lit(180.0)), F.lit(1e-6)), "weight", 8))
 
 
-@query("""with recursive d as (select unnest([0.2, 0.4, 0.6, 0.8, 1.0])::double d), w as (select d, 0 k, 1.0::double w from d union all select d, k + 1, -w * (d - k) / (k + 1) from w where abs(w * (d - k) / (k + 1)) >= 1e-5 and k < 9999)
-  select d, count(*) n, round(sum(abs(w)), 6) total, round(max(abs(w)), 6) highest, round(min(abs(w)), 9) lowest from w group by d""")
+@query("""with recursive p as (select (p_partkey % 19 + 1) * 0.05::double d, count(*) parts from part group by 1), w as (select d, 0 k, 1.0::double w from p union all select d, k + 1, -w * (d - k) / (k + 1) from w where abs(w * (d - k) / (k + 1)) >= 1e-4 and k < 9999),
+  v as (select d, 0 k, 1.0::double w from p union all select d, k + 1, -w * (d - k) / (k + 1) from v where k < 9)
+  select round(d, 2) d, parts, n, round(total, 6) total, round(highest, 6) highest, round(lowest, 9) lowest, round(window_total, 6) window_total
+  from p join (select d, count(*) n, sum(abs(w)) total, max(abs(w)) highest, min(abs(w)) lowest from w group by d) using (d) join (select d, sum(abs(w)) window_total from v group by d) using (d)""")
 def fracdiff_weights_summary(spark, sf):
-    """Sizes of the weights of fractional differencing down to 1e-5, per order; those of an order are at most 10,000."""
-    each = [(d, abs(w)) for d in (0.2, 0.4, 0.6, 0.8, 1.0) for w in windows.fracdiff_weights(d)]
-    rows = spark.createDataFrame(each, "d double, w double")
-    return rows.groupBy("d").agg(F.count("*").alias("n"), R(F.sum("w"), "total"), R(F.max("w"), "highest"), R(F.min("w"), "lowest", 9))
+    """Sizes of the weights of fractional differencing, by the orders that parts name: down to 1e-4, and of a window of ten."""
+    orders = table(spark, sf, "part").groupBy(((F.col("p_partkey") % 19 + 1) * F.lit(0.05)).alias("d")).agg(F.count("*").alias("parts"))
+    s, first = windows.weights_summary(F.col("d"), 1e-4), windows.window_weights(F.col("d"), 10)
+    rows = orders.select(R(F.col("d"), "d", 2), "parts", s.alias("s"), F.aggregate(first, F.lit(0.0), lambda a, w: a + F.abs(w)).alias("window"))
+    return rows.select("d", "parts", "s.n", R(F.col("s.total"), "total"), R(F.col("s.highest"), "highest"), R(F.col("s.lowest"), "lowest", 9), R(F.col("window"), "window_total"))
 
 
 @query(T + """select "date", count(*) filter (score > 0.6) n_active, count(distinct symbol) filter (score > 0.6) n_symbols from trades group by "date\"""")

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import sizing
-from tidemark.operators import information, panel, policy, windows
+from tidemark.operators import information, panel, policy, selection, windows
 from tidemark.plans.register import registry
 from tidemark.sources.views import EVENTS, TARGETS, TRADES, bridge_events, table, targets, trades
 from tidemark.streaming import acceptance, bridge
@@ -298,6 +298,36 @@ def vi_matrix(spark, sf):
     return information.vi_matrix(_bins(spark, sf), ["score_bin", "pnl_bin", "regime_bin"]).select("a", "b", R(F.col("vi"), "vi"))
 
 
+CLUSTERS = (("score", "a"), ("regime", "a"), ("slippage", "b"), ("position", "b"), ("label", "c"))
+_CLUSTER_SQL = ", ".join(f"('{f}', '{c}')" for f, c in CLUSTERS)
+CHOSEN = f""", cl(feature, "cluster") as (values {_CLUSTER_SQL}), ch as (
+  select * from (select s.*, "cluster", row_number() over (partition by "cluster" order by strength desc nulls last, feature) r from s join cl using (feature)) where r = 1 and strength is not null)
+  select feature, "cluster", round(strength, 6) strength, row_number() over (order by strength desc, feature)::int place from ch"""
+
+
+def _chosen(spark, strengths):
+    named = spark.createDataFrame(CLUSTERS, "feature string, cluster string")
+    return selection.best_per_cluster(strengths, named).withColumn("strength", F.round("strength", 6))
+
+
+@query(T + """, x as (select row_id, (pnl > 0)::int::double y, unnest(['score', 'regime', 'slippage', 'position', 'label']) feature, unnest([score, regime, slippage, "position", "label"::double]) v from trades),
+  e as (select feature, quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) q from x group by feature), b as (select feature, y, len(list_filter(q, lambda z: z <= v)) b from x join e using (feature)),
+  c as (select feature, b, y, count(*) c from b group by all), p as (select *, sum(c) over (partition by feature) n, sum(c) over (partition by feature, b) nb, sum(c) over (partition by feature, y) ny from c),
+  s as (select feature, greatest(sum(c / n * log2(c * n / (nb * ny))), 0) strength from p group by feature)""" + CHOSEN)
+def mi_best_per_cluster(spark, sf):
+    """Of each cluster of features the one that shares most information with winning."""
+    df = trades(spark, sf).withColumn("y", (F.col("pnl") > 0).cast("int"))
+    return _chosen(spark, selection.shared_information(df, [f for f, _ in CLUSTERS], "y"))
+
+
+@query(T + """, x as (select row_id, pnl y, unnest(['score', 'regime', 'slippage', 'position', 'label']) feature, unnest([score, regime, slippage, "position", "label"::double]) v from trades),
+  r as (select *, rank() over (partition by feature order by v) + (count(*) over (partition by feature, v) - 1) / 2.0 rv, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2.0 ry from x),
+  s as (select feature, abs(corr(rv, ry)) strength from r group by feature)""" + CHOSEN)
+def rank_best_per_cluster(spark, sf):
+    """Of each cluster of features the one whose ranks follow the outcome's most."""
+    return _chosen(spark, selection.rank_correlation(trades(spark, sf), [f for f, _ in CLUSTERS], "pnl"))
+
+
 @query(T + """, p as (select row_id, row_number() over (order by "date", symbol, row_id) - 1 pos, count(*) over () n from trades), f as (select *, least(pos // (n // 5), 4) fold, greatest(1, cast(floor(n * 0.01) as int)) e from p)
   select row_id, pos::int pos, fold::int fold, n - (least(case when fold = 4 then n else (fold + 1) * (n // 5) end + e, n) - greatest(fold * (n // 5) - e, 0)) n_train from f""")
 def purged_kfold_assign(spark, sf):

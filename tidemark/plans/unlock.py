@@ -93,13 +93,18 @@ def bucket_normalize(spark, sf):
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), label.alias("raw_label")).withColumn("bucket", text.bucket(F.col("raw_label")))
 
 
-DATES = ["2024-01-15", "15/01/2024", "01/25/2024", "2024/01/15", "1705276800", "1705276800000", "2024-01-15T10:00:00Z", "soon", "31/02/2024"]
+#: Forms in which an order's date is written; the last two are no dates.
+DATES = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyy/MM/dd", "yyyy-MM-dd'T'10:00:00'Z'", "'31/02/'yyyy", "'soon'")
 
 
-@query("""select * from (values ('2024-01-15', date '2024-01-15'), ('15/01/2024', date '2024-01-15'), ('01/25/2024', date '2024-01-25'), ('2024/01/15', date '2024-01-15'), ('1705276800', date '2024-01-15'), ('1705276800000', date '2024-01-15'),
-  ('2024-01-15T10:00:00Z', date '2024-01-15'), ('soon', null), ('31/02/2024', null)) v(raw, day)""")
+@query(f"""select o_orderkey k, case when o_orderkey % 8 in (4, 5) then null when o_orderkey % 8 = 7 then cast(cast(o_orderdate as date) + interval 20 year as date) else cast(o_orderdate as date) end "day" from orders""")
 def date_parse(spark, sf):
-    return spark.createDataFrame([(x,) for x in DATES], "raw string").select("raw", text.parse_date(F.col("raw")).alias("day"))
+    """Dates of orders, written in eight ways and read back: two are no dates, one is in seconds, one in milliseconds and twenty years on."""
+    day = F.to_timestamp("o_orderdate")
+    seconds = F.unix_timestamp(day)
+    forms = [F.date_format(day, f) for f in DATES] + [seconds.cast("string"), (F.unix_timestamp(F.add_months(day, 240)) * 1000).cast("string")]
+    raw = F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), text.parse_date(raw).alias("day"))
 
 
 @query("""select event_type, count(*) n, sum(cast(json_extract(props, '$.k') as bigint)) k_sum, max(cast(json_extract(props, '$.k') as bigint)) k_max from events group by event_type""")

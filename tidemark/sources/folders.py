@@ -8,22 +8,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, a local master uses a temporary one."""
+def _base(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one of a local master, and an error on any other."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tidemark-") if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/{uuid.uuid4().hex}"
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not master.startswith("local") or "cluster" in master:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder.
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{_base(spark)}/{uuid.uuid4().hex}"
 
-    The folder is the one named by spark.checkpoint.dir. Where that is unset, a local master uses a temporary folder
-    and any other master a folder of the warehouse.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch(spark))
+        sc.setCheckpointDir(_base(df.sparkSession))
     return df.checkpoint()

@@ -24,6 +24,22 @@ DEFERRED, FAILED, SUPERSEDED, TIMEOUT = "deferred_not_ready", "failed", "rejecte
 APPLIED = ("submitted", "noop_band")
 
 
+def payload_problems(heads: DataFrame, targets: DataFrame, key: str, now: Column, most: float = 1.0) -> DataFrame:
+    """Adds ``problem`` to ``heads`` (key, revision, valid_until): the first rule that a signal breaks, null if none.
+
+    Of its ``targets`` (key, instrument, weight): there are some, each instrument once, no weight is null or below 0, and the
+    weights come to ``most``; the signal is valid now, if it says until when; its revision is above 0. Sums are taken before
+    the join, so a signal may have any number of targets.
+    """
+    per = targets.groupBy(key, "instrument").agg(F.count("*").alias("n"), F.sum(F.abs("weight")).alias("gross"), F.count_if(F.coalesce(F.col("weight") < 0, F.lit(True))).alias("bad"))
+    one = per.groupBy(key).agg(F.max("n").alias("_most"), F.sum("gross").alias("_gross"), F.sum("bad").alias("_bad"))
+    problem = (
+        F.when(F.col("_most").isNull(), "empty").when(F.col("_most") > 1, "duplicate_instrument").when(F.col("_bad") > 0, "negative_weight").when(F.col("_gross") > most + 1e-6, "gross")
+        .when(F.col("valid_until") < now, "expired").when(~F.coalesce(F.col("revision") > 0, F.lit(False)), "revision")
+    )
+    return heads.join(one, key, "left").withColumn("problem", problem).drop("_most", "_gross", "_bad")
+
+
 def commits(status: Column) -> Column:
     """Whether a status moves the cursor past its message: a failure does not."""
     return status.startswith("rejected_") | status.isin(*APPLIED, DEFERRED)

@@ -422,6 +422,30 @@ def test_webp_round_trip(data):
     assert webp.decode(webp.encode(payload))[:, :, 1:].tobytes()[: len(payload)] == payload
 
 
+REPEATED = [b"For " * 5000, b"one line of a page, met again and again\n" * 300, b"ab" * 60_000, bytes(range(200)) * 40, b"head " + b"x" * 99_999, (b"%d " % 7) * 777 + b"tail", np.random.default_rng(1).bytes(600) * 50]
+
+
+@pytest.mark.parametrize("data", REPEATED)
+def test_repeated_texts_are_copied(monkeypatch, data):
+    """Texts that repeat themselves are stored as literals, copies and optimal codes, and come back symbol by symbol."""
+    seen = []
+    monkeypatch.setattr(webp, "_bulk", lambda *a: seen.append(1))
+    payload = webp.pad(data)
+    media = webp.encode(payload)
+    assert webp.decode(media)[:, :, 1:].tobytes()[: len(payload)] == payload and not seen and len(media) < len(payload) / 4
+
+
+def test_query_rows_take_both_forms(spark):
+    """Of the given texts some are read in bulk and some symbol by symbol."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").collect()
+    kinds = Counter()
+    for r in rows:
+        flat = np.frombuffer(webp.pad(r.text.encode()), dtype=np.uint8).reshape(-1, 3).astype(np.uint64)
+        matches = webp._matches(flat[:, 0] << np.uint64(16) | flat[:, 1] << np.uint64(8) | flat[:, 2])
+        kinds[8 * (len(flat) - sum(m[1] for m in matches) + len(matches)) <= len(flat)] += 1
+    assert kinds[True] > 0 and kinds[False] > 0
+
+
 def riff(bits):
     body = b"\x2f" + bits.data()
     body += b"\0" * (len(body) & 1)

@@ -237,7 +237,7 @@ def test_chat_perspectives(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "labels"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     result = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in result.description]

@@ -51,6 +51,21 @@ def test_unlock_pressure(spark):
     assert got[1, 40] is None and got[2, 0] == 0
 
 
+def test_path_over_a_hot_key(spark):
+    """Levels and tops of two keys, one with nearly all rows, against a plain walk."""
+    from tidemark.operators.prefix import running_path
+
+    df = spark.range(400).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.lit(None)).alias("k"), "id", F.when(F.col("id") % 13 > 0, (F.col("id") * 37 % 21 - 10) / 7).alias("v")).repartition(3)
+    got = running_path(df, ["k"], [F.col("id")], "v", "level", "top").collect()
+    at = {}
+    for r in sorted(got, key=lambda r: r.id):
+        level, top = at.get(r.k, (0.0, 0.0))
+        level += r.v or 0.0
+        at[r.k] = level, max(top, level)
+        assert (r.level, r.top) == pytest.approx(at[r.k])
+    assert len(got) == 400 and running_path(df.limit(0), ["k"], [F.col("id")], "v", "level", "top").count() == 0
+
+
 def test_prefix_runs_over_a_hot_key(spark):
     from tidemark.operators.prefix import running
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.prefix import running
+from tidemark.operators.prefix import running_path
 
 
 def trade_buckets(df: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFrame:
@@ -51,10 +51,8 @@ def psi(df: DataFrame, x: str, early: Column, bins: int = 10) -> DataFrame:
 
 def equity(df: DataFrame, keys: list[str], order: list[str], ret: str) -> DataFrame:
     """Adds equity (compounded returns), peak and drawdown along ``order`` in each group."""
-    by = [F.col(c) for c in order]
-    df = running(df.withColumn("_log", F.ln(1 + F.col(ret))), keys, by, {"_before": (F.sum, "_log", 0.0)})
-    df = df.withColumn("equity", F.exp(F.col("_before") + F.coalesce("_log", F.lit(0.0)))).drop("_before", "_log")
-    df = running(df, keys, by, {"_best": (F.max, "equity", 1.0)}).withColumn("peak", F.greatest("_best", "equity", F.lit(1.0))).drop("_best")
+    df = running_path(df.withColumn("_log", F.ln(1 + F.col(ret))), keys, [F.col(c) for c in order], "_log", "_level", "_top")
+    df = df.withColumns({"equity": F.exp("_level"), "peak": F.exp("_top")}).drop("_log", "_level", "_top")
     return df.withColumn("drawdown", F.col("equity") / F.col("peak") - 1)
 
 

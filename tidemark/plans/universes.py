@@ -40,8 +40,7 @@ DAY = "2003-06-01"
 
 def _universe(spark, sf):
     fixed = lambda rows: spark.createDataFrame(rows, "id string, symbol string")
-    coins = _coins(spark, sf).withColumn("id", F.col("id").cast("string"))
-    return universe.universe(coins, _scores(spark, sf), fixed(COLLAPSED), fixed(REFERENCE), F.lit(DAY).cast("date"), **LIMITS)
+    return universe.universe(_coins(spark, sf), _scores(spark, sf), fixed(COLLAPSED), fixed(REFERENCE), F.lit(DAY).cast("date"), **LIMITS)
 
 
 @query(SQL + " select id, symbol, verdict, round(score, 6) score from v")

@@ -1,5 +1,7 @@
 """The bridge's statuses: stream against batch, and literal cases."""
 
+from pyspark.sql import Row
+
 from tidemark.plans import catalogue
 from tidemark.sources.views import bridge_events
 from tidemark.streaming import bridge
@@ -84,5 +86,49 @@ def test_commits(spark):
     assert [r.c for r in rows.select(bridge.commits(rows.s).alias("c")).collect()] == [True, True, True, True, False, False, False]
 
 
+class Store:
+    """Stands for the state store, counts what is asked of it."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers = 0, None, {}, []
+
+    def __getattr__(self, name):
+        answers = {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None),
+            "iterator": lambda: iter(list(self.map.items())), "updateValue": self.map.__setitem__, "removeKey": self.map.pop, "containsKey": self.map.__contains__,
+        }
+
+        def call(*args):
+            self.calls += 1
+            return answers[name](*args)
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.stores, self.timers = {}, []
+
+    def getValueState(self, name, *schema):
+        return self.stores.setdefault(name, Store())
+
+    getMapState = getValueState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+def test_state_calls_do_not_grow(spark):
+    """A batch of a portfolio asks the state store as often for 2,000 events as for 100, but for what still waits."""
+    calls = []
+    for n in (100, 2000):
+        handle, bridge_ = Handle(), bridge.Bridge(40)
+        bridge_.init(handle)
+        rows = [Row(arrival=k, kind="retry" if k % 5 == 0 else "target", revision=k, fingerprint="1", outcome=("deferred_not_ready", "submitted", "failed")[k % 3], away=None) for k in range(n)]
+        list(bridge_.handleInputRows(("p",), iter(rows), None))
+        calls.append(sum(s.calls for s in handle.stores.values()) + len(handle.timers))
+    assert max(calls) < 60
+
+
 def test_stream_query(spark):
     assert catalogue.QUERIES["bridge_stream"](spark, SF).count() > 0

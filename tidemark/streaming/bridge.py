@@ -7,6 +7,8 @@ arrival and met in that order.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row
@@ -22,6 +24,8 @@ OUT = "portfolio string, message long, arrival long, seq int, revision long, sta
 REJECTED = {"stale": "rejected_stale", "incomplete": "rejected_incomplete_snapshot", "out_of_order": "rejected_out_of_order", "duplicate": "rejected_duplicate", "conflict": "rejected_revision_conflict"}
 DEFERRED, FAILED, SUPERSEDED, TIMEOUT = "deferred_not_ready", "failed", "rejected_superseded", "timeout_waiting_terminal_status"
 APPLIED = ("submitted", "noop_band")
+#: Events that a batch of a replay holds.
+PER_BATCH = 500_000
 
 
 def payload_problems(heads: DataFrame, targets: DataFrame, key: str, now: Column, most: float = 1.0) -> DataFrame:
@@ -136,8 +140,11 @@ def message_results(rows: DataFrame, message: list[str], order: list[str]) -> Da
 class Bridge(StatefulProcessor):
     """State of a portfolio: the last accepted and applied targets, the deferred one, and messages that wait with their deadlines.
 
-    A batch's events of a portfolio are put in order of arrival; the source should bound a batch. Event time is the
-    arrival in seconds, and a deadline is a timer half a second after the last arrival that meets it.
+    A batch's events of a portfolio are put in order of arrival; the source should bound a batch. The state is read once
+    a batch, met by all its events as plain values, and what changed is written at the end: a call of the state store
+    costs far more than an event. As many messages wait as arrivals fit a deadline, so they are few. Event time is the
+    arrival in seconds, and a deadline is a timer half a second after the last arrival that meets it; a message that is
+    settled or late within its own batch needs none.
     """
 
     def __init__(self, patience: int):
@@ -145,10 +152,30 @@ class Bridge(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.accepted = handle.getValueState("accepted", "revision long, fingerprint string")
-        self.applied = handle.getValueState("applied", "revision long, arrival long")
-        self.slot = handle.getValueState("deferred", "revision long, arrival long")
-        self.waiting = handle.getMapState("waiting", "arrival long", "revision long")
+        self.values = {
+            "accepted": handle.getValueState("accepted", "revision long, fingerprint string"),
+            "applied": handle.getValueState("applied", "revision long, arrival long"),
+            "slot": handle.getValueState("deferred", "revision long, arrival long"),
+        }
+        self.kept = handle.getMapState("waiting", "arrival long", "revision long")
+
+    def _load(self, key) -> None:
+        (self.portfolio,) = key
+        self.before = {name: state.get() if state.exists() else None for name, state in self.values.items()}
+        self.now = dict(self.before)
+        self.stored = {arrival: revision for (arrival,), (revision,) in self.kept.iterator()}
+        self.waiting = dict(self.stored)
+        self.line = sorted(self.waiting)  # a heap of arrivals; those no longer waiting are passed over
+
+    def _save(self) -> None:
+        for name, state in self.values.items():
+            if self.now[name] != self.before[name]:
+                state.clear() if self.now[name] is None else state.update(tuple(self.now[name]))
+        for arrival in self.stored.keys() - self.waiting.keys():
+            self.kept.removeKey((arrival,))
+        for arrival in self.waiting.keys() - self.stored.keys():
+            self.kept.updateValue((arrival,), (self.waiting[arrival],))
+            self.handle.registerTimer(self._due(arrival))
 
     def _due(self, arrival: int) -> int:
         return (arrival + self.patience) * 1000 + 500
@@ -158,35 +185,31 @@ class Bridge(StatefulProcessor):
 
     def _expire(self, now: int) -> Iterator[Row]:
         """Messages whose deadline is before ``now`` in milliseconds."""
-        for (arrival,), (revision,) in list(self.waiting.iterator()):
-            if self._due(arrival) < now:
-                self.waiting.removeKey((arrival,))
-                yield self._out(arrival, arrival, 9, revision, TIMEOUT)
+        while self.line and self._due(self.line[0]) < now:
+            arrival = heapq.heappop(self.line)
+            if arrival in self.waiting:
+                yield self._out(arrival, arrival, 9, self.waiting.pop(arrival), TIMEOUT)
 
     def _settle(self, message: int, arrival: int, revision: int, outcome: str) -> None:
         """What an outcome leaves behind."""
         if outcome == DEFERRED:
-            self.slot.update((revision, message))
+            self.now["slot"] = (revision, message)
             if message == arrival:
-                self.waiting.updateValue((message,), (revision,))
-                self.handle.registerTimer(self._due(message))
+                self.waiting[message] = revision
+                heapq.heappush(self.line, message)
         else:
-            self._final(message)
+            self.waiting.pop(message, None)
             if outcome in APPLIED:
-                self.slot.clear()
-                self.applied.update((revision, message))
-
-    def _final(self, message: int) -> None:
-        if self.waiting.containsKey((message,)):
-            self.waiting.removeKey((message,))
+                self.now["slot"] = None
+                self.now["applied"] = (revision, message)
 
     def _retry(self, e: Row) -> Iterator[Row]:
-        if not self.slot.exists():
+        if self.now["slot"] is None:
             return
-        revision, message = self.slot.get()
-        if revision != self.accepted.get()[0]:
-            self.slot.clear()
-            self._final(message)
+        revision, message = self.now["slot"]
+        if revision != self.now["accepted"][0]:
+            self.now["slot"] = None
+            self.waiting.pop(message, None)
             yield self._out(message, e.arrival, 0, revision, SUPERSEDED)
         else:
             yield self._out(message, e.arrival, 0, revision, e.outcome)
@@ -194,12 +217,12 @@ class Bridge(StatefulProcessor):
 
     def _target(self, e: Row) -> Iterator[Row]:
         yield self._out(e.arrival, e.arrival, 0, e.revision, "received")
-        best, print_ = self.accepted.get() if self.accepted.exists() else (None, None)
+        best, print_ = self.now["accepted"] or (None, None)
         if e.away:
             verdict = REJECTED[e.away]
         elif best is None or e.revision > best:
             verdict = "accepted"
-            self.accepted.update((e.revision, str(e.fingerprint)))
+            self.now["accepted"] = (e.revision, str(e.fingerprint))
         elif e.revision < best:
             verdict = REJECTED["out_of_order"]
         else:
@@ -210,14 +233,16 @@ class Bridge(StatefulProcessor):
             self._settle(e.arrival, e.arrival, e.revision, e.outcome)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        (self.portfolio,) = key
+        self._load(key)
         for e in sorted(rows, key=lambda e: e.arrival):
             yield from self._expire(e.arrival * 1000)
             yield from self._retry(e) if e.kind == "retry" else self._target(e)
+        self._save()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        (self.portfolio,) = key
+        self._load(key)
         yield from self._expire(expiredTimerInfo.getExpiryTimeInMs() + 1)
+        self._save()
 
 
 def status_stream(source: DataFrame, stale_days: int, managed: tuple[str, ...], patience: int) -> DataFrame:
@@ -229,12 +254,16 @@ def status_stream(source: DataFrame, stale_days: int, managed: tuple[str, ...],
     return events.withWatermark("at", "0 seconds").groupBy("portfolio").transformWithState(Bridge(patience), OUT, "Append", "EventTime")
 
 
-def replay(events: DataFrame, stale_days: int, managed: tuple[str, ...], patience: int, batches: int = 3) -> DataFrame:
-    """Runs ``events`` through the stream, a range of arrivals per batch, and returns what it emitted."""
+def replay(events: DataFrame, stale_days: int, managed: tuple[str, ...], patience: int, batches: int | None = None) -> DataFrame:
+    """Runs ``events`` through the stream, a range of arrivals per batch, and returns what it emitted.
+
+    Unless told, there are three batches, or as many as leave some PER_BATCH events to each.
+    """
     spark = events.sparkSession
     folder, name = scratch(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
-    edges = events.agg(F.percentile_approx("arrival", F.array(*[F.lit(k / batches) for k in range(1, batches)]), 1000).alias("e")).first()["e"] or []
+    batches = batches or max(3, math.ceil(events.count() / PER_BATCH))
+    edges = events.agg(F.percentile_approx("arrival", F.array(*[F.lit(k / batches) for k in range(1, batches)]), 10_000).alias("e")).first()["e"] or []
     bounds = [None, *sorted(set(edges)), None]
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

@@ -446,6 +446,43 @@ def test_query_rows_take_both_forms(spark):
     assert kinds[True] > 0 and kinds[False] > 0
 
 
+def test_query_rows_use_every_step(spark, monkeypatch):
+    """Prose is stored with optimal codes, copies and the colour cache, none of it in bulk, and takes less than even codes could."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 3000").limit(40).collect()
+    caches, copies, varied, far = [], [], webp._varied, webp._far
+    monkeypatch.setattr(webp, "_bulk", None)
+    monkeypatch.setattr(webp, "_varied", lambda *a: caches.append(a[-1]) or varied(*a))
+    monkeypatch.setattr(webp, "_far", lambda *a: copies.append(1) or far(*a))
+    payloads = [webp.pad(r.text.encode()) for r in rows]
+    media = [webp.encode(p) for p in payloads]
+    assert all(webp.decode(m)[:, :, 1:].tobytes()[: len(p)] == p for m, p in zip(media, payloads))
+    assert sum(map(len, media)) < 0.65 * sum(map(len, payloads)) and any(caches) and copies
+
+
+def _first_transform(media):
+    bits = webp._Bits(media[21:])
+    bits.take(32)
+    return bits.take(2) if bits.take(1) else None
+
+
+def test_transforms_are_chosen_by_entropy():
+    rng = np.random.default_rng(3)
+    grey = (np.repeat(rng.integers(0, 256, 64 * 40), 3) + rng.integers(0, 4, 3 * 64 * 40)).astype(np.uint8).tobytes()
+    rows = np.cumsum(rng.integers(0, 2, (50, 192)), axis=0) + rng.integers(0, 200, 192)
+    blue = np.zeros((64 * 40, 3), dtype=np.int64)
+    blue[:, 1] = rng.integers(-128, 128, len(blue))
+    blue[:, 0] = rng.integers(0, 8, len(blue))
+    blue[:, 2] = blue[:, 1] * 20 >> 5
+    colours = rng.integers(0, 256, (5, 3), dtype=np.uint8)[rng.integers(0, 5, 64 * 40)].tobytes()
+    cases = {webp.SUBTRACT_GREEN: grey, webp.PREDICTOR: rows.astype(np.uint8).tobytes(), webp.CROSS_COLOUR: blue.astype(np.uint8).tobytes(), webp.PALETTE: colours}
+    # a stretch of 3 million pixels between two equal ones is farther than a copy may reach
+    apart = b"abcdefghijklmnopqrstuvwxyz0123" * 2 + rng.bytes(3 * (1 << 20) + 600) + b"abcdefghijklmnopqrstuvwxyz0123" * 2
+    for kind, data in [*cases.items(), (None, apart)]:
+        media = webp.encode(webp.pad(data))
+        assert webp.decode(media)[:, :, 1:].tobytes()[: len(data)] == data
+        assert kind is None or _first_transform(media) == kind
+
+
 def riff(bits):
     body = b"\x2f" + bits.data()
     body += b"\0" * (len(body) & 1)

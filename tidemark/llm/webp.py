@@ -1,15 +1,15 @@
 """Lossless WebP (VP8L) media columns: texts stored as 8-bit samples and read back.
 
 ``decode`` reads the whole lossless format: prefix codes, groups of them, back-references, the colour cache, and the
-predictor, cross-colour, subtract-green and palette transforms. Where every code of an image has one length, pixels are
-cut from the bit stream in bulk; other images are read symbol by symbol. ``encode`` writes such even codes, over only the
-bytes that occur in each channel, and back-references with optimal codes for texts that repeat themselves.
+predictor, cross-colour, subtract-green and palette transforms. Codes are read by table, a pixel at a time; images of
+one value per code are cut out in bulk. The writer makes one group of codes, the reader takes any number.
+``encode`` writes transforms by entropy, back-references, the colour cache and optimal prefix codes.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 ROW_BYTES = 192  # 64 pixels of three samples
 MOST = 16384  # rows, or pixels of a row
 _SLICE = 1 << 18
+#: Bytes of a stream looked at at a time, and pixels written at a time.
+_STEP, _WRITTEN = 1 << 14, 1 << 16
 #: Pixels by which a copy is found, and of a copy at most.
 WINDOW, MOST_COPIED = 8, 4096
 
@@ -29,6 +31,10 @@ CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 1
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
+#: Predictors that the writer chooses from: the pixels above, right above and left above, read a row at a time.
+ABOVE = (2, 3, 4)
+#: The format's longest distance, and bits of a side of the writer's blocks.
+MOST_FAR, BLOCK_BITS = (1 << 20) - 120, 4
 #: Near places by rising distance, then by rising |dx|: the meaning of the first 120 distance codes.
 NEAR = sorted(
     ((dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0)
@@ -63,28 +69,39 @@ class _Code:
         sizes = {lengths[s] for s in self.symbols}
         if len(sizes) == 1:
             self.even = sizes.pop()
-        self.table, code, last = {}, 0, lengths[self.symbols[0]]
-        for s in self.symbols:
-            code <<= lengths[s] - last
-            last = lengths[s]
-            self.table[last, code] = s
-            code += 1
-        if code != 1 << last:
+        self.sizes = np.array([lengths[s] for s in self.symbols])
+        self.most = int(self.sizes[-1])
+        if int((1 << (self.most - self.sizes)).sum()) != 1 << self.most:
             raise ValueError("a prefix code is not complete")
 
     def read(self, bits: _Bits) -> int:
         if self.even == 0:
             return self.symbols[0]
-        if self.lookup is None:  # the next ``most`` bits, the first read lowest, to symbol and length
-            self.most = max(n for n, _ in self.table)
-            found = np.zeros(1 << self.most, dtype=np.int64)
-            for (n, code), symbol in self.table.items():
-                found[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = symbol << 4 | n
-            self.lookup = found.tolist()
+        if self.lookup is None:
+            self.lookup = self.places().tolist()
         hit = self.lookup[bits.peek(self.most)]
         bits.at += hit & 15
         return hit >> 4
 
+    def places(self) -> np.ndarray:
+        """By the next ``most`` bits, the first read lowest: symbol and length."""
+        if self.even == 0:
+            self.most = 0
+            return np.array([self.symbols[0] << 4])
+        found = np.repeat(np.array(self.symbols) << 4 | self.sizes, 1 << (self.most - self.sizes))  # in the order of the codes
+        return found[REVERSED[self.most]]
+
+
+def _reversed(n: int) -> np.ndarray:
+    """The numbers of ``n`` bits with their bits in the other order."""
+    out = np.zeros(1, dtype=np.int64)
+    for k in range(n):
+        out = np.concatenate([out, out | 1 << (n - 1 - k)])
+    return out
+
+
+REVERSED = [_reversed(n) for n in range(16)]
+
 
 def _read_code(bits: _Bits, alphabet: int) -> _Code:
     if bits.take(1):
@@ -98,27 +115,36 @@ def _read_code(bits: _Bits, alphabet: int) -> _Code:
     if bits.take(1):
         left = 2 + bits.take(2 + 2 * bits.take(3))
     lengths, at, last = {}, 0, 8
-    if meta.even and max(meta.symbols) < 16:  # no runs: all at once
-        count, size = min(alphabet, left), meta.even
-        data = np.frombuffer(bits.data[bits.at // 8 : (bits.at + count * size + 7) // 8], dtype=np.uint8)
-        plane = np.unpackbits(data, bitorder="little")[bits.at % 8 : bits.at % 8 + count * size].reshape(count, size)
-        found = np.array(meta.symbols)[plane @ (1 << np.arange(size)[::-1])]
-        bits.at += count * size
-        own = np.flatnonzero(found)
-        return _Code(dict(zip(own.tolist(), found[own].tolist())))
+    if meta.even == 0 and meta.symbols[0] < 16:
+        count = min(alphabet, left)
+        return _Code(dict.fromkeys(range(count), meta.symbols[0])) if meta.symbols[0] else _Code({0: 1})
+    table = meta.places().tolist()
+    most = (1 << meta.most) - 1
+    ahead, taken, symbols = 0, 1 << 20, 0
     while at < alphabet and left:
         left -= 1
-        s = meta.read(bits)
+        if taken > 4000:  # some bits ahead at a time
+            bits.at += taken if symbols else 0
+            byte, taken = bits.at >> 3, 0
+            ahead = int.from_bytes(bits.data[byte : byte + 512], "little") >> (bits.at & 7)
+        hit = table[ahead & most]
+        n, s = hit & 15, hit >> 4
+        symbols += 1
+        more = 0 if s < 16 else 2 if s == 16 else 3 if s == 17 else 7
+        extra = ahead >> n & ((1 << more) - 1)
+        ahead >>= n + more
+        taken += n + more
         if s < 16:
             if s:
                 lengths[at] = last = s
             at += 1
         elif s == 16:
-            for _ in range(3 + bits.take(2)):
+            for _ in range(3 + extra):
                 lengths[at] = last
                 at += 1
         else:
-            at += 3 + bits.take(3) if s == 17 else 11 + bits.take(7)
+            at += 3 + extra if s == 17 else 11 + extra
+    bits.at += taken if symbols else 0
     return _Code(lengths)
 
 
@@ -152,6 +178,71 @@ def _bulk(bits: _Bits, codes: list[_Code], n: int) -> np.ndarray:
     return out
 
 
+def _far(bits: _Bits, code: _Code, width: int) -> int:
+    """How many pixels back a copy begins."""
+    far = _amount(code.read(bits), bits)
+    if far > len(NEAR):
+        return far - len(NEAR)
+    dx, dy = NEAR[far - 1]
+    return max(1, dx + dy * width)
+
+
+def _varied(bits: _Bits, codes: list[_Code], n: int, width: int, cache_bits: int) -> np.ndarray:
+    """n pixels of one group of codes as a matrix of A, R, G, B.
+
+    A code's table holds what its symbol adds to a pixel, over 6 bits of its length, so that a pixel is three lookups and
+    a sum. Copies and the colour cache go by the pixels in order.
+    """
+    green, red, blue, alpha = (c.places() for c in codes[:4])
+    length_of = lambda t: t & 15
+    kind = green >> 4
+    first = (np.where(kind < 256, kind << 8, (kind << 8) + (1 << 40)) << 6 | length_of(green)).tolist()
+    reds, blues, alphas = ((x >> 4 << up << 6 | length_of(x)).tolist() for x, up in ((red, 16), (blue, 0), (alpha, 24)))
+    gm, rm, bm, am = ((1 << c.most) - 1 for c in codes[:4])
+    constant = alphas[0] >> 6 if not am else 0
+    literal = 1 << 46
+    data = np.frombuffer(bits.data[bits.at // 8 :] + bytes(24), dtype=np.uint8)
+    bits_from = bits.at // 8 * 8
+    p, out, last = bits.at - bits_from, [], 0
+    words, base = [], 0
+    cache, slots = {}, 32 - cache_bits
+    while len(out) < n:
+        byte = p >> 3
+        if byte - base >= len(words):  # 64 bits from each byte of the next stretch
+            base = byte
+            part = data[base : base + _STEP + 8]
+            words = np.lib.stride_tricks.sliding_window_view(part, 8).copy().view("<u8").ravel().tolist()
+        w = words[byte - base] >> (p & 7)
+        g = first[w & gm]
+        if g < literal:
+            w >>= g & 63
+            r = reds[w & rm]
+            g += r + blues[w >> (r & 63) & bm]
+            p += g & 63
+            if am:
+                bits.at = p + bits_from
+                a = alphas[bits.peek(am.bit_length())]
+                p += a & 63
+                out.append(g >> 6 | a >> 6)
+            else:
+                out.append(g >> 6 | constant)
+            continue
+        p += g & 63
+        s = (g >> 14) - (1 << 32)
+        if s >= LENGTH_CODES + 256:
+            for v in out[last:]:
+                cache[(CACHE_FACTOR * v & 0xFFFFFFFF) >> slots] = v
+            last = len(out)
+            out.append(cache.get(s - LENGTH_CODES - 256, 0))
+            continue
+        bits.at = p + bits_from
+        length, far = _amount(s - 256, bits), _far(bits, codes[4], width)
+        p, at = bits.at - bits_from, len(out)
+        out += out[at - far : at - far + length] if far >= length else (out[at - far :] * (length // far + 1))[:length]
+    bits.at = p + bits_from
+    return np.array(out, dtype=">u4").view(np.uint8).reshape(n, 4)
+
+
 def _image(bits: _Bits, width: int, height: int, main: bool = False) -> np.ndarray:
     """An entropy-coded image as a matrix of A, R, G, B, a row per pixel."""
     cache_bits = bits.take(4) if bits.take(1) else 0
@@ -166,8 +257,10 @@ def _image(bits: _Bits, width: int, height: int, main: bool = False) -> np.ndarr
     sizes = (256 + LENGTH_CODES + cache_size, 256, 256, 256, DISTANCE_CODES)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1 and all(c.even is not None for c in codes[0][:4]) and max(codes[0][0].symbols) < 256:
+    if main and groups == 1 and all(c.even is not None for c in codes[0][:4]) and max(codes[0][0].symbols) < 256:
         return _bulk(bits, codes[0], n)
+    if groups == 1:
+        return _varied(bits, codes[0], n, width, cache_bits)
     out, cache, at = [0] * n, [0] * cache_size, 0
     remember = lambda p: cache.__setitem__((CACHE_FACTOR * p & 0xFFFFFFFF) >> (32 - cache_bits), p) if cache_size else None
     while at < n:
@@ -179,12 +272,7 @@ def _image(bits: _Bits, width: int, height: int, main: bool = False) -> np.ndarr
             remember(out[at])
             at += 1
         elif s < 256 + LENGTH_CODES:
-            length, far = _amount(s - 256, bits), _amount(own[4].read(bits), bits)
-            if far <= len(NEAR):
-                dx, dy = NEAR[far - 1]
-                far = max(1, dx + dy * width)
-            else:
-                far -= len(NEAR)
+            length, far = _amount(s - 256, bits), _far(bits, own[4], width)
             if not cache_size:
                 again = out[at - far : at - far + length] if far >= length else (out[at - far : at] * (length // far + 1))[:length]
                 out[at : at + length] = again
@@ -238,9 +326,12 @@ def predictor(pixels: np.ndarray, width: int, modes: np.ndarray, shift: int, inv
     result = out if invert else out.copy()
     for y in range(len(pixels) // width):
         row, modes_here = y * width, modes[(y >> shift) * across : (y >> shift) * across + across]
-        if y and (modes_here == 2).all():  # rows above alone: all of the row at once
-            result[row + 1 : row + width] = (out[row + 1 : row + width] + sign * seen[row + 1 - width : row]) & 255
+        if y and np.isin(modes_here, ABOVE).all():  # rows above alone: all of the row at once
             result[row] = (out[row] + sign * seen[row - width]) & 255
+            above = np.concatenate([seen[row - width : row], seen[row : row + 1]])  # right of the last is this row's first
+            each, guess = np.repeat(modes_here, 1 << shift)[1:width, None], above[1:-1]
+            guess = np.where(each == 3, above[2:], np.where(each == 4, above[:-2], guess))
+            result[row + 1 : row + width] = (out[row + 1 : row + width] + sign * guess) & 255
             continue
         for i in range(row, row + width):
             x = i - row
@@ -316,16 +407,40 @@ def decode(data: bytes) -> np.ndarray:
 
 
 class Writer:
-    """Writes bits from the least significant on."""
+    """Writes bits from the least significant on; whole bytes are packed as they come."""
 
     def __init__(self) -> None:
         self.parts: list[np.ndarray] = []
+        self.small: list[tuple[int, int]] = []
+        self.bytes: list[bytes] = []
 
     def put(self, value: int, n: int) -> None:
-        self.parts.append((value >> np.arange(n) & 1).astype(np.uint8))
+        self.small.append((value, n))
+
+    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """Writes the lowest bits of each value."""
+        self._settle()
+        start = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum())) - np.repeat(start, sizes)
+        self.parts.append((np.repeat(values, sizes) >> at & 1).astype(np.uint8))
+        bits = np.concatenate(self.parts)
+        whole = len(bits) // 8 * 8
+        self.bytes.append(np.packbits(bits[:whole], bitorder="little").tobytes())
+        self.parts = [bits[whole:]]
+
+    def flags(self, bits: np.ndarray) -> None:
+        self._settle()
+        self.parts.append(bits)
+
+    def _settle(self) -> None:
+        if self.small:
+            small, self.small = np.array(self.small, dtype=np.int64), []
+            self.many(small[:, 0], small[:, 1])
 
     def data(self) -> bytes:
-        return np.packbits(np.concatenate(self.parts), bitorder="little").tobytes()
+        self._settle()
+        rest = np.packbits(np.concatenate([*self.parts, np.zeros(0, dtype=np.uint8)]), bitorder="little").tobytes()
+        return b"".join(self.bytes) + rest
 
 
 def _even_code(out: Writer, values: np.ndarray, alphabet: int) -> tuple[np.ndarray, int]:
@@ -346,65 +461,86 @@ def _even_code(out: Writer, values: np.ndarray, alphabet: int) -> tuple[np.ndarr
     out.put(0, 1)
     flags = np.zeros(alphabet, dtype=np.uint8)
     flags[:256] = used
-    out.parts.append(flags)  # one bit a symbol: length 0 or ``size``
+    out.flags(flags)  # one bit a symbol: length 0 or ``size``
     return (np.cumsum(used) - 1).astype(np.uint8), size
 
 
-def _lengths(counts: np.ndarray) -> dict[int, int]:
-    """Lengths of an optimal prefix code for the symbols that occur, 15 at most: rarer ones count as more where one would be longer."""
-    weights = {int(k): int(counts[k]) for k in np.flatnonzero(counts)}
+def _lengths(counts: np.ndarray, most: int = 15) -> dict[int, int]:
+    """Lengths of an optimal prefix code for the symbols that occur, ``most`` at most: rarer ones count as more where one would be longer."""
+    used = np.flatnonzero(counts)
+    weights = counts[used]
     while True:
-        heap = [(n, k, (k,)) for k, n in weights.items()]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(weights, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for k in a[2] + b[2]:
-                depth[k] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= 15:
-            return depth
-        weights = {k: (n + 1) // 2 for k, n in weights.items()}
-
-
-def _varied_code(out: Writer, counts: np.ndarray) -> dict[int, tuple[int, int]]:
-    """Writes an optimal code for symbols by their counts: (bits in the order of writing, their number) of each."""
+        order = np.argsort(weights, kind="stable")
+        n = len(order)
+        leaves, inner, up = [*weights[order].tolist(), math.inf, math.inf], [], [0] * (2 * n)
+        a = b = 0  # the least leaf and the least joined pair not taken yet
+        for new in range(n, 2 * n - 1):
+            total = 0
+            for _ in range(2):
+                if b >= len(inner) or leaves[a] <= inner[b]:
+                    total += leaves[a]
+                    up[a] = new
+                    a += 1
+                else:
+                    total += inner[b]
+                    up[n + b] = new
+                    b += 1
+            inner.append(total)
+        depth = [0] * (2 * n)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[up[k]] + 1
+        if max(depth[:n]) <= most:
+            found = np.empty(n, dtype=np.int64)
+            found[order] = depth[:n]
+            return dict(zip(used.tolist(), found.tolist()))
+        weights = (weights + 1) // 2
+
+
+def _code(out: Writer, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes an optimal code for symbols by their counts: bits in the order of writing, and their number, of each."""
     used = np.flatnonzero(counts)
     if len(used) <= 1 and (not len(used) or used[0] < 256):
         out.put(0b101, 3)
         out.put(int(used[0]) if len(used) else 0, 8)
-        return {int(k): (0, 0) for k in used}
+        return np.zeros(len(counts), dtype=np.int64), np.zeros(len(counts), dtype=np.int64)
+    if len(used) == 1:  # a code of one late symbol has no short form
+        counts = counts + (np.arange(len(counts)) == 0)
     lengths = _lengths(counts)
-    meta = {k: 5 if 12 <= k < 16 else 4 for k in range(19) if k != 16}  # 17 and 18: runs of zeros
+    runs, at = [], 0  # (symbol, more, its bits): lengths, and stretches without any
+    for k in [*lengths, len(counts)]:
+        while k - at >= 3:
+            run = min(k - at, 138)
+            runs.append((18, run - 11, 7) if run >= 11 else (17, run - 3, 3))
+            at += run
+        runs += [(0, 0, 0)] * (k - at)
+        if k < len(counts):
+            runs.append((lengths[k], 0, 0))
+        at = k + 1
+    meta = np.bincount([r[0] for r in runs], minlength=19)
+    if np.count_nonzero(meta) == 1:
+        meta[0 if not meta[0] else 1] += 1
+    sizes = _lengths(meta, 7)
+    last = max(i for i, k in enumerate(CODE_LENGTH_ORDER) if sizes.get(k, 0))
     out.put(0, 1)
-    out.put(len(CODE_LENGTH_ORDER) - 4, 4)
-    for symbol in CODE_LENGTH_ORDER:
-        out.put(meta.get(symbol, 0), 3)
+    out.put(max(4, last + 1) - 4, 4)
+    for k in CODE_LENGTH_ORDER[: max(4, last + 1)]:
+        out.put(sizes.get(k, 0), 3)
     out.put(0, 1)
-    short = _canonical(meta)
-    flat, at = [lengths.get(k, 0) for k in range(len(counts))], 0
-    while at < len(flat):
-        run = next((k for k in range(at, min(len(flat), at + 138)) if flat[k]), min(len(flat), at + 138)) - at
-        if run >= 3:
-            symbol, least, bits = (18, 11, 7) if run >= 11 else (17, 3, 3)
-            out.put(*short[symbol])
-            out.put(run - least, bits)
-            at += run
-        else:
-            out.put(*short[flat[at]])
-            at += 1
-    return _canonical(lengths)
+    short, width = _canonical(sizes, 19)
+    rows = np.array(runs)
+    out.many(short[rows[:, 0]] | rows[:, 1] << width[rows[:, 0]], width[rows[:, 0]] + rows[:, 2])
+    return _canonical(lengths, len(counts))
 
 
-def _canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """(bits in the order of writing, their number) of each symbol of a prefix code by its lengths."""
-    codes, code, last = {}, 0, 0
-    for k in sorted(lengths, key=lambda k: (lengths[k], k)):
-        code <<= lengths[k] - last
-        last = lengths[k]
-        codes[k] = int(f"{code:0{last}b}"[::-1], 2), last
-        code += 1
-    return codes
+def _canonical(lengths: dict[int, int], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits in the order of writing, and their number, of the symbols of a prefix code by its lengths."""
+    own, sizes = np.array(list(lengths)), np.array(list(lengths.values()))
+    order = np.lexsort((own, sizes))
+    steps = 1 << (15 - sizes[order])
+    codes, size = np.zeros(alphabet, dtype=np.int64), np.zeros(alphabet, dtype=np.int64)
+    codes[own[order]] = REVERSED[15][np.cumsum(steps) - steps]  # codes from their upper end, the other way round
+    size[own] = sizes
+    return codes, size
 
 
 def _prefix(amount: int) -> tuple[int, int, int]:
@@ -432,6 +568,7 @@ def _matches(values: np.ndarray) -> list[tuple[int, int, int]]:
     order = (keys & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     before = np.full(n, -1, dtype=np.int64)
     before[order[same + 1]] = order[same]
+    before[np.arange(n) - before > MOST_FAR] = -1
     places = np.flatnonzero(before >= 0)
     found, at = [], 0
     while (k := int(np.searchsorted(places, at))) < len(places):
@@ -449,59 +586,151 @@ def _matches(values: np.ndarray) -> list[tuple[int, int, int]]:
     return found
 
 
-def _copied(out: Writer, flat: np.ndarray, matches: list[tuple[int, int, int]]) -> None:
-    """Writes an image of literal pixels and back-references with codes of varying length."""
-    tokens, at = [], 0
-    for place, length, far in [*matches, (len(flat), 0, 0)]:
-        tokens += [(int(g), int(r), int(b)) for r, g, b in flat[at:place]]
-        if length:
-            tokens.append((_prefix(length), _prefix(far + len(NEAR))))
-        at = place + length
-    counts = [np.zeros(256 + LENGTH_CODES, dtype=np.int64), *[np.zeros(256, dtype=np.int64) for _ in range(3)], np.zeros(DISTANCE_CODES, dtype=np.int64)]
-    for t in tokens:
-        if len(t) == 2:
-            counts[0][256 + t[0][0]] += 1
-            counts[4][t[1][0]] += 1
-        else:
-            for k, v in enumerate(t):
-                counts[k][v] += 1
-    counts[3][255] = 1
-    green, red, blue, _, distance = [_varied_code(out, c) for c in counts]
-    for t in tokens:
-        if len(t) == 2:
-            (length, more, bits), (far, farther, far_bits) = t
-            for value, n in (green[256 + length], (more, bits), distance[far], (farther, far_bits)):
-                out.put(value, n)
-        else:
-            for code, v in zip((green, red, blue), t):
-                out.put(*code[v])
+def _bits_of(*counts: np.ndarray) -> float:
+    """Bits that symbols with these counts need by their entropies."""
+    every = np.concatenate(counts)
+    totals = [c for c in (int(c.sum()) for c in counts) if c]
+    return sum(c * math.log2(c) for c in totals) - float((every * np.log2(np.maximum(every, 1))).sum())
 
 
-def _even_image(out: Writer, flat: np.ndarray) -> None:
-    """Writes the pixels R, G, B of an image with one code length per channel."""
-    codes = [_even_code(out, flat[:, c], n) for c, n in ((1, 256 + LENGTH_CODES), (0, 256), (2, 256))]
-    out.put(0b101, 3)
-    out.put(255, 8)
-    out.put(0b001, 3)
-    out.put(0, 1)
-    width_bits = sum(size for _, size in codes)
-    for at in range(0, len(flat), _SLICE):
-        part = flat[at : at + _SLICE]
-        plane = np.empty((len(part), width_bits), dtype=np.uint8)
-        off = 0
-        for c, (code, size) in zip((1, 0, 2), codes):
-            value = code[part[:, c]]
-            for j in range(size):
-                plane[:, off + j] = value >> (size - 1 - j) & 1
-            off += size
-        out.parts.append(plane.ravel())
+def _spread(*channels: np.ndarray) -> float:
+    """Bits that the samples of each channel need by their entropies."""
+    return _bits_of(*[np.bincount(c, minlength=256) for c in channels])
+
+
+def _cached(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot of each pixel in a colour cache of ``bits`` bits, and whether it is found there."""
+    slot = ((values * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    again = np.zeros(len(values), dtype=bool)
+    again[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (values[order[1:]] == values[order[:-1]])
+    return slot, again
+
+
+def _put_image(out: Writer, pixels: np.ndarray, main: bool = False) -> None:
+    """Writes pixels A, R, G, B: back-references wherever pixels recur, the colour cache where it saves bits, and optimal codes."""
+    n, (alpha, red, green, blue) = len(pixels), (pixels[:, k].astype(np.int64) for k in range(4))
+    values = (alpha << 24 | red << 16 | green << 8 | blue).astype(np.uint64)
+    matches = _matches(values)
+    literal = np.ones(n, dtype=bool)
+    for place, length, _ in matches:
+        literal[place : place + length] = False
+    starts = np.array([m[0] for m in matches], dtype=np.int64)
+    copies = [(_prefix(length), _prefix(far + len(NEAR))) for _, length, far in matches]
+    lengths = np.bincount([c[0][0] for c in copies], minlength=LENGTH_CODES).astype(np.int64) if copies else np.zeros(LENGTH_CODES, dtype=np.int64)
+    far = np.bincount([c[1][0] for c in copies], minlength=DISTANCE_CODES) if copies else np.zeros(DISTANCE_CODES, dtype=np.int64)
+
+    def counted(own: np.ndarray, slots: np.ndarray | None, size: int) -> list[np.ndarray]:
+        first = np.concatenate([np.bincount(green[own], minlength=256), lengths, np.bincount(slots, minlength=size) if size else np.zeros(0, dtype=np.int64)])
+        return [first, *[np.bincount(c[own], minlength=256) for c in (red, blue, alpha)]]
+
+    cache_bits, slot, again, counts = 0, None, np.zeros(n, dtype=bool), counted(literal, None, 0)
+    if main and literal.sum() > 64:
+        most = min(10, int(literal.sum()).bit_length() - 1)
+        at, hit = _cached(values, most)
+        hit &= literal
+        other = counted(literal & ~hit, at[hit], 1 << most)
+        if _bits_of(*other) + 9 * np.count_nonzero(other[0][256 + LENGTH_CODES :]) < _bits_of(*counts):
+            cache_bits, slot, again, counts = most, at, hit, other
+    out.put(1 if cache_bits else 0, 1)
+    if cache_bits:
+        out.put(cache_bits, 4)
+    if main:
+        out.put(0, 1)  # one group of codes
+    codes = [_code(out, c) for c in [*counts, far]]
+    kept = np.flatnonzero(literal | np.isin(np.arange(n), starts)) if matches else np.arange(n)
+    copied = {m[0]: c for m, c in zip(matches, copies)}
+    for lo in range(0, len(kept), _WRITTEN):
+        at = kept[lo : lo + _WRITTEN]
+        value, size = (x[green[at]] for x in codes[0])
+        for channel, (code, bits) in zip((red, blue, alpha), codes[1:4]):
+            value, size = value | code[channel[at]] << size, size + bits[channel[at]]
+        if cache_bits:
+            found = again[at]
+            symbols = 256 + LENGTH_CODES + slot[at[found]]
+            value[found], size[found] = codes[0][0][symbols], codes[0][1][symbols]
+        for i in np.flatnonzero(~literal[at]).tolist():
+            (length, more, more_bits), (away, rest, rest_bits) = copied[int(at[i])]
+            v, b = int(codes[0][0][256 + length]), int(codes[0][1][256 + length])
+            for x, m in ((more, more_bits), (int(codes[4][0][away]), int(codes[4][1][away])), (rest, rest_bits)):
+                v, b = v | x << b, b + m
+            value[i], size[i] = v, b
+        out.many(value, size)
+
+
+def _foretold(pixels: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """The predictor of ABOVE that leaves least in each block, and about what is left of R, G and B."""
+    wide, high = -(-width >> BLOCK_BITS), -(-height >> BLOCK_BITS)
+    rgb, left, costs = np.ascontiguousarray(pixels[:, 1:]), [], []
+    for back in (width, width - 1, width + 1):
+        rest = rgb.copy()
+        rest[back:] -= rgb[: max(0, len(rgb) - back)]
+        left.append(rest)
+        cost = np.zeros((high << BLOCK_BITS, wide << BLOCK_BITS), dtype=np.int32)
+        small = np.minimum(rest, -rest).astype(np.int32)
+        cost[:height, :width] = (small[:, 0] + small[:, 1] + small[:, 2]).reshape(height, width)
+        costs.append(cost.reshape(high, 1 << BLOCK_BITS, wide, 1 << BLOCK_BITS).sum(axis=(1, 3)))
+    best = np.argmin(costs, axis=0)
+    block = np.repeat(np.repeat(best, 1 << BLOCK_BITS, axis=0)[:height], 1 << BLOCK_BITS, axis=1)[:, :width].reshape(-1, 1)
+    return np.array(ABOVE)[best.ravel()], np.where(block == 0, left[0], np.where(block == 1, left[1], left[2]))
+
+
+def _put_transforms(out: Writer, pixels: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Writes the transforms by which the entropy of pixels is least, and returns what is left to write."""
+    least = _spread(*pixels.T[1:])
+    order = np.sort(pixels.view(">u4").ravel().astype(np.uint32))
+    colours = order[np.concatenate([[True], order[1:] != order[:-1]])]
+    if len(colours) <= 256:
+        index = np.searchsorted(colours, pixels.view(">u4").ravel())
+        if _bits_of(np.bincount(index)) + 24 * len(colours) < least:
+            out.put(1 | PALETTE << 1, 3)
+            out.put(len(colours) - 1, 8)
+            table = colours.astype(">u4").view(np.uint8).reshape(-1, 4)
+            _put_image(out, np.diff(table.astype(np.int64), axis=0, prepend=0).astype(np.uint8))
+            pack = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+            across = -(-width >> pack)
+            own = np.zeros((height, across << pack), dtype=np.int64)
+            own[:, :width] = index.reshape(height, width)
+            packed = (own.reshape(height, across, 1 << pack) << (8 >> pack) * np.arange(1 << pack)).sum(axis=2).ravel()
+            left = np.zeros((len(packed), 4), dtype=np.uint8)
+            left[:, 0], left[:, 2] = 255, packed
+            return left
+    modes, rest = _foretold(pixels, width, height)
+    if (cost := _spread(*rest.T) + 4 * len(modes) + 64) < least:
+        least = cost
+        out.put(1 | PREDICTOR << 1, 3)
+        out.put(BLOCK_BITS - 2, 3)
+        chosen = np.zeros((len(modes), 4), dtype=np.uint8)
+        chosen[:, 0], chosen[:, 2] = 255, modes
+        _put_image(out, chosen)
+        pixels = predictor(pixels, width, modes, BLOCK_BITS, False)
+    _, red, green, blue = (np.ascontiguousarray(c) for c in pixels.T)
+    signed = [c.view(np.int8).astype(np.int16) for c in (red, green, blue)]
+    g = signed[1].astype(float)
+    square = max(1.0, float((g * g).sum()))
+    times = [int(np.clip(round(32 * float((g * c).sum()) / square), -128, 127)) for c in (signed[0], signed[2])]
+    foretold = [(c - (t * signed[1] >> 5).astype(np.uint8)) for c, t in zip((red, blue), times)]
+    own = _spread(green)
+    plain, cross = own + _spread(red - green, blue - green), own + _spread(*foretold) + 80
+    if plain < min(least, cross):
+        out.put(1 | SUBTRACT_GREEN << 1, 3)
+        pixels = pixels.copy()
+        pixels[:, 1], pixels[:, 3] = red - green, blue - green
+    elif cross < least:
+        out.put(1 | CROSS_COLOUR << 1, 3)
+        out.put(9 - 2, 3)
+        element = np.array([255, 0, times[1] & 255, times[0] & 255], dtype=np.uint8)  # of blue by green, of red by green
+        element = np.tile(element, (-(-width >> 9) * -(-height >> 9), 1))
+        _put_image(out, element)
+        pixels = cross_colour(pixels, width, element, 9, False)
+    return pixels
 
 
 def encode(samples: bytes) -> bytes:
     """A lossless WebP file of bytes in threes, R, G, B; short of a whole image, blanks fill it.
 
-    Where copies of earlier pixels leave few symbols to read (an eighth of the pixels at most), as in texts that repeat
-    themselves, the image is back-references and literals in optimal codes; else it has a code of one length per channel.
+    A palette is used where so few colours take fewer bits; else the predictor by blocks, then subtract-green or
+    cross-colour, each where it leaves less entropy. What is left is written as back-references, colour cache and literals in one group of optimal prefix codes.
     """
     rows = max(1, -(-len(samples) // ROW_BYTES))
     width = ROW_BYTES // 3 if rows <= MOST else MOST
@@ -509,17 +738,15 @@ def encode(samples: bytes) -> bytes:
     if height > MOST:
         raise ValueError("a text of over 805 million bytes needs several images")
     flat = np.frombuffer(samples.ljust(3 * width * height, b" "), dtype=np.uint8).reshape(-1, 3)
+    pixels = np.full((len(flat), 4), 255, dtype=np.uint8)
+    pixels[:, 1:] = flat
     out = Writer()
     out.put(width - 1, 14)
     out.put(height - 1, 14)
     out.put(0, 4)  # no alpha, version 0
-    out.put(0, 3)  # no transform, no colour cache, one group of codes
-    values = flat[:, 0].astype(np.uint64) << np.uint64(16) | flat[:, 1].astype(np.uint64) << np.uint64(8) | flat[:, 2]
-    matches = _matches(values)
-    if 8 * (len(flat) - sum(length for _, length, _ in matches) + len(matches)) <= len(flat):
-        _copied(out, flat, matches)
-    else:
-        _even_image(out, flat)
+    left = _put_transforms(out, pixels, width, height)
+    out.put(0, 1)  # no more transforms
+    _put_image(out, left, main=True)
     body = b"\x2f" + out.data()
     body += b"\0" * (len(body) & 1)
     return b"RIFF" + (len(body) + 12).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body

@@ -264,3 +264,25 @@ def test_payload_problems(spark):
     lines = [("ok", "A", 0.5), ("ok", "B", 0.5), ("twice", "A", 0.1), ("twice", "A", 0.1), ("negative", "A", -0.1), ("null", "A", None), ("gross", "A", 0.7), ("gross", "B", 0.4), ("old", "A", 0.1), ("zero", "A", 0.1), ("none", "A", 0.1), ("other", "A", 0.1)]
     got = bridge.payload_problems(spark.createDataFrame(heads, "k string, revision int, valid_until date"), spark.createDataFrame(lines, "k string, instrument string, weight double"), "k", F.lit(day))
     assert {r.k: r.problem for r in got.collect()} == {"ok": None, "empty": "empty", "twice": "duplicate_instrument", "negative": "negative_weight", "null": "negative_weight", "gross": "gross", "old": "expired", "zero": "revision", "none": "revision"}
+
+
+def test_alike_rows_are_counted_once(spark):
+    """Fits see a row for all that agree, areas and predictions are those of all rows."""
+    rows = spark.range(600).select(F.col("id").alias("pos"), F.array((F.col("id") % 5).cast("double")).alias("features"), (F.col("id") * 7 % 3 == 0).cast("double").alias("y"))
+    seen = []
+
+    def fit(train):
+        seen.append((train.count(), train.agg(F.sum("_n")).first()[0]))
+        return F.get("features", F.lit(0)) / 10
+
+    def plain(train):
+        return lambda df: df.withColumn("p", F.get("features", F.lit(0)) / 10).drop("features")
+
+    every = crossval.cross_predictions(rows, plain)
+    whole = crossval.cross_predictions(rows, fit, alike=("features", "y"))
+    counted = crossval.cross_predictions(rows, fit, alike=("features", "y"), whole=False)
+    key = lambda df: sorted((r.path, r.pos, r.y, r.n_train, r.p) for r in df.collect())
+    assert key(whole) == key(every) and counted.count() < every.count() / 3
+    assert sorted(map(tuple, crossval.verdict(counted, count="_n").collect()), key=str) == sorted(map(tuple, crossval.verdict(every).collect()), key=str)
+    trained = {r.n_train for r in every.select("n_train").distinct().collect()}
+    assert {n for _, n in seen} == trained and all(n < 300 for n, _ in seen)

@@ -73,28 +73,52 @@ def path_roles(rows: DataFrame, n: int, folds: int = 6, tests: int = 2, embargo:
     return rows.select("*", F.inline(F.array(*tags))).where("role is not null")
 
 
-def cross_predictions(rows: DataFrame, fit: Callable, folds: int = 6, tests: int = 2, embargo: float = 0.01, span: bool = False) -> DataFrame | None:
+def _counted(rows: DataFrame, features: str, label: str, cuts: list[int]) -> DataFrame:
+    """A row for all ``rows`` that agree in features and label and lie between the same ``cuts``: their number ``_n``, the first ``pos``."""
+    stretch = sum(((F.col("pos") >= c).cast("int") for c in cuts), F.lit(0))
+    return rows.groupBy(features, label, stretch.alias("_stretch")).agg(F.count("*").alias("_n"), F.min("pos").alias("pos")).drop("_stretch")
+
+
+def cross_predictions(
+    rows: DataFrame, fit: Callable, folds: int = 6, tests: int = 2, embargo: float = 0.01, span: bool = False, alike: tuple[str, str] | None = None, whole: bool = True
+) -> DataFrame | None:
     """``rows`` (pos from 0, ...) of each path's test with ``path``, ``n_train`` and the chance ``p`` of a model that ``fit`` makes of its training rows.
 
-    ``fit`` takes training rows and returns a function that adds p. None if no path has enough rows.
+    ``fit`` takes training rows and returns a function that adds p. None if no path has enough rows. With ``alike``,
+    columns of features and label, rows that agree in them are one row with its number in ``_n``, counted once for all
+    paths between the places where a path's training or test begins or ends; ``fit`` takes those and returns p as a
+    column of the features, which are left out of what comes out. That is all rows, read once, or, not ``whole``, the
+    counted ones.
     """
     rows = checkpointed(rows)  # read once per model
-    n, out = rows.count(), None
-    for name, (gone, held, train) in paths(n, folds, tests, embargo, span).items():
+    n = rows.count()
+    every, out = paths(n, folds, tests, embargo, span), None
+    if alike:
+        cuts = sorted({edge for gone, held, _ in every.values() for lo, hi in [*gone, *held] for edge in (lo, hi)})
+        counted = checkpointed(_counted(rows, *alike, cuts))
+        tests_of = []
+        for name, (gone, held, train) in every.items():
+            chance = fit(counted.where(~_within(F.col("pos"), gone)))
+            tests_of.append(F.when(_within(F.col("pos"), held), F.struct(F.lit(name).alias("path"), F.lit(train).alias("n_train"), chance.alias("p"))))
+        if not tests_of:
+            return None
+        own = (rows if whole else counted).select("*", F.inline(F.filter(F.array(*tests_of), lambda t: t.isNotNull())))
+        return checkpointed(own.drop(alike[0]))
+    for name, (gone, held, train) in every.items():
         score = fit(rows.where(~_within(F.col("pos"), gone)))
         part = score(rows.where(_within(F.col("pos"), held))).withColumns({"path": F.lit(name), "n_train": F.lit(train)})
         out = part if out is None else out.unionByName(part)
     return None if out is None else checkpointed(out)
 
 
-def verdict(predictions: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
+def verdict(predictions: DataFrame, p: str = "p", y: str = "y", count: str | None = None) -> DataFrame:
     """A row per path (n_train, n_test, auc, beats_chance) and one for all: mean and deviation of the areas, the share under a half and its verdict.
 
     A path whose test has one class has an area of 0.5. The whole passes if under a tenth of the areas are below 0.5 and
-    three tenths at most below 0.52.
+    three tenths at most below 0.52. A row counts as the number in column ``count``, if named.
     """
-    sizes = predictions.groupBy("path").agg(F.first("n_train").cast("long").alias("n_train"), F.count("*").alias("n_test"))
-    areas = auc(predictions, p, F.col(y) == 1, ["path"])
+    sizes = predictions.groupBy("path").agg(F.first("n_train").cast("long").alias("n_train"), (F.sum(count) if count else F.count("*")).alias("n_test"))
+    areas = auc(predictions, p, F.col(y) == 1, ["path"], count)
     each = sizes.join(areas, "path").select("path", "n_train", "n_test", F.coalesce("auc", F.lit(0.5)).alias("auc"))
     low = F.avg((F.col("auc") < 0.5).cast("double"))
     under = F.avg((F.col("auc") < LOW_AREA).cast("double"))

@@ -39,9 +39,13 @@ def vi_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return h.select("a", "b", F.coalesce(F.try_divide(F.col("hxy") - F.col("mi"), F.col("hxy")), F.lit(1.0)).alias("vi"))  # columns of one value are furthest apart
 
 
-def auc(df: DataFrame, score: str, positive: Column, keys: list[str]) -> DataFrame:
-    """Area under the curve per group, from average ranks of the distinct scores; null for a group of one class."""
-    values = df.groupBy(*keys, score).agg(F.count("*").alias("n"), F.count_if(positive).alias("pos"))
+def auc(df: DataFrame, score: str, positive: Column, keys: list[str], count: str | None = None) -> DataFrame:
+    """Area under the curve per group, from average ranks of the distinct scores; null for a group of one class.
+
+    A row counts as the number in column ``count``, if named.
+    """
+    times = F.col(count) if count else F.lit(1).cast("long")
+    values = df.groupBy(*keys, score).agg(F.sum(times).alias("n"), F.sum(F.when(positive, times).otherwise(0)).alias("pos"))
     ranked = prefix_sum(values, keys, [F.col(score)], "n", "_below").withColumn("rank", F.col("_below") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n")
     return ranked.groupBy(*keys).agg(F.try_divide(F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2, p * (n - p)).alias("auc"))

@@ -2,7 +2,7 @@
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -77,28 +77,42 @@ def cpcv_auc(spark, sf):
     return information.auc(out, "p", F.col("y") == 1, ["a", "b"])
 
 
-def _cross(spark, sf):
-    """Predictions of all paths of a logistic model, purged around each fold."""
-    df = trades(spark, sf)
-    base = _folded(spark, sf, 6).drop("fold").join(df.select("row_id", "symbol", "cluster", "date"), "row_id")
+def _logistic(train):
+    """The chance, as a column of ``features``, by a logistic model of counted rows (features, y, _n).
+
+    The features are scaled by their deviations over all that the rows stand for, as a model of those rows would be:
+    weights alone would give slightly other ones.
+    """
+    at = vector_to_array("features")
+    x = [F.get(at, F.lit(k)) for k in range(len(FEATURES))]
+    n = F.sum("_n")
+    some = train.agg(*[(F.sum(F.col("_n") * v) / F.sum("_n")).alias(f"m{k}") for k, v in enumerate(x)]).first()
+    spread = train.agg(*[F.sqrt(F.sum(F.col("_n") * F.pow(v - some[f"m{k}"], 2)) / (n - 1)).alias(f"s{k}") for k, v in enumerate(x)]).first()
+    scale = [spread[k] or 1.0 for k in range(len(x))]
+    scaled = train.select("y", "_n", array_to_vector(F.array(*[v / s for v, s in zip(x, scale)])).alias("features"))
+    model = LogisticRegression(labelCol="y", weightCol="_n", maxIter=10, regParam=0.01, standardization=False).fit(scaled)
+    margin = sum((v * (c / s) for v, c, s in zip(x, model.coefficients.toArray().tolist(), scale)), F.lit(model.intercept))
+    return 1 / (1 + F.exp(-margin))
 
-    def fit(train):
-        model = LogisticRegression(labelCol="y", maxIter=10, regParam=0.01).fit(train)
-        return lambda rows: model.transform(rows).withColumn("p", F.get(vector_to_array("probability"), F.lit(1))).drop("features", "rawPrediction", "probability", "prediction")
 
-    return crossval.cross_predictions(base, fit)
+def _cross(spark, sf, whole):
+    """Predictions of all paths of a logistic model, purged around each fold; with the trades' columns if ``whole``, else counted."""
+    base = _folded(spark, sf, 6).drop("fold")
+    if whole:
+        base = base.join(trades(spark, sf).select("row_id", "symbol", "cluster", "date"), "row_id")
+    return crossval.cross_predictions(base, _logistic, alike=("features", "y"), whole=whole)
 
 
 @query()
 def cpcv_verdict(spark, sf):
     """Areas of the 15 paths, the share of them under a half, and whether that passes."""
-    return crossval.verdict(_cross(spark, sf))
+    return crossval.verdict(_cross(spark, sf, False), count="_n")
 
 
 @query()
 def cpcv_calibration(spark, sf):
     """Predictions of all paths calibrated by cluster, clusters of few rows by all."""
-    _, report = portfolio.cluster_calibrated(_cross(spark, sf), "row_id", "cluster", "p", "y", "date", learning.isotonic)
+    _, report = portfolio.cluster_calibrated(_cross(spark, sf, True), "row_id", "cluster", "p", "y", "date", learning.isotonic)
     return report
 
 

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tidemark.operators import clusters, drift, importance, trees
@@ -133,6 +135,58 @@ def test_permuted(spark, n):
         assert abs(np.corrcoef(rows.id, rows.p0)[0, 1]) < 0.1 and (rows.p0 != rows.p1).mean() > 0.9
 
 
+def test_places_in_batches_are_those_of_the_expression(spark):
+    for n in (1, 7, 1000):
+        want = [r.p for r in spark.range(n).coalesce(1).select(importance.permuted(F.col("id"), n, F.lit(43), F.lit(2), F.lit(4)).alias("p")).collect()]
+        assert importance.permuted_places(np.arange(n), n, 43, 2, 4).tolist() == want
+
+
+def test_permuted_rows_are_scored_once_a_cell(spark):
+    """Losses are those of a forest that scores every permuted row; it is asked for a row per distinct cells alone."""
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 5, 2000) / 4, rng.normal(size=2000), np.ones(2000)])
+    y = (x[:, 0] + x[:, 1] > 0.5).astype(float)
+    df = spark.createDataFrame([(k, *map(float, x[k]), float(y[k])) for k in range(2000)], "pos long, a double, b double, c double, y double")
+    columns, groups, asked = ["a", "b", "c"], {3: ["a", "c"], 5: ["b"]}, []
+    model = importance._fit(df, columns, "y", 5, 4, 1)
+
+    class Counting:
+        toDebugString = model.toDebugString
+
+        def transform(self, rows):
+            asked.append(rows.count())
+            return model.transform(rows)
+
+    got = {(r.grp, r.repeat): r.loss for r in importance.permutation_losses(Counting(), df, columns, "y", groups, 2, 9).collect()}
+    cells = importance.Cells(model, columns)
+    assert sum(asked) <= np.prod([len(c) + 1 for c in cells.cuts]) < 2000
+
+    def area(rows):
+        p = [float(r.probability[1]) for r in model.transform(VectorAssembler(inputCols=columns, outputCol="_features").transform(spark.createDataFrame(rows.tolist(), columns)).coalesce(1)).collect()]
+        p, won = np.array(p), y == 1
+        return ((p[won][:, None] > p[~won]).mean() + (p[won][:, None] == p[~won]).mean() / 2).item()
+
+    for (g, r), loss in got.items():
+        other, own = x.copy(), [columns.index(c) for c in groups[g]]
+        other[:, own] = x[importance.permuted_places(np.arange(2000), 2000, 9, g, r)][:, own]
+        assert loss == pytest.approx(area(x) - area(other), abs=1e-12)
+    assert sorted(got) == [(3, 0), (3, 1), (5, 0), (5, 1)]
+
+
+def test_cells_of_many_features_take_several_words(spark):
+    """Scores of cells are those of the rows, where they need more than a word."""
+    x = np.random.default_rng(3).normal(size=(600, 40))
+    names = [f"x{k}" for k in range(40)]
+    df = spark.createDataFrame([(*map(float, v), float(v.sum() > 0)) for v in x], [*names, "y"])
+    model = importance._fit(df, names, "y", 20, 6, 1)
+    cells = importance.Cells(model, names)
+    assert len(cells.words) > 1
+    packed = df.select("*", *cells.pack())
+    want = model.transform(VectorAssembler(inputCols=names, outputCol="_features").transform(packed)).select(*cells.words, vector_to_array("probability")[1].alias("p"))
+    rows = want.join(cells.score(packed.select(*cells.words).distinct()), cells.words).collect()
+    assert len(rows) == 600 and all(r.p == r._p for r in rows)
+
+
 def test_only_the_planted_cluster_matters(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(3000, 4))

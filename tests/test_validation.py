@@ -286,3 +286,23 @@ def test_alike_rows_are_counted_once(spark):
     assert sorted(map(tuple, crossval.verdict(counted, count="_n").collect()), key=str) == sorted(map(tuple, crossval.verdict(every).collect()), key=str)
     trained = {r.n_train for r in every.select("n_train").distinct().collect()}
     assert {n for _, n in seen} == trained and all(n < 300 for n, _ in seen)
+
+
+def test_calibration_of_counted_rows(spark):
+    """Rows counted by features, label and cluster, with the sums of their weights, calibrate as all of them do."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 400).cast("int"))
+    names = F.when(F.col("id") % 30 == 0, "small").when(F.col("id") % 2 == 0, "a").otherwise("b")
+    rows = spark.range(2400).select(
+        F.col("id").alias("pos"), F.array((F.col("id") * 7 % 5).cast("double")).alias("features"), (F.col("id") * 11 % 13 < F.col("id") * 7 % 5 + 4).cast("double").alias("y"), names.alias("cluster"), day.alias("date")
+    )
+    fit = lambda train: F.get("features", F.lit(0)) / 10
+    rows = portfolio.weighted(rows, "date", "_weight")
+    every = crossval.cross_predictions(rows, fit, alike=("features", "y"))
+    counted = crossval.cross_predictions(rows, fit, alike=("features", "y"), whole=False, by=("cluster",), weight="_weight")
+    assert counted.count() < every.count() / 3
+    _, want = portfolio.cluster_calibrated(every, "pos", "cluster", "p", "y", "date", learning.isotonic, least=500)
+    _, got = portfolio.cluster_calibrated(counted, "pos", "cluster", "p", "y", "_weight", learning.isotonic, least=500, count="_n")
+    got, want = ({r.cluster: r for r in df.collect()} for df in (got, want))
+    assert got.keys() == want.keys() == {"a", "b", "small"} and got["small"].mode == "global" and got["a"].mode == "own"
+    for k, r in want.items():
+        assert got[k].n == r.n and got[k].gap_before == pytest.approx(r.gap_before, abs=1e-12) and got[k].gap_after == pytest.approx(r.gap_after, abs=1e-9)

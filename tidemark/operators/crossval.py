@@ -73,14 +73,16 @@ def path_roles(rows: DataFrame, n: int, folds: int = 6, tests: int = 2, embargo:
     return rows.select("*", F.inline(F.array(*tags))).where("role is not null")
 
 
-def _counted(rows: DataFrame, features: str, label: str, cuts: list[int]) -> DataFrame:
-    """A row for all ``rows`` that agree in features and label and lie between the same ``cuts``: their number ``_n``, the first ``pos``."""
+def _counted(rows: DataFrame, own: list[str], cuts: list[int], weight: str | None) -> DataFrame:
+    """A row for all ``rows`` that agree in columns ``own`` and lie between the same ``cuts``: their number ``_n``, the first ``pos``, the sum of ``weight``."""
     stretch = sum(((F.col("pos") >= c).cast("int") for c in cuts), F.lit(0))
-    return rows.groupBy(features, label, stretch.alias("_stretch")).agg(F.count("*").alias("_n"), F.min("pos").alias("pos")).drop("_stretch")
+    sums = [F.sum(weight).alias(weight)] if weight else []
+    return rows.groupBy(*own, stretch.alias("_stretch")).agg(F.count("*").alias("_n"), F.min("pos").alias("pos"), *sums).drop("_stretch")
 
 
 def cross_predictions(
-    rows: DataFrame, fit: Callable, folds: int = 6, tests: int = 2, embargo: float = 0.01, span: bool = False, alike: tuple[str, str] | None = None, whole: bool = True
+    rows: DataFrame, fit: Callable, folds: int = 6, tests: int = 2, embargo: float = 0.01, span: bool = False,
+    alike: tuple[str, str] | None = None, whole: bool = True, by: tuple[str, ...] = (), weight: str | None = None,
 ) -> DataFrame | None:
     """``rows`` (pos from 0, ...) of each path's test with ``path``, ``n_train`` and the chance ``p`` of a model that ``fit`` makes of its training rows.
 
@@ -88,21 +90,22 @@ def cross_predictions(
     columns of features and label, rows that agree in them are one row with its number in ``_n``, counted once for all
     paths between the places where a path's training or test begins or ends; ``fit`` takes those and returns p as a
     column of the features, which are left out of what comes out. That is all rows, read once, or, not ``whole``, the
-    counted ones.
+    counted ones: those agree in columns ``by`` too, and hold the sum of column ``weight``.
     """
     rows = checkpointed(rows)  # read once per model
     n = rows.count()
     every, out = paths(n, folds, tests, embargo, span), None
     if alike:
         cuts = sorted({edge for gone, held, _ in every.values() for lo, hi in [*gone, *held] for edge in (lo, hi)})
-        counted = checkpointed(_counted(rows, *alike, cuts))
+        finer = None if whole or not (by or weight) else checkpointed(_counted(rows, [*alike, *by], cuts, weight))
+        counted = checkpointed(_counted(rows, [*alike], cuts, None))
         tests_of = []
         for name, (gone, held, train) in every.items():
             chance = fit(counted.where(~_within(F.col("pos"), gone)))
             tests_of.append(F.when(_within(F.col("pos"), held), F.struct(F.lit(name).alias("path"), F.lit(train).alias("n_train"), chance.alias("p"))))
         if not tests_of:
             return None
-        own = (rows if whole else counted).select("*", F.inline(F.filter(F.array(*tests_of), lambda t: t.isNotNull())))
+        own = (rows if whole else counted if finer is None else finer).select("*", F.inline(F.filter(F.array(*tests_of), lambda t: t.isNotNull())))
         return checkpointed(own.drop(alike[0]))
     for name, (gone, held, train) in every.items():
         score = fit(rows.where(~_within(F.col("pos"), gone)))

@@ -122,16 +122,24 @@ def honest_sharpe(rows: DataFrame, keys: list[str], steps: int = 1000) -> DataFr
     return one.select(*keys, "n", "sharpe", "surface", "honest", (c("honest") > SURE).alias("passed"), F.when(c("honest") <= SURE, F.round(needed, 2)).alias("needed"))
 
 
-def cluster_calibrated(df: DataFrame, key: str, cluster: str, p: str, y: str, day: str, fit, least: int = 150, life: float = 180.0) -> tuple[DataFrame, DataFrame]:
+def weighted(df: DataFrame, day: str, out: str, life: float = 180.0) -> DataFrame:
+    """Adds ``out``: half for each ``life`` days of ``day`` before the last."""
+    last = df.agg(F.max(day).alias("_last"))
+    return df.join(F.broadcast(last)).withColumn(out, F.pow(F.lit(0.5), F.datediff("_last", day) / life)).drop("_last")  # one row
+
+
+def cluster_calibrated(df: DataFrame, key: str, cluster: str, p: str, y: str, day: str, fit, least: int = 150, life: float = 180.0, count: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Adds ``calibrated``: ``p`` through the increasing fit of its cluster, or of all rows where the cluster has fewer than ``least``.
 
     Rows weigh half for each ``life`` days before the last. ``fit`` turns sorted (p, mean, weight) into fitted means;
     what it sees is a row per distinct rounded p, counted before. A p of 0 stays 0. Also returns a row per cluster: n,
-    mode, and the mean gap between ten classes of p and what came, before and after.
+    mode, and the mean gap between ten classes of p and what came, before and after. A row stands for the number in
+    column ``count``, if named; ``day`` is then the sum of their weights, as ``weighted`` gives them.
     """
-    last = df.agg(F.max(day).alias("_last"))
-    rows = df.join(F.broadcast(last)).withColumn("_w", F.pow(F.lit(0.5), F.datediff("_last", day) / life)).withColumn("_p", F.round(F.greatest(F.least(p, F.lit(0.999)), F.lit(0.001)), 4)).drop("_last")  # one row
-    sizes = rows.groupBy(cluster).agg(F.count("*").alias("n")).withColumn("mode", F.when(F.col("n") < max(60, least), "global").otherwise("own"))
+    rows = df.withColumn("_w", F.col(day)) if count else weighted(df, day, "_w", life)
+    rows = rows.withColumn("_p", F.round(F.greatest(F.least(p, F.lit(0.999)), F.lit(0.001)), 4))
+    times = F.col(count) if count else F.lit(1).cast("long")
+    sizes = rows.groupBy(cluster).agg(F.sum(times).alias("n")).withColumn("mode", F.when(F.col("n") < max(60, least), "global").otherwise("own"))
     points = [F.sum("_w").alias("_n"), (F.sum(F.col("_w") * F.col(y)) / F.sum("_w")).alias("_m")]
     own = rows.join(F.broadcast(sizes.where("mode = 'own'").select(cluster)), cluster).groupBy(F.col(cluster).alias("_c"), "_p").agg(*points)  # clusters are few
     pool = rows.groupBy("_p").agg(*points).select(F.lit(None).cast(dict(df.dtypes)[cluster]).alias("_c"), "_p", "_n", "_m")
@@ -146,7 +154,7 @@ def cluster_calibrated(df: DataFrame, key: str, cluster: str, p: str, y: str, da
     out = met.withColumn("calibrated", F.when(F.col(p) <= 0, 0.0).otherwise(F.col("calibrated")))
 
     def gap(x: str) -> DataFrame:
-        bins = out.groupBy(cluster, F.least(F.floor(F.col(x) * 10), F.lit(9)).alias("_b")).agg(F.count("*").alias("n"), F.avg(x).alias("a"), F.avg(y).alias("h"))
+        bins = out.groupBy(cluster, F.least(F.floor(F.col(x) * 10), F.lit(9)).alias("_b")).agg(F.sum(times).alias("n"), (F.sum(F.col(x) * times) / F.sum(times)).alias("a"), (F.sum(F.col(y) * times) / F.sum(times)).alias("h"))
         return bins.groupBy(cluster).agg((F.sum(F.col("n") * F.abs(F.col("a") - F.col("h"))) / F.sum("n")).alias(f"gap_{x}"))
 
     report = sizes.join(gap(p).withColumnRenamed(f"gap_{p}", "gap_before"), cluster).join(gap("calibrated").withColumnRenamed("gap_calibrated", "gap_after"), cluster)

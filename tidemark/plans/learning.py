@@ -28,10 +28,10 @@ def isotonic_pav(spark, sf):
     return learning.isotonic_by(df, "cluster", "score", "y").select("row_id", "cluster", "score", "calibrated")
 
 
-def _folded(spark, sf, folds):
+def _folded(spark, sf, folds, *more):
     df = trades(spark, sf)
     tagged = df.join(policy.purged_folds(df, folds, 0.01).select("row_id", "pos", "fold"), "row_id").withColumn("y", (F.col("pnl") > 0).cast("double"))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(tagged).select("row_id", "pos", "fold", "y", "features")
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(tagged).select("row_id", "pos", "fold", "y", "features", *more)
     return checkpointed(rows)  # read once per model
 
 
@@ -95,24 +95,20 @@ def _logistic(train):
     return 1 / (1 + F.exp(-margin))
 
 
-def _cross(spark, sf, whole):
-    """Predictions of all paths of a logistic model, purged around each fold; with the trades' columns if ``whole``, else counted."""
-    base = _folded(spark, sf, 6).drop("fold")
-    if whole:
-        base = base.join(trades(spark, sf).select("row_id", "symbol", "cluster", "date"), "row_id")
-    return crossval.cross_predictions(base, _logistic, alike=("features", "y"), whole=whole)
-
-
 @query()
 def cpcv_verdict(spark, sf):
     """Areas of the 15 paths, the share of them under a half, and whether that passes."""
-    return crossval.verdict(_cross(spark, sf, False), count="_n")
+    rows = _folded(spark, sf, 6).drop("fold")
+    return crossval.verdict(crossval.cross_predictions(rows, _logistic, alike=("features", "y"), whole=False), count="_n")
 
 
 @query()
 def cpcv_calibration(spark, sf):
     """Predictions of all paths calibrated by cluster, clusters of few rows by all."""
-    _, report = portfolio.cluster_calibrated(_cross(spark, sf, True), "row_id", "cluster", "p", "y", "date", learning.isotonic)
+    rows = _folded(spark, sf, 6, "cluster", "date")
+    rows = portfolio.weighted(rows, "date", "_weight").drop("fold", "row_id", "date")
+    counted = crossval.cross_predictions(rows, _logistic, alike=("features", "y"), whole=False, by=("cluster",), weight="_weight")
+    _, report = portfolio.cluster_calibrated(counted, "pos", "cluster", "p", "y", "_weight", learning.isotonic, count="_n")
     return report
 
 

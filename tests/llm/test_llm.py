@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -459,6 +460,24 @@ def test_query_rows_use_every_step(spark, monkeypatch):
     assert sum(map(len, media)) < 0.65 * sum(map(len, payloads)) and any(caches) and copies
 
 
+def test_texts_are_stored_together(monkeypatch):
+    """A batch takes a step for all of its texts: what comes out is that of each alone, and few images are read by themselves."""
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(800)]
+    texts = [b" ".join(words[k] for k in rng.zipf(1.3, n) % 800) for n in rng.integers(1, 500, 150)]
+    texts += [b"", b"a", b"ab" * 700, bytes(range(256)) * 12, b"x" * 9000, rng.bytes(5000), texts[3], texts[4] * 3, bytes(np.repeat(rng.integers(0, 256, 300, dtype=np.uint8), 3))]
+    payloads = [webp.pad(t) for t in texts]
+    media = [webp.encode(p) for p in payloads]
+    assert webp.encode_many(payloads) == media
+    for one, together, payload in zip(media, webp.decode_many(media), payloads):
+        assert (webp.decode(one) == together).all() and together[:, :, 1:].tobytes()[: len(payload)] == payload
+    alone, varied = [], webp._varied
+    monkeypatch.setattr(webp, "_varied", lambda *a: alone.append(a[2]) or varied(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.binary())], names=["k", "text"])
+    (got,) = webp._stored("text", True)(iter([batch]))
+    assert got.column("media").to_pylist() == media and sum(n > 300 for n in alone) <= webp.FEW
+
+
 def _first_transform(media):
     bits = webp._Bits(media[21:])
     bits.take(32)

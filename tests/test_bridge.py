@@ -1,5 +1,9 @@
 """The bridge's statuses: stream against batch, and literal cases."""
 
+import os
+import random
+
+import pyarrow as pa
 from pyspark.sql import Row
 
 from tidemark.plans import catalogue
@@ -132,3 +136,44 @@ def test_state_calls_do_not_grow(spark):
 
 def test_stream_query(spark):
     assert catalogue.QUERIES["bridge_stream"](spark, SF).count() > 0
+
+
+def test_events_travel_in_packs(spark):
+    """Packs of events give what single ones give, in few rows however many the events are, over batches and portfolios."""
+    rnd, outs = random.Random(4), ("deferred_not_ready", "failed", "submitted", "noop_band")
+    single, packed = (bridge.Bridge(40), Handle()), (bridge.Bridge(40), Handle())
+    for own, handle in (single, packed):
+        own.init(handle)
+    for batch in range(3):
+        rows = [Row(arrival=k, kind=rnd.choice(["retry", "target", "target"]), revision=k // 7 + k * 13 % 5, fingerprint=rnd.choice(["1", "2", None]), outcome=rnd.choice(outs)) for k in range(batch * 2000, batch * 2000 + 2000)]
+        rnd.shuffle(rows)
+        others = [r.asDict() | {"portfolio": p, "needed": p != "away"} for r in rows for p in ("away", None, "p")]
+        packs = [Row(**r) for b in bridge._packed(pa.Table.from_pylist(others, pa.schema([("portfolio", pa.string()), *bridge.EVENT, ("needed", pa.bool_())])).to_batches(2500)) for r in b.to_pylist()]
+        assert len(packs) == 9 and max(r.last for r in packs) == batch * 2000 + 1999
+        assert not list(packed[0].handleInputRows(("away",), iter([r for r in packs if r.portfolio == "away"]), None))
+        got = [list(b.handleInputRows(("p",), iter(r), None)) for (b, _), r in ((single, rows), (packed, [r for r in packs if r.portfolio == "p"]))]
+        assert len(got[1]) <= 4
+        one, many = ([tuple(map(str, x)) for r in some for x in zip(r.message, r.arrival, r.seq, r.revision, r.status)] for some in got)
+        assert one == many and len(many) > 1000
+        assert {n: (s.value, s.map) for n, s in single[1].stores.items()} == {n: (s.value, s.map) for n, s in packed[1].stores.items()}
+
+
+def test_stores_and_odd_rows(spark, monkeypatch, tmp_path):
+    """There are no more state stores than cores; missing revisions and prints count as in the batch."""
+    rnd, outs = random.Random(5), ("deferred_not_ready", "failed", "submitted", "noop_band")
+    rows = []
+    for k in range(1, 301):
+        kind = rnd.choice(["retry", "target", "target"])
+        revision = None if kind == "retry" or rnd.random() < 0.1 else k // 7 + k * 13 % 5
+        rows.append(event(k, kind, revision, rnd.choice(outs), rnd.choice([1, 2, None]), rnd.choice("pqr"), rnd.choice([1, 1, 1, 101]), rnd.choice([None, False]), rnd.choice([("A", "B"), ("A", "B"), ("A",)])))
+    events = spark.createDataFrame(rows, EVENT)
+    monkeypatch.setattr(bridge, "scratch", lambda spark: str(tmp_path))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "12")
+        got = plain(bridge.replay(events, 100, ("A", "B"), 7, batches=2))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "12"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert str(got) == str(plain(bridge.statuses(events, 100, ("A", "B"), 7))) and len(got) > 300
+    assert len([f for f in os.listdir(tmp_path / "state/state/0") if f.isdigit()]) <= spark.sparkContext.defaultParallelism
